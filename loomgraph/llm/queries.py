@@ -8,16 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.brown import brown_scores
+from loomgraph.llm.chaining import repeats
 from loomgraph.llm.fingerprint import edited_fingerprints
 from loomgraph.llm.jaccard_join import jaccard_join
 from loomgraph.llm.packing import pack
-from loomgraph.llm.toxicity import toxicity
+from loomgraph.llm.toxicity import is_held_out, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(table(spark, sf_dir, "documents"), is_held_out("doc_id", 1))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -35,5 +45,5 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_packing, op7_toxicity, op8_ngram_jaccard_join, op10_document_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op5_lm_scoring, op6_packing, op7_toxicity, op8_ngram_jaccard_join, op10_document_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
