@@ -1,16 +1,72 @@
-"""The pipeline over documents."""
+"""The pipeline over documents: toxic texts out, one of each group of near copies, repeated passages cut, sources mixed, sequences packed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm.chaining import repeats, without_repeats
+from loomgraph.llm.jaccard_join import jaccard_join
+from loomgraph.llm.mixing import domain_machines, mix
+from loomgraph.llm.packing import pack
+from loomgraph.llm.queries import TARGETS, table
+from loomgraph.llm.store import saved
+from loomgraph.llm.toxicity import fit, labelled_texts, score
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    machine = fit(labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return score(docs, machine, docs.columns).filter("toxic_score < 0.5").drop("toxic_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; documents without an id stay."""
+    joined = saved(jaccard_join(docs), "joined")
+    dropped = joined.filter("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = joined.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; those that are nothing else go."""
+    cut = without_repeats(docs.withColumn("_blank", F.coalesce(F.trim("text"), F.lit("")) == ""), saved(repeats(docs), "repeats"))
+    left = cut.filter(F.col("_blank") | (F.trim(F.translate("text", "\t\n\u000b\f\r", "     ")) != ""))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its rate says, once at least."""
+    machines = domain_machines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rated = mix(docs, table(spark, sf_dir, "labels"), TARGETS, least=1.0, most=4.0, machines=machines)
+    more = rated.filter("copies > 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    return docs.join(more, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_copies", F.lit(1).cast("long"))))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
-#: Similarity joins and fitted models have no SQL form; the stages are tested against brute force.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: A fitted model and similarity joins have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -181,6 +181,7 @@ def fit(labelled: DataFrame, terms_most: int = TERMS, fit_rows: int = FIT_ROWS,
     some = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = saved(some.repartition(8, "doc_id").mapInArrow(partial(_rows, buckets=buckets), "label int, terms binary"), "terms")
     machine = Machine(buckets)
+    machine.weights[-1, 0] = np.log(size[1] / size[0])
     for turn in range(rounds):
         models = rows.mapInArrow(partial(_round, buckets=buckets, weights=machine.weights, turn=turn), "n long, model binary").collect()
         n = sum(m["n"] for m in models)
