@@ -35,6 +35,7 @@ from loomgraph.llm.store import BLOB, blob_batch, buckets_for, per_bucket, saved
 SHARE = 5
 POINT = np.dtype([("h", "<u8"), ("d", "<i8")])
 SIZED = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("df", "<i4")])
+COUNT = np.dtype([("d", "<i8"), ("c", "<i4")])
 LEAF = 512
 PIVOTS = 12
 
@@ -82,10 +83,21 @@ def _runs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rec, np.repeat(size, size)
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, buckets: int) -> pa.Table:
+    """How many of a bucket's shingles each point shares with another one, sent to the buckets of the points."""
     rec, df = _runs(unblob(table, POINT))
     node, count = np.unique(rec["d"][df > 1], return_counts=True)
-    return pa.table({"node": node, "shared": count.astype(np.int64)})
+    out = np.empty(len(node), COUNT)
+    out["d"], out["c"] = node, count
+    where = top_bits(tx.mix(node.view(np.uint64)), buckets)
+    order = np.argsort(where, kind="stable")
+    return pa.Table.from_batches([blob_batch(where[order], out[order])])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    rec = unblob(table, COUNT)
+    node, back = np.unique(rec["d"], return_inverse=True)
+    return pa.table({"node": node, "shared": np.bincount(back, rec["c"], len(node)).astype(np.int64)})
 
 
 def _survivor_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -338,7 +350,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     b = buckets_for(total * SHARE / 16 * POINT.itemsize)
     postings = rows.filter("doc_id is not null").mapInArrow(partial(_share_points, k=k, buckets=b), BLOB)
-    shared = per_bucket(postings, _shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = per_bucket(per_bucket(postings, _shared, BLOB, buckets=b), _summed, "node long, shared long")
     near = saved(nodes.join(shared, "node", "left").filter("inside - coalesce(shared, 0) <= n div 5"), "near")
 
     found = near.select(F.col("rep").alias("doc_id"), "node", "copies").join(rows, "doc_id").select("node", "copies", "text")
