@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
 from loomgraph.llm.components import components
-from loomgraph.llm.store import BLOB, blob_batch, buckets_for, per_bucket, saved, top_bits, unblob
+from loomgraph.llm.store import BLOB, blob_batch, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
 
 #: Sixteenths of the hash space in which singletons are counted.
 SHARE = 5
@@ -353,7 +353,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = per_bucket(per_bucket(postings, _shared, BLOB, buckets=b), _summed, "node long, shared long")
     near = saved(nodes.join(shared, "node", "left").filter("inside - coalesce(shared, 0) <= n div 5"), "near")
 
-    found = near.select(F.col("rep").alias("doc_id"), "node", "copies").join(rows, "doc_id").select("node", "copies", "text")
+    wanted = near.select(F.col("rep").alias("doc_id"), "node", "copies")
+    found = wanted.join(maybe_in(rows, wanted), "doc_id").select("node", "copies", "text")
     sets = saved(found.mapInArrow(partial(_survivor_sets, k=k), "node long, n int, copies long, hashes binary").dropDuplicates(["node"]), "sets")
     left = sets.agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()[0]
     b = buckets_for(left * SIZED.itemsize)

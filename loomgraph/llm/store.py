@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of records that one bucket should hold; the number of buckets follows the input.
 BUCKET_BYTES = 8 << 20
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/loom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +76,37 @@ def per_bucket(df: DataFrame, fn, schema: str, **args) -> DataFrame:
         return fn(table, **args)
 
     return df.groupBy("bucket").applyInArrow(run, schema)
+
+
+#: Bits of the filter that maybe_in broadcasts, at most: 4 MB.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key may be one of wanted's, and no other row that a filter of bounded size can tell apart.
+
+    It keeps texts out of a shuffle before a join on the key. The filter has two bits for a key, in at most FILTER_BITS bits; with many more
+    keys than that it keeps more rows, and the join decides.
+    """
+    spark = rows.sparkSession
+    bits = 1 << 12
+    n = wanted.count()
+    while bits < 16 * n and bits < FILTER_BITS:
+        bits *= 2
+    place = lambda seed: F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(seed)), F.lit(bits))
+    word = wanted.select(F.explode(F.array(place(1), place(2))).alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
+    words = word.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask")).toPandas()
+    mask = np.zeros(bits // 32, np.uint32)
+    mask[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(mask)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for p in ("_one", "_two"):
+                at = batch.column(p).to_numpy()
+                keep &= (shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            yield batch.filter(pa.array(keep)).select(names)
+
+    return rows.withColumns({"_one": place(1), "_two": place(2)}).mapInArrow(run, rows.schema)
