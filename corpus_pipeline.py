@@ -14,12 +14,12 @@ from loomgraph.llm.mixing import domain_machines, mix
 from loomgraph.llm.packing import pack
 from loomgraph.llm.queries import TARGETS, table
 from loomgraph.llm.store import saved
-from loomgraph.llm.toxicity import fit, labelled_texts, score
+from loomgraph.llm.toxicity import labelled_terms, score, toxic_machine
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
-    machine = fit(labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    machine = toxic_machine(labelled_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return score(docs, machine, docs.columns).filter("toxic_score < 0.5").drop("toxic_score")
 
 

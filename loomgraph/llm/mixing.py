@@ -1,10 +1,10 @@
 """Soft-membership mixing: nonnegative rates of documents whose expected domain token totals match target weights.
 
 A classifier trained on a labelled table gives each document a posterior over domains. Projected gradient then solves the least squares problem
-``min |W (sum_i r_i n_i p_i - T)|^2, least <= r_i <= most`` for the rates r_i, with n_i tokens, posterior p_i and target totals T. W whitens the
-domains (inverse square root of sum_i n_i p_i p_i'), so a step of one is right at any size and small domains converge like large ones.
+``min |sum_i r_i n_i p_i - T|^2, least <= r_i <= most`` for the rates r_i, with n_i tokens, posterior p_i and target totals T, in the metric of the
+tokens (a document's step is its posterior times the residual) and with momentum; the largest eigenvalue of sum_i n_i p_i p_i' gives the step size.
 Each iteration is one pass over the table of posteriors in which a document's rate is replayed from the residuals so far, so there is no table of
-rates to rewrite, and only one number a domain passes through the driver.
+rates to rewrite, and only one number a domain passes through the driver. Where no rates reach the targets, the nearest totals result.
 """
 
 from __future__ import annotations
@@ -19,19 +19,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
 from loomgraph.llm.store import saved
-from loomgraph.llm.toxicity import Machine, fit, terms
+from loomgraph.llm.toxicity import Machine, fit, labelled_terms, terms, toxic_machine
 
 DOMAINS = ("high", "low", "toxic")
-ITERATIONS = 40
+ITERATIONS = 60
 
 
 def domain_machines(docs: DataFrame, labels: DataFrame) -> tuple[Machine, Machine]:
-    """Classifiers of label toxic and, among texts that aren't, of label quality. Rows with a null doc_id or label are left out."""
-    own = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality"))
-    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, "doc_id"), "labelled")
-    toxic = fit(rows.select("doc_id", "text", F.col("toxic").alias("label")))
-    quality = fit(rows.filter("coalesce(toxic, 0) = 0").select("doc_id", "text", F.col("quality").alias("label")))
-    return toxic, quality
+    """Classifiers of label toxic and, among texts that aren't, of label quality."""
+    rows = labelled_terms(docs, labels)
+    return toxic_machine(rows), fit(rows.filter("coalesce(toxic, 0) = 0").select(F.col("quality").alias("label"), "terms"))
 
 
 def _posteriors(batches: Iterator[pa.RecordBatch], toxic: Machine, quality: Machine) -> Iterator[pa.RecordBatch]:
@@ -49,26 +46,29 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("n_tokens").to_numpy().astype(float), np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], axis=1)
 
 
-def rates(p: np.ndarray, steps: np.ndarray, least: float, most: float) -> np.ndarray:
-    """Rates of documents with posteriors p after the steps so far (each a whitened residual of the domains)."""
+def rates(p: np.ndarray, steps: np.ndarray, least: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p after the steps so far (each the scaled residual of the domains), and the point to look at next."""
     r = np.full(len(p), min(max(1.0, least), most))
+    ahead, t = r, 1.0
     for s in steps:
-        r = np.clip(r - p @ s, least, most)
-    return r
+        new = np.clip(ahead - p @ s, least, most)
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, r = new + (before - 1) / t * (new - r), new
+    return r, ahead
 
 
 def _totals(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, most: float) -> Iterator[pa.RecordBatch]:
     total, square = np.zeros(len(DOMAINS)), np.zeros((len(DOMAINS),) * 2)
     for batch in batches:
         n, p = _columns(batch)
-        total += (rates(p, steps, least, most) * n) @ p
+        total += (rates(p, steps, least, most)[1] * n) @ p
         square += (p * n[:, None]).T @ p
     yield pa.record_batch([pa.array([total.tolist()]), pa.array([square.ravel().tolist()])], ["total", "square"])
 
 
 def _rated(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, most: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        r = rates(_columns(batch)[1], steps, least, most)
+        r, _ = rates(_columns(batch)[1], steps, least, most)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
 
 
@@ -99,12 +99,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
         if least > 0:
             growth = float(np.clip((least * now / now.sum() / np.maximum(weights, 1e-9)).max(), 1.0, most_growth))
         goal = weights * now.sum() * growth
-        white = np.linalg.inv(square + 1e-4 * np.trace(square) * np.eye(len(DOMAINS)))
+        size = 1 / np.linalg.eigvalsh(square)[-1]
         for _ in range(iterations):
-            if np.abs(now - goal).max() < 1e-4 * goal.sum():
+            steps = np.vstack([steps, size * (now - goal)])
+            last, (now, _) = now, totals(steps)
+            if np.abs(now - goal).max() < 3e-4 * goal.sum() or np.abs(now - last).max() < 1e-5 * goal.sum():
                 break
-            steps = np.vstack([steps, white @ (now - goal)])
-            now, _ = totals(steps)
     rated = table.mapInArrow(partial(_rated, steps=steps, least=least, most=most), schema + ", rate double")
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are the words without the ASCII punctuation around them, and the first 4 to 7 bytes of longer words, so inflected forms of a stem share a
-term. Each term is a bucket of 2**18. Counts of all buckets in the labelled training texts, by label, choose the ``TERMS`` buckets that
+term. Each term is a bucket of 2**18. Counts of all buckets in the fitted texts, by label, choose the ``TERMS`` buckets that
 tell most of the label; the machine then learns a weight for each and a vector of ``RANK`` factors, whose products score pairs of terms.
 
 Training is distributed: each task takes Adagrad steps over its own labelled texts, and the tasks' models are averaged round by round. Only
@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 TERMS = 2048
 RANK = 8
 ROUNDS = 6
-#: Labelled texts for the steps of the machine, at most (those with the lowest hashes); bucket counts take all.
+#: Labelled texts to fit on, at most about so many.
 FIT_ROWS = 40_000
 PREFIXES = (4, 5, 6, 7)
 MARK = np.zeros(256, bool)
@@ -51,17 +51,22 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key & np.uint64(BUCKETS - 1)).astype(np.int64), at
 
 
+def _term_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("terms")]
+    at = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=at[1:])
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)).astype(np.int64), at
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that hold each bucket, one blob for each part of the buckets."""
     count = np.zeros((2, BUCKETS), np.int64)
     size = np.zeros(2, np.int64)
     for batch in batches:
-        texts, label = tx.strings(batch.column("text")), batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        for a, b in tx.slices(texts):
-            t, at = terms(texts.slice(a, b - a))
-            own = np.repeat(label[a:b], np.diff(at))
-            count += np.bincount(own * BUCKETS + t, minlength=2 * BUCKETS).reshape(2, BUCKETS)
-            size += np.bincount(label[a:b], minlength=2)
+        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+        t, at = _term_sets(batch)
+        count += np.bincount(np.repeat(label, np.diff(at)) * BUCKETS + t, minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        size += np.bincount(label, minlength=2)
     if size.any():
         width = BUCKETS // PARTS
         data = [np.concatenate([size, count[:, i * width : (i + 1) * width].ravel()]).tobytes() for i in range(PARTS)]
@@ -77,13 +82,13 @@ def _best_terms(table: pa.Table, most: int) -> pa.Table:
         gap = count[1] * (size[0] - count[0]) - count[0] * (size[1] - count[1])
         score = np.nan_to_num(n * gap**2 / (size[0] * size[1] * held * (n - held)))
     best = np.argsort(-score, kind="stable")[:most]
-    best = best[(score[best] > 24) & (held[best] >= 5)]
+    best = best[(score[best] > 12) & (held[best] >= 3)]
     part = table.column("bucket")[0].as_py()
     return pa.table({"term": best + part * (BUCKETS // PARTS), "score": score[best]})
 
 
 def chosen_terms(labelled: DataFrame, most: int = TERMS) -> np.ndarray:
-    """Sorted buckets with the highest chi-square over all labelled rows (label, text); a chi-square of 24 and five texts are needed."""
+    """Sorted buckets with the highest chi-square over all rows (label, terms); a chi-square of 12 and three texts are needed."""
     counts = labelled.mapInArrow(_bucket_counts, "bucket int, data binary")
     best = per_bucket(counts, _best_terms, "term long, score double", most=most).orderBy(F.desc("score"), "term").limit(most)
     return np.array(sorted(r["term"] for r in best.collect()), np.int64)
@@ -134,59 +139,50 @@ class Machine:
         self.weights -= rate * g / np.sqrt(seen + 1e-8)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The chosen terms of each labelled text."""
-    machine = Machine(buckets)
+def _terms_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``names`` and the terms of each text."""
     for batch in batches:
         texts = tx.strings(batch.column("text"))
         for a, b in tx.slices(texts):
-            i, at = machine.lookup(*terms(texts.slice(a, b - a)))
-            data = [i[s:e].astype(np.int32).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([batch.column("label").slice(a, b - a).cast(pa.int32()), pa.array(data, pa.binary())], ["label", "terms"])
+            t, at = terms(texts.slice(a, b - a))
+            data = [t[s:e].astype(np.int32).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(a, b - a) for n in names], pa.array(data, pa.binary())], [*names, "terms"])
 
 
 def _round(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
     """Some passes over a task's labelled texts from the common model; gives its model and how many texts it is from."""
     label, data = [], []
+    machine, seen = Machine(buckets, weights.copy()), np.full(weights.shape, 1e-4)
     for batch in batches:
         label += batch.column("label").to_pylist()
-        data += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("terms")]
+        i, at = machine.lookup(*_term_sets(batch))
+        data += np.split(i, at[1:-1])
     if not label:
         return
     y = np.array(label, float)
-    machine, seen = Machine(buckets, weights.copy()), np.full(weights.shape, 1e-4)
     order = np.random.default_rng(turn)
     for _ in range(3):
         for some in np.array_split(order.permutation(len(y)), max(1, len(y) // 64)):
             at = np.zeros(len(some) + 1, np.int64)
             np.cumsum([len(data[x]) for x in some], out=at[1:])
-            machine.step(np.concatenate([data[x] for x in some]).astype(np.int64), at, y[some], seen, 0.1, 1e-5)
+            machine.step(np.concatenate([data[x] for x in some]), at, y[some], seen, 0.1, 1e-5)
     yield pa.record_batch([pa.array([len(y)], pa.int64()), pa.array([machine.weights.tobytes()], pa.binary())], ["n", "model"])
 
 
-def fit(labelled: DataFrame, terms_most: int = TERMS, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Machine:
-    """A machine from labelled rows (doc_id, text, label 0 or 1); others are left out. Without both labels it scores every text alike.
-
-    Bucket counts are taken over all labelled rows; the steps take at most about fit_rows of them, those with the lowest hash of doc_id.
-    """
-    labelled = labelled.filter("label in (0, 1)")
+def fit(labelled: DataFrame, terms_most: int = TERMS, rounds: int = ROUNDS) -> Machine:
+    """A machine from rows (label 0 or 1, terms); rows with other labels are left out. Without both labels it scores every text alike."""
+    labelled = labelled.select(F.col("label").cast("int").alias("label"), "terms").filter("label in (0, 1)")
     size = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(size.values())
     if len(size) < 2:
         machine = Machine(np.zeros(0, np.int64))
         machine.weights[-1, 0] = 3.0 if 1 in size else -3.0
         return machine
     buckets = chosen_terms(labelled, terms_most)
-    share = min(1.0, fit_rows / total)
-    some = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = saved(some.repartition(8, "doc_id").mapInArrow(partial(_rows, buckets=buckets), "label int, terms binary"), "terms")
     machine = Machine(buckets)
     machine.weights[-1, 0] = np.log(size[1] / size[0])
     for turn in range(rounds):
-        models = rows.mapInArrow(partial(_round, buckets=buckets, weights=machine.weights, turn=turn), "n long, model binary").collect()
+        models = labelled.mapInArrow(partial(_round, buckets=buckets, weights=machine.weights, turn=turn), "n long, model binary").collect()
         n = sum(m["n"] for m in models)
-        if not n:
-            break
         machine = Machine(buckets, sum(np.frombuffer(m["model"], float).reshape(machine.weights.shape) * (m["n"] / n) for m in models))
     return machine
 
@@ -208,15 +204,24 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents, without those that are held out (crc32 of doc_id's text divisible by 5).
+def labelled_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, toxic, quality, terms) of labelled documents, without those that are held out (crc32 of doc_id's text divisible by 5).
 
-    Of a doc_id's labels the highest counts; rows with a null doc_id or label are left out.
+    At most about fit_rows of them, those with the lowest hashes of doc_id: that bounds what is broadcast to find their texts, which stay where
+    they are read. Of a doc_id's labels the highest toxic and the lowest quality count; rows with a null doc_id are left out.
     """
-    own = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    if held_out:
-        own = own.filter(~is_held_out("doc_id", 0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, "doc_id")
+    own = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.min("quality").cast("int").alias("quality"))
+    own = own.filter(~is_held_out("doc_id", 0))
+    share = min(1.0, fit_rows / max(1, own.count()))
+    own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    names = ["doc_id", "toxic", "quality"]
+    found = texts.mapInArrow(partial(_terms_of, names=names), "doc_id long, toxic int, quality int, terms binary")
+    return saved(found.repartition(8, "doc_id"), "terms")
+
+
+def toxic_machine(rows: DataFrame) -> Machine:
+    return fit(rows.select(F.col("toxic").alias("label"), "terms"))
 
 
 def is_held_out(column: str, remainder: int):
@@ -225,6 +230,6 @@ def is_held_out(column: str, remainder: int):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= 0.5) of every row of docs; labels, lang, source and doc_id are no inputs of a score."""
-    machine = fit(labelled_texts(docs, labels))
+    machine = toxic_machine(labelled_terms(docs, labels))
     out = score(docs.select("doc_id", "text"), machine, ["doc_id"])
     return out.select("doc_id", is_held_out("doc_id", 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
