@@ -97,9 +97,9 @@ ORACLE_SQL: dict[str, str] = {
         select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict from parts p left join fits f on f.n = p.n and f.place = 1
     """,
     "op9_exact_topk": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
-            where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-        s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.e, b.e), z -> z[1] * z[2])) as bigint) as score
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) as bigint) as score
             from v a join v b on a.vec_id != b.vec_id where a.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
         select query_id, cast(place as integer) as rank, vec_id, score from r where place <= 5
