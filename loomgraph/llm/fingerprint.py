@@ -129,7 +129,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("doc_id")).first()
     parts = max(8, -(-size // bucket_bytes))
-    coarse = max(1, int(parts**0.5))
+    coarse = max(12, 2 * int(parts**0.5))  # ranges are a few for each task, so tasks are even
     cuts = rows.agg(F.percentile_approx("doc_id", [i / (coarse * coarse) for i in range(1, coarse * coarse)] or [0.5], 20000)).first()[0] if n else []
     cuts = sorted(set(cuts or []), reverse=True)
     # the number of cuts above an id, first among every coarse-th cut, then between two of these
