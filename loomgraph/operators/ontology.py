@@ -82,3 +82,37 @@ def known_headings(articles: DataFrame, entries: DataFrame) -> DataFrame:
     """(pmid, ui, name, major, qualifiers) of article headings whose ui is known; a leading ``*`` is no part of a ui."""
     each = articles.select("pmid", F.explode("headings").alias("h")).select("pmid", F.regexp_replace("h.descriptor", r"^\*", "").alias("ui"), F.col("h.major").alias("major"), F.col("h.qualifiers").alias("qualifiers"))
     return each.join(entries.select("ui", "name"), "ui")
+
+
+def phenotype_diseases(annotations: DataFrame, terms: DataFrame) -> DataFrame:
+    """(phenotype, disease, type) of annotations whose phenotype is known, one for each pair and type."""
+    known = terms.select(F.col("id").alias("phenotype"))
+    return annotations.join(known, "phenotype", "left_semi").select("phenotype", "disease", "type").distinct()
+
+
+def phenotype_genes(rows: DataFrame, terms: DataFrame, linked: DataFrame) -> DataFrame:
+    """(phenotype, gene) pairs of known phenotypes that no edge joins yet."""
+    known = terms.select(F.col("id").alias("phenotype"))
+    return rows.join(known, "phenotype", "left_semi").select("phenotype", "gene").distinct().join(linked, ["phenotype", "gene"], "left_anti")
+
+
+def named_qualifiers(entries: DataFrame, names: DataFrame) -> DataFrame:
+    """Qualifiers among the entries by name."""
+    return entries.filter("kind = 'Qualifier'").join(names, "name", "left_semi")
+
+
+def context(entries: DataFrame, links: DataFrame, ui: str, skip: int, top: int) -> DataFrame:
+    """What an entry stands in: a term's concept, all that a concept is linked with, a qualifier's users, a descriptor itself; by ui, ``top`` after ``skip``."""
+    own = entries.filter(F.col("ui") == ui)
+    near = links.filter(F.col("child") == ui).select(F.col("parent").alias("ui")).unionByName(links.filter(F.col("parent") == ui).select(F.col("child").alias("ui")))
+    kind = own.select(F.col("kind").alias("_kind"))
+    linked = entries.join(near.distinct(), "ui", "left_semi").join(kind.filter("_kind in ('Term', 'Concept')"), how="left_semi", on=F.lit(True))
+    users = entries.filter(F.array_contains("qualifiers", ui)).join(kind.filter("_kind = 'Qualifier'"), how="left_semi", on=F.lit(True))
+    self_ = own.filter("kind in ('Descriptor', 'SupplementalDescriptor')")
+    return linked.unionByName(users).unionByName(self_).select("ui", "kind").orderBy("ui").offset(skip).limit(top)
+
+
+def link_sets(rows: DataFrame, name: str) -> DataFrame:
+    """(id, link) of the link sets of a name, from rows (id, linksets: array of linkname and links)."""
+    sets = rows.select("id", F.explode("linksets").alias("s")).filter(F.col("s.linkname") == name)
+    return sets.select("id", F.explode("s.links").alias("link"))

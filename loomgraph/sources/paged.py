@@ -1,0 +1,66 @@
+"""A paged service as a Spark data source, replayed from stored pages.
+
+Pages are files ``<n>.json`` (from 0) with one JSON array each, in a folder that the tasks can read. Each partition reads a run of pages and stops at the first one that is short, as
+the service's own paging does; a page that can't be read is tried again a few times.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Pages(InputPartition):
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.size = options["path"], int(options.get("pagesize", "100"))
+        self.most, self.tries = int(options.get("pages", "1000")), int(options.get("tries", "6"))
+        self.run = int(options.get("run", "16"))
+
+    def partitions(self) -> list[Pages]:
+        return [Pages(a, min(a + self.run, self.most)) for a in range(0, self.most, self.run)]
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for n in range(partition.first, partition.last):
+            page = Path(self.path, f"{n}.json")
+            if not page.exists():
+                return
+            for attempt in range(self.tries):
+                try:
+                    rows = json.loads(page.read_text(encoding="utf-8"))
+                    break
+                except OSError:
+                    if attempt + 1 == self.tries:
+                        raise
+                    time.sleep(0.1 * 2**attempt)
+            for i, row in enumerate(rows):
+                yield n, i, json.dumps(row)
+            if len(rows) < self.size:
+                return
+
+
+class PagedSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def schema(self) -> str:
+        return "page int, place int, json string"
+
+    def reader(self, schema) -> PagedReader:
+        return PagedReader(self.options)
+
+
+def paged(spark: SparkSession, path: str, page_size: int = 100, pages: int = 1000) -> DataFrame:
+    """page, place and JSON text of every row of the stored pages."""
+    spark.dataSource.register(PagedSource)
+    return spark.read.format("paged").option("path", path).option("pagesize", page_size).option("pages", pages).load()

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import catalog
+from loomgraph.plans import catalog, lookups  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
