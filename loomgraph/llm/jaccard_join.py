@@ -66,7 +66,9 @@ def _share_points(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> It
         texts = tx.strings(batch.column(1))
         for a, b in tx.slices(texts, 4 << 20):
             h, at, ids = point_sets(texts.slice(a, b - a), k)
-            keep = in_share(h)
+            once = np.zeros(len(ids), bool)
+            once[np.unique(ids, return_index=True)[1]] = True  # copies in a slice travel once
+            keep = in_share(h) & np.repeat(once, np.diff(at))
             out = np.empty(int(keep.sum()), POINT)
             out["h"], out["d"] = h[keep], np.repeat(ids, np.diff(at))[keep]
             out = out[np.argsort(out["h"], kind="stable")]
