@@ -24,7 +24,7 @@ from loomgraph.llm.store import per_bucket, saved
 BUCKETS = 1 << 18
 TERMS = 2048
 RANK = 8
-ROUNDS = 6
+ROUNDS = 10
 #: Labelled texts to fit on, at most about so many.
 FIT_ROWS = 40_000
 PREFIXES = (4, 5, 6, 7)
