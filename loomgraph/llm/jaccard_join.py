@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
 from loomgraph.llm.components import components
-from loomgraph.llm.store import BLOB, blob_batch, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
+from loomgraph.llm.store import BLOB, blob_batch, blobs, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
 
 #: Sixteenths of the hash space in which singletons are counted.
 SHARE = 5
 POINT = np.dtype([("h", "<u8"), ("d", "<i8")])
 SIZED = np.dtype([("h", "<u8"), ("d", "<i8"), ("n", "<i4"), ("df", "<i4")])
 COUNT = np.dtype([("d", "<i8"), ("c", "<i4")])
+KINDS = "bucket int, kind int, data binary"
 LEAF = 512
 PIVOTS = 12
 
@@ -62,6 +63,8 @@ def _meta(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _share_points(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of the shared part, by bucket (kind 0). Those that two points of a slice hold are counted for these points here (kind 1), and only one record without
+    a point travels for them, so a shingle of very many documents sends one record a slice."""
     for batch in batches:
         texts = tx.strings(batch.column(1))
         for a, b in tx.slices(texts, 4 << 20):
@@ -72,7 +75,22 @@ def _share_points(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> It
             out = np.empty(int(keep.sum()), POINT)
             out["h"], out["d"] = h[keep], np.repeat(ids, np.diff(at))[keep]
             out = out[np.argsort(out["h"], kind="stable")]
-            yield blob_batch(top_bits(out["h"], buckets), out)
+            new = np.concatenate(([True], out["h"][1:] != out["h"][:-1])) if len(out) else np.zeros(0, bool)
+            alone = new & np.append(new[1:], True)
+            shared_by, count = np.unique(out["d"][~alone], return_counts=True)
+            out["d"][new & ~alone] = 0  # the id of no point
+            out = out[new]
+            ids0, data0 = blobs(top_bits(out["h"], buckets), out)
+            ids1, data1 = _count_blobs(shared_by, count, buckets)
+            yield pa.record_batch([pa.array(ids0 + ids1, pa.int32()), pa.array([0] * len(ids0) + [1] * len(ids1), pa.int32()), pa.array(data0 + data1, pa.binary())], ["bucket", "kind", "data"])
+
+
+def _count_blobs(node: np.ndarray, count: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    out = np.empty(len(node), COUNT)
+    out["d"], out["c"] = node, count
+    where = top_bits(tx.mix(np.ascontiguousarray(node).view(np.uint64)), buckets)
+    order = np.argsort(where, kind="stable")
+    return blobs(where[order], out[order])
 
 
 def _runs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +104,16 @@ def _runs(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(table: pa.Table, buckets: int) -> pa.Table:
-    """How many of a bucket's shingles each point shares with another one, sent to the buckets of the points."""
-    rec, df = _runs(unblob(table, POINT))
-    node, count = np.unique(rec["d"][df > 1], return_counts=True)
-    out = np.empty(len(node), COUNT)
-    out["d"], out["c"] = node, count
-    where = top_bits(tx.mix(node.view(np.uint64)), buckets)
-    order = np.argsort(where, kind="stable")
-    return pa.Table.from_batches([blob_batch(where[order], out[order])])
+    """How many of a bucket's shingles each point shares with another one, and what was counted before, sent to the buckets of the points.
+
+    A point whose copies lie in several slices can be counted more than once for a shingle; that only lets it stay.
+    """
+    kind = table.column("kind").to_numpy()
+    rec, df = _runs(unblob(table.filter(pa.array(kind == 0)), POINT))
+    node, count = np.unique(rec["d"][(df > 1) & (rec["d"] != 0)], return_counts=True)
+    known = unblob(table.filter(pa.array(kind == 1)), COUNT)
+    ids, data = _count_blobs(np.concatenate([node, known["d"]]), np.concatenate([count, known["c"]]), buckets)
+    return pa.table({"bucket": pa.array(ids, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -351,7 +371,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     b = buckets_for(total * SHARE / 16 * POINT.itemsize)
-    postings = rows.filter("doc_id is not null").mapInArrow(partial(_share_points, k=k, buckets=b), BLOB)
+    postings = rows.filter("doc_id is not null").mapInArrow(partial(_share_points, k=k, buckets=b), KINDS)
     shared = per_bucket(per_bucket(postings, _shared, BLOB, buckets=b), _summed, "node long, shared long")
     near = saved(nodes.join(shared, "node", "left").filter("inside - coalesce(shared, 0) <= n div 5"), "near")
 
