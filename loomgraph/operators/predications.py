@@ -41,8 +41,9 @@ def nested_evidence(found: DataFrame) -> DataFrame:
     return found.groupBy(*TRIPLE, "cnt").agg(F.sort_array(F.collect_list(F.struct("pmid", "sentence"))).alias("evidence"))
 
 
-def by_pmid(rows: DataFrame, sentences: DataFrame, pmids: list[int]) -> DataFrame:
-    return rows.filter(F.col("pmid").isin(*pmids)).join(sentences, "sentence_id")
+def by_pmid(rows: DataFrame, sentences: DataFrame, pmids: DataFrame) -> DataFrame:
+    """Predications of the articles in pmids, with their sentences."""
+    return rows.join(pmids.select("pmid").distinct(), "pmid", "left_semi").join(sentences, "sentence_id")
 
 
 def with_predicate(rows: DataFrame, predicate: str) -> DataFrame:
@@ -57,14 +58,19 @@ def with_object(rows: DataFrame, concept: str) -> DataFrame:
     return rows.filter(F.lower(F.col("object").cast("string")) == concept.lower())
 
 
-def summary(rows: DataFrame, concept) -> DataFrame:
-    """(kind, value, n) about a concept: its predicates, semantic types of both sides, the concepts at the other end, and how many articles."""
-    own = around(rows, concept)
-    count = lambda kind, value: own.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
-    sides = own.select(F.explode(F.array("subtype", "objtype")).alias("t")).groupBy(F.col("t").cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit("semtype").alias("kind"), "value", "n")
-    pmids = own.agg(F.countDistinct(F.col("pmid").try_cast("long")).alias("n")).select(F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n")
-    other = F.when(F.col("subject") == concept, F.col("object")).otherwise(F.col("subject"))
-    return count("predicate", F.col("predicate")).unionByName(count("concept", other)).unionByName(sides).unionByName(pmids)
+def summary(rows: DataFrame, concept=None) -> DataFrame:
+    """(concept, kind, value, n) about each concept, or one: its predicates, semantic types of both sides, the concepts at the other end, and how many articles.
+
+    A row counts for its subject and for its object.
+    """
+    side = lambda own, other: rows.select(F.col(own).alias("concept"), F.col(other).alias("other"), "predicate", "subtype", "objtype", "pmid")
+    both = side("subject", "object").unionByName(side("object", "subject"))
+    own = both if concept is None else both.filter(F.col("concept") == concept)
+    each = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
+    values = F.array(each("predicate", "predicate"), each("concept", "other"), each("semtype", "subtype"), each("semtype", "objtype"))
+    counts = own.select("concept", F.explode(values).alias("v")).groupBy("concept", "v.kind", "v.value").agg(F.count("*").alias("n"))
+    pmids = own.groupBy("concept").agg(F.countDistinct(F.col("pmid").try_cast("long")).alias("n"))
+    return counts.unionByName(pmids.select("concept", F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n"))
 
 
 def related(rows: DataFrame, names: DataFrame, key: str, name: str, top: int) -> DataFrame:

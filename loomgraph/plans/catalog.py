@@ -133,9 +133,9 @@ def nodes_where(spark, d):
     return G.nodes_where(part_nodes(spark, d), 1, F.array_contains("tags", "ECONOMY") & (F.col("props")["_size"].cast("int") > 10)).select("id", "name")
 
 
-@query("select l_partkey as src, -l_suppkey as dst, count(*) as n from lineitem where l_returnflag = 'R' and l_partkey % 7 = 3 group by 1, 2")
+@query("select l_partkey as src, -l_suppkey as dst, count(*) as n from lineitem where l_returnflag = 'R' group by 1, 2")
 def edges_where(spark, d):
-    return G.edges_where(item_edges(spark, d), 1, (F.col("type") == "R") & (F.col("src") % 7 == 3)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return G.edges_where(item_edges(spark, d), 1, F.col("type") == "R").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 @query("select p_partkey as id from part where p_name = (select min(p_name) from part)")
@@ -214,10 +214,12 @@ def nested_evidence(spark, d):
     return P.nested_evidence(found).select("subject", "predicate", "object", F.array_join(F.transform("evidence", lambda e: e["pmid"].cast("string")), ",").alias("pmids"))
 
 
-@query("""select 'predicate' as kind, l_returnflag as value, count(*) as n from lineitem where l_partkey = 7 group by 2 union all select 'concept', cast(l_suppkey as varchar), count(*) from lineitem where l_partkey = 7 group by 2
-    union all select 'semtype', l_linestatus, 2 * count(*) from lineitem where l_partkey = 7 group by 2 union all select 'pmids', 'distinct', count(distinct l_orderkey) from lineitem where l_partkey = 7""")
+@query("""with r as (select l_partkey as concept, l_suppkey + 10000000 as other, l_returnflag as p, l_linestatus as t, l_orderkey as o from lineitem
+    union all select l_suppkey + 10000000, l_partkey, l_returnflag, l_linestatus, l_orderkey from lineitem)
+    select concept, 'predicate' as kind, p as value, count(*) as n from r group by 1, 3 union all select concept, 'concept', cast(other as varchar), count(*) from r group by 1, 3
+    union all select concept, 'semtype', t, 2 * count(*) from r group by 1, 3 union all select concept, 'pmids', 'distinct', count(distinct o) from r group by 1""")
 def predicate_summary(spark, d):
-    return P.summary(predication_rows(spark, d).withColumn("object", F.col("object") + 10_000_000), 7).select("kind", F.when(F.col("kind") == "concept", (F.col("value").try_cast("long") - 10_000_000).cast("string")).otherwise(F.col("value")).alias("value"), "n")
+    return P.summary(predication_rows(spark, d).withColumn("object", F.col("object") + 10_000_000))
 
 
 @query("select s.s_name, t.n from (select l_suppkey, count(*) as n from lineitem group by l_suppkey) t join supplier s on s.s_suppkey = t.l_suppkey order by t.n desc, s.s_name asc limit 20")
@@ -226,9 +228,10 @@ def related_concepts_ranked(spark, d):
     return P.related(predication_rows(spark, d), names, "s_suppkey", "s_name", 20)
 
 
-@query("select l.l_orderkey as pmid, l.l_partkey as subject, l.l_suppkey as object, l.l_returnflag as predicate, o.o_orderpriority as sentence from lineitem l join orders o on l.l_orderkey = o.o_orderkey where l.l_orderkey in (1, 2, 3, 201)")
+@query("select l.l_orderkey as pmid, l.l_partkey as subject, l.l_suppkey as object, l.l_returnflag as predicate, o.o_orderpriority as sentence from lineitem l join orders o on l.l_orderkey = o.o_orderkey where o.o_orderpriority = '1-URGENT'")
 def predications_by_pmid(spark, d):
-    return P.by_pmid(predication_rows(spark, d), sentence_rows(spark, d), [1, 2, 3, 201]).select("pmid", "subject", "object", "predicate", "sentence")
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("pmid"))
+    return P.by_pmid(predication_rows(spark, d), sentence_rows(spark, d), urgent).select("pmid", "subject", "object", "predicate", "sentence")
 
 
 @query("select l_partkey as subject, l_suppkey as object, count(*) as n from lineitem where l_returnflag = 'A' group by 1, 2")

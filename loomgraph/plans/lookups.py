@@ -111,11 +111,10 @@ def compact_graph_json(spark, d):
     return G.graph_json(part_nodes(spark, d).unionByName(supplier_nodes(spark, d)), item_edges(spark, d), full=False)
 
 
-@query("select distinct -l.l_suppkey as id, 'B' as side from lineitem l where l.l_partkey = 7 union all select distinct l.l_partkey, 'A' from lineitem l where l.l_suppkey = 7")
-def neighbours_of_one(spark, d):
+@query("select distinct -l.l_suppkey as id from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_brand = 'Brand#13'")
+def neighbours_of_tagged(spark, d):
     nodes, edges = part_nodes(spark, d).unionByName(supplier_nodes(spark, d)), item_edges(spark, d)
-    one = lambda i, side: G.neighbors(edges, nodes, of=nodes.filter(F.col("id") == i)).select(F.col("other").alias("id"), F.lit(side).alias("side")).distinct()
-    return one(7, "B").unionByName(one(-7, "A"))
+    return G.neighbors(edges, nodes, of=G.has_tag(nodes, "Brand#13")).select(F.col("other").alias("id")).distinct()
 
 
 @query("select count(*) as n from (select distinct l_suppkey from lineitem where l_partkey in (select p_partkey from part where p_type = 'PROMO')) t")
