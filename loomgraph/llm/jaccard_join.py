@@ -221,7 +221,7 @@ class Region:
         df = np.diff(edge)
         out = np.zeros((m, m), np.float32)
         frequent = np.flatnonzero(df > max(8, m // 4))
-        width = max(1, (8 << 20) // m)
+        width = max(1, (2 << 20) // m)
         for a in range(0, len(frequent), width):  # frequent shingles: a dense product
             some = frequent[a : a + width]
             dense = np.zeros((m, len(some)), np.float32)
@@ -260,11 +260,14 @@ class Region:
             regions = [np.flatnonzero(dist[:, j] <= near + radius + 1e-9) for j in range(len(pivots)) if (home == j).any()]
             if sum(len(r) ** 2 for r in regions) < 0.7 * m * m:
                 return np.unique(np.concatenate([self.links(members[r], percent) for r in regions]))
-        both = self.common(members).astype(np.int64)
-        n = self.n[members]
-        i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
-        a, b = members[i], members[j]
-        return np.sort(np.minimum(a, b) << 32 | np.maximum(a, b))
+        common, n, found = self.common(members), self.n[members], []
+        for s in range(0, m, 256):  # some rows at a time, so that only the sizes of the intersections stand in memory whole
+            both = common[s : s + 256, s + 1 :].astype(np.int64)
+            i, j = np.nonzero(100 * both >= percent * (n[s : s + 256, None] + n[None, s + 1 :] - both))
+            above = j >= i
+            a, b = members[s + i[above]], members[s + 1 + j[above]]
+            found.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+        return np.sort(np.concatenate(found))
 
 
 def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

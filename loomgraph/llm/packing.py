@@ -55,7 +55,7 @@ class ChunkEncoder:
     The tokenizer file's own ranks drive the faster of two public encoders; the tests compare its ids with the file's library.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         import public_tokenizers
         import tiktoken
 
