@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
 from loomgraph.llm.store import saved
-from loomgraph.llm.toxicity import Machine, fit, labelled_terms, terms, toxic_machine
+from loomgraph.llm.toxicity import Machine, fit, labelled_terms, marked, terms, toxic_machine
 
 DOMAINS = ("high", "low", "toxic")
 ITERATIONS = 60
@@ -32,13 +32,12 @@ def domain_machines(docs: DataFrame, labels: DataFrame) -> tuple[Machine, Machin
 
 
 def _posteriors(batches: Iterator[pa.RecordBatch], toxic: Machine, quality: Machine) -> Iterator[pa.RecordBatch]:
+    wanted = marked(toxic, quality)
     for batch in batches:
         texts = tx.strings(batch.column("text"))
         for a, b in tx.slices(texts):
-            own = texts.slice(a, b - a)
-            t, at = terms(own)
+            t, at, n = terms(texts.slice(a, b - a), wanted)
             bad, good = toxic.scores(*toxic.lookup(t, at)), quality.scores(*quality.lookup(t, at))
-            n = np.diff(tx.words(own).first)
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array((1 - bad) * good), pa.array((1 - bad) * (1 - good)), pa.array(bad)], ["doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]])
 
 
@@ -103,7 +102,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
         for _ in range(iterations):
             steps = np.vstack([steps, size * (now - goal)])
             last, (now, _) = now, totals(steps)
-            if np.abs(now - goal).max() < 3e-4 * goal.sum() or np.abs(now - last).max() < 1e-5 * goal.sum():
+            if np.abs(now - goal).max() < 1e-3 * goal.sum() or np.abs(now - last).max() < 1e-5 * goal.sum():
                 break
     rated = table.mapInArrow(partial(_rated, steps=steps, least=least, most=most), schema + ", rate double")
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))

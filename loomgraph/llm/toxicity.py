@@ -33,22 +33,41 @@ MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 PARTS = 64
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct term buckets of each text of a large_string array without nulls, and where each text's begin."""
+def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct term buckets of each text of a large_string array without nulls, where each text's begin, and how many words it has.
+
+    ``wanted`` marks the buckets of interest; others are left out before anything is sorted.
+    """
     w = tx.words(column)
     start, end = w.start.copy(), w.end.copy()
     for _ in range(4):
         start += MARK[w.data[start]] & (end - start > 1) if len(start) else 0
         end -= MARK[w.data[end - 1]] & (end - start > 1) if len(end) else 0
     text_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    found, owner = [tx.word_hashes(w.data, start, end)], [text_of]
+    keys = []
+
+    def add(h: np.ndarray, owner: np.ndarray) -> None:
+        bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        if wanted is not None:
+            keep = wanted[bucket]
+            bucket, owner = bucket[keep], owner[keep]
+        keys.append(owner << 18 | bucket)
+
+    add(tx.word_hashes(w.data, start, end), text_of)
     for p in PREFIXES:
         long = end - start > p
-        found.append(tx.mix(tx.word_hashes(w.data, start[long], start[long] + p) + np.uint64(p)))
-        owner.append(text_of[long])
-    key = np.unique(np.concatenate(owner).astype(np.uint64) << np.uint64(18) | np.concatenate(found) & np.uint64(BUCKETS - 1))
-    at = np.searchsorted(key, np.arange(len(w.first), dtype=np.uint64) << np.uint64(18))
-    return (key & np.uint64(BUCKETS - 1)).astype(np.int64), at
+        add(tx.mix(tx.word_hashes(w.data, start[long], start[long] + p) + np.uint64(p)), text_of[long])
+    key = np.unique(np.concatenate(keys))
+    at = np.searchsorted(key, np.arange(len(w.first)) << 18)
+    return key & (BUCKETS - 1), at, np.diff(w.first)
+
+
+def marked(*machines: Machine) -> np.ndarray:
+    """The buckets that some machines look at."""
+    out = np.zeros(BUCKETS, bool)
+    for m in machines:
+        out[m.buckets] = True
+    return out
 
 
 def _term_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +163,7 @@ def _terms_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
     for batch in batches:
         texts = tx.strings(batch.column("text"))
         for a, b in tx.slices(texts):
-            t, at = terms(texts.slice(a, b - a))
+            t, at, _ = terms(texts.slice(a, b - a))
             data = [t[s:e].astype(np.int32).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(a, b - a) for n in names], pa.array(data, pa.binary())], [*names, "terms"])
 
@@ -189,11 +208,13 @@ def fit(labelled: DataFrame, terms_most: int = TERMS, rounds: int = ROUNDS) -> M
 
 def _score(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
     machine = Machine(buckets, weights)
+    wanted = marked(machine)
     for batch in batches:
         texts = tx.strings(batch.column("_text"))
         score = np.empty(batch.num_rows)
         for a, b in tx.slices(texts):
-            score[a:b] = machine.scores(*machine.lookup(*terms(texts.slice(a, b - a))))
+            t, at, _ = terms(texts.slice(a, b - a), wanted)
+            score[a:b] = machine.scores(*machine.lookup(t, at))
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(score)], [*names, "toxic_score"])
 
 
