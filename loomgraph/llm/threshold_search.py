@@ -29,7 +29,7 @@ class Shard:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.exact = np.float64 if not vectors.size or np.abs(vectors).max() < 1 << 22 else np.int64
-        self.rising = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.rising = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
         self.dense = self.vectors.astype(self.exact)
 
     def top(self, query_id: int, query: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,19 +39,24 @@ class Shard:
         q = query.astype(self.exact)
         seen = np.zeros(n, bool)
         falls = query[dims] > 0
-        depth, step = 0, 64
+        down, up = dims[falls], dims[~falls]
+        depth, step = 0, 256
         while depth < n:
             to = min(n, depth + step)
+            new = np.zeros(n, bool)
             if len(dims):
-                part = self.rising[dims]
-                met = np.unique(np.concatenate([part[falls][:, n - to : n - depth].ravel(), part[~falls][:, depth:to].ravel()]))
+                new[self.rising[down, n - to : n - depth]] = True
+                new[self.rising[up, depth:to]] = True
             else:
-                met, to = np.arange(n), n
-            met = met[~seen[met]]
-            seen[met] = True
+                new[:], to = True, n
+            met = np.flatnonzero(new & ~seen)
+            seen |= new
             got = (self.dense[met] @ q).astype(np.int64)
             own = self.ids[met] != query_id
             ids, scores = np.concatenate([ids, self.ids[met][own]]), np.concatenate([scores, got[own]])
+            if len(scores) > 64:  # only what can be among the best is sorted
+                least = np.partition(scores, -k)[-k]
+                ids, scores = ids[scores >= least], scores[scores >= least]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             if to < n and len(ids) == k:
