@@ -3,7 +3,9 @@
 Seeds are word 5-mers that are the smallest hash of some window of eight; any eight 5-mers in a row that two documents share give them a seed in
 common. Each occurrence of a seed is matched with the first one (by doc_id, then place) and with the one just before it, so a passage in
 a million documents gives two million matches and not the square. Occurrences in the same slice of a task are matched there, and only the first of
-them travels. The matches of a document with one source are chained: the best chain of matches in the order of both texts, with a cost
+them travels. That finds partners; it doesn't settle which document holds a whole passage, since the seeds of a passage can have different firsts.
+So runs of matched seeds that repeats don't cover are joined again, two seeds at a time, with all earlier occurrences, and these matches are chained alike.
+The matches of a document with one source are chained: the best chain of matches in the order of both texts, with a cost
 for each word of gap, comes from a Fenwick tree of prefix maxima. Chains are then aligned with the words of both texts, along the diagonals of
 their matches, and grown at both ends while words agree. What is at least ``min_words`` long and agrees in 80 % of its words is a repeat.
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import blobs, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
+from loomgraph.llm.store import FILTER_BITS, blobs, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
 
 K = 5
 WINDOW = 8
@@ -77,18 +79,23 @@ def _by_doc(match: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return where[order], match[order]
 
 
+def _seeds_of(texts: pa.Array, docs: np.ndarray, min_words: int) -> np.ndarray:
+    w = tx.words(texts)
+    h, at = tx.shingles(w.hash, w.first, K)
+    place = minimizers(h, at)
+    own = np.searchsorted(at, place, "right") - 1
+    long = np.diff(w.first)[own] >= min_words
+    place, own = place[long], own[long]
+    rec = np.empty(len(place), SEED)
+    rec["h"], rec["d"], rec["p"] = h[place], docs[own], place - at[own]
+    return rec
+
+
 def _seeds(batches: Iterator[pa.RecordBatch], buckets: int, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, docs = tx.strings(batch.column("text")), batch.column("doc_id").to_numpy()
         for a, b in tx.slices(texts):
-            w = tx.words(texts.slice(a, b - a))
-            h, at = tx.shingles(w.hash, w.first, K)
-            place = minimizers(h, at)
-            own = np.searchsorted(at, place, "right") - 1
-            long = np.diff(w.first)[own] >= min_words
-            place, own = place[long], own[long]
-            rec = np.empty(len(place), SEED)
-            rec["h"], rec["d"], rec["p"] = h[place], docs[a:b][own], place - at[own]
+            rec = _seeds_of(texts.slice(a, b - a), docs[a:b], min_words)
             first, match = _matches(rec[np.lexsort((rec["p"], rec["d"], rec["h"]))])
             ids, data = blobs(top_bits(first["h"], buckets), first)
             ids2, data2 = blobs(*_by_doc(match, buckets))
@@ -96,6 +103,29 @@ def _seeds(batches: Iterator[pa.RecordBatch], buckets: int, min_words: int) -> I
             yield pa.record_batch([pa.array(ids + ids2, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data + data2, pa.binary())], ["bucket", "kind", "data"])
 
 
+def _links(batches: Iterator[pa.RecordBatch], min_words: int, mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Every two seeds of a text that may follow one another in a chain: (h of both, d, p, p2). ``mask`` has the h of interest, a column ``places`` the p."""
+    for batch in batches:
+        texts, docs = tx.strings(batch.column("text")), batch.column("doc_id").to_numpy()
+        for a, b in tx.slices(texts):
+            rec = _seeds_of(texts.slice(a, b - a), docs[a:b], min_words)
+            if mask is None:
+                wanted = np.concatenate([np.zeros(0, np.int64), *[docs[x] << 32 | np.frombuffer(r, "<i4") for x in range(a, b) for r in batch.column("places")[x].as_py()]])
+                rec = rec[np.isin(rec["d"] << 32 | rec["p"], wanted)]
+            parts = []
+            for t in range(1, GAP + K + 1):
+                i = np.flatnonzero((rec["d"][t:] == rec["d"][:-t]) & (rec["p"][t:] > rec["p"][:-t]) & (rec["p"][t:] - rec["p"][:-t] <= GAP + K))
+                h = tx.mix(rec["h"][i] ^ tx.mix(rec["h"][i + t]))
+                if mask is not None:
+                    keep = np.ones(len(h), bool)
+                    for x in (h, h >> np.uint64(32)):
+                        at = (x & np.uint64(32 * len(mask) - 1)).astype(np.int64)
+                        keep &= (mask[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+                    i, h = i[keep], h[keep]
+                parts.append((h.view(np.int64), rec["d"][i], rec["p"][i], rec["p"][i + t]))
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "d", "p", "p2"])
+
+
 def _join_seeds(table: pa.Table, buckets: int) -> pa.Table:
     """Matches of the seeds of a bucket, and those matched before, to the buckets of their documents."""
     kind = table.column("kind").to_numpy()
@@ -151,12 +181,23 @@ def chain(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
 CHAINS = "doc_id long, source_id long, p_from int, p_to int, q_from int, q_to int, anchors binary"
 
 
+def _runs(rec: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """Runs of the matched places (d, p) of each document, whatever their sources, that are as wide as a chain must be."""
+    at = np.unique(rec[["d", "p"]])
+    runs = np.split(at, np.flatnonzero((at["d"][1:] != at["d"][:-1]) | (np.diff(at["p"]) > GAP + K)) + 1)
+    return [r for r in runs if len(r) >= 2 and r["p"][-1] - r["p"][0] + K >= min_words - 2 * (K + WINDOW)]
+
+
 def _chains(table: pa.Table, min_words: int) -> pa.Table:
+    """Chains of the matches of a bucket's documents, and, with no source, the runs of their matched places."""
     rec = unblob(table, MATCH)
     rec = rec[np.lexsort((rec["q"], rec["p"], rec["s"], rec["d"]))]
     out = {k: [] for k in ("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to", "anchors")}
     if len(rec):
         rec = rec[np.concatenate(([True], np.any([rec[f][1:] != rec[f][:-1] for f in rec.dtype.names], axis=0)))]
+        for run in _runs(rec, min_words):
+            for k, v in zip(out, (run["d"][0], None, run["p"][0], run["p"][-1] + K, None, None, run["p"].astype("<i4").tobytes()), strict=True):
+                out[k].append(v)
         edge = np.flatnonzero(np.concatenate(([True], (rec["d"][1:] != rec["d"][:-1]) | (rec["s"][1:] != rec["s"][:-1]), [True])))
         least = min_words - 2 * (K + WINDOW)  # words of seeds that a whole exact passage surely spans
         wide = (rec["p"][edge[1:] - 1] - rec["p"][edge[:-1]] + K >= least) & (np.diff(edge) >= 2)
@@ -233,27 +274,100 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
 
+def _align_chains(rows: DataFrame, chains: DataFrame, min_words: int) -> DataFrame:
+    """The repeats among chains, by the words of both texts."""
+    near = lambda x, by: F.greatest((F.col(x) + by) / BLOCK, F.lit(0)).cast("int")
+    side = lambda n, doc, a, b: chains.select("chain", F.lit(n).alias("side"), F.col(doc).alias("doc"), F.explode(F.sequence(near(a, -REACH), near(b, REACH))).alias("block"))
+    asked = side(0, "doc_id", "p_from", "p_to").unionByName(side(1, "source_id", "q_from", "q_to"))
+    wanted = asked.select("doc", "block").distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    words = wanted.join(maybe_in(rows, wanted), "doc_id").mapInArrow(_word_blocks, "doc long, block int, words binary").dropDuplicates(["doc", "block"])
+    found = asked.join(words, ["doc", "block"]).groupBy("chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("words"))
+    both = chains.dropDuplicates(["chain"]).join(found, "chain").select("doc_id", "source_id", "anchors", "words")
+    return both.mapInArrow(partial(_aligned, min_words=min_words), REPEATS)
+
+
+def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with a matched place that repeats don't cover."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            p = np.frombuffer(r["anchors"], "<i4")
+            covered = np.zeros(p[-1] + K + 1, np.int64)
+            for s in r["spans"] or ():
+                covered[min(s["start_word"], len(covered) - 1)] += 1
+                covered[min(s["end_word"], len(covered) - 1)] -= 1
+            left = p[(np.cumsum(covered)[p] == 0) | (np.cumsum(covered)[p + K - 1] == 0)]
+            if len(left):
+                out.append((r["doc_id"], r["anchors"]))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 2, (pa.int64(), pa.binary()), strict=True)], ["doc_id", "places"])
+
+
+def _match_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rec = np.empty(batch.num_rows, MATCH)
+        for f in MATCH.names:
+            rec[f] = batch.column(f).to_numpy()
+        ids, data = blobs(*_by_doc(rec, buckets))
+        yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _mask(wanted: DataFrame) -> np.ndarray:
+    """A filter of at most FILTER_BITS bits that holds two bits of each h."""
+    bits, n = 1 << 12, wanted.count()
+    while bits < 16 * n and bits < FILTER_BITS:
+        bits *= 2
+    place = lambda x: x.bitwiseAND(F.lit(bits - 1))
+    word = wanted.select(F.explode(F.array(place(F.col("h")), place(F.shiftrightunsigned("h", 32)))).alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
+    words = word.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask")).toPandas()
+    mask = np.zeros(bits // 32, np.uint32)
+    mask[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
+    return mask
+
+
+def _all_matches(rows: DataFrame, runs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame | None:
+    """(d, s, p, q) of the seeds of runs that repeats leave open, with every earlier occurrence; no run left: None.
+
+    A chain has two matches at least, each within GAP + K words of the next in both texts, so two seeds at a time are joined: far fewer documents
+    hold two seeds in a row than one, and no match of a chain is left out.
+    """
+    held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    left = runs.select("doc_id", "anchors").join(held, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places binary")
+    left = saved(left.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "open")
+    if left.isEmpty():
+        return None
+    links = lambda texts, mask: texts.mapInArrow(partial(_links, min_words=min_words, mask=mask), "h long, d long, p int, p2 int")
+    own = saved(links(left.join(maybe_in(rows, left), "doc_id"), None), "asked")
+    others = links(rows, _mask(own)).select("h", F.col("d").alias("s"), F.col("p").alias("q"), F.col("p2").alias("q2"))
+    both = own.join(others, "h").filter("s < d or s = d and q < p")
+    return both.select("d", "s", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("p2").alias("p"), F.col("q2").alias("q")))).alias("m")).select("d", "s", "m.p", "m.q")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least min_words words that a document repeats from an earlier one (by doc_id), or from an earlier place of its own.
 
     One row for each passage and source: doc_id, source_id, start_word and end_word (in doc_id's words), source_start and source_end, agreement
-    (part of the words that agree). Passages with different sources can overlap.
+    (part of the words that agree). Passages with different sources can overlap. A passage has rows for the sources that its seeds' first and
+    preceding occurrences are in; where these cover less than a run of matched seeds, for all its sources.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = buckets_for(size)
-    seeds = rows.mapInArrow(partial(_seeds, buckets=buckets, min_words=min_words), KINDS)
-    matches = per_bucket(seeds, _join_seeds, "bucket int, data binary", buckets=buckets)
-    chains = saved(per_bucket(matches, _chains, CHAINS, min_words=min_words).withColumn("chain", F.xxhash64("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to")), "chains")
 
-    near = lambda x, by: F.greatest((F.col(x) + by) / BLOCK, F.lit(0)).cast("int")
-    side = lambda n, doc, a, b: chains.select("chain", F.lit(n).alias("side"), F.col(doc).alias("doc"), F.explode(F.sequence(near(a, -REACH), near(b, REACH))).alias("block"))
-    asked = side(0, "doc_id", "p_from", "p_to").unionByName(side(1, "source_id", "q_from", "q_to"))
-    wanted = asked.select("doc", "block").distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))
-    words = wanted.join(maybe_in(rows, wanted), "doc_id").mapInArrow(_word_blocks, "doc long, block int, words binary").dropDuplicates(["doc", "block"])
-    found = asked.join(words, ["doc", "block"]).groupBy("chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("words"))
-    both = chains.dropDuplicates(["chain"]).join(found, "chain").select("doc_id", "source_id", "anchors", "words")
-    return both.mapInArrow(partial(_aligned, min_words=min_words), REPEATS)
+    def chained(matches: DataFrame) -> DataFrame:
+        return saved(per_bucket(matches, _chains, CHAINS, min_words=min_words).withColumn("chain", F.xxhash64("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to")), "chains")
+
+    seeds = rows.mapInArrow(partial(_seeds, buckets=buckets, min_words=min_words), KINDS)
+    chains = chained(per_bucket(seeds, _join_seeds, "bucket int, data binary", buckets=buckets))
+    found = saved(_align_chains(rows, chains.filter("source_id is not null"), min_words), "aligned")
+    matches = _all_matches(rows, chains.filter("source_id is null"), found, min_words)
+    if matches is None:
+        return found
+    more = chained(matches.mapInArrow(partial(_match_blobs, buckets=buckets), "bucket int, data binary")).filter("source_id is not null")
+    more = more.join(chains.select("chain"), "chain", "left_anti")  # aligned before
+    more = _align_chains(rows, more, min_words)
+    known = found.select("doc_id", "source_id", F.col("start_word").alias("_from"), F.col("end_word").alias("_to"))
+    inside = (more["doc_id"] == known["doc_id"]) & (more["source_id"] == known["source_id"]) & (more["start_word"] >= known["_from"]) & (more["end_word"] <= known["_to"])
+    return found.unionByName(more.join(known, inside, "left_anti"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,17 @@ def test_repeats_cover_shared_passages(spark):
     assert need and not missed
 
 
+def test_repeats_whose_seeds_have_other_partners(spark):
+    rng = np.random.default_rng(5)
+    fill = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    one, two = fill(30), fill(30)
+    beside = lambda *parts: " ".join([fill(40), *parts, fill(40)])
+    rows = [(1, beside(one)), (2, beside(two)), (3, beside(one, two)), (4, beside(one)), (5, beside(two)), (6, beside(one, two))]
+    for parts in (1, 4):  # all in one slice, and apart
+        got = repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in got] == [(6, 3, 40, 100)]
+
+
 def test_cut_repeats(spark, odd_docs):
     found = repeats(odd_docs)
     kept = {(r["doc_id"], r["text"]) for r in without_repeats(odd_docs, found).collect()}
