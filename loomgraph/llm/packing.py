@@ -12,11 +12,13 @@ and each distinct chunk is encoded once and looked up afterwards.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +51,20 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(code[c] for c in token): i for token, i in file["model"]["vocab"].items() if i not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the file's library cuts out of a text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class ChunkEncoder:
     """Token ids of texts, by a lookup of chunks that have been encoded before; the lookup starts anew beyond ``most`` chunks.
 
     The tokenizer file's own ranks drive the faster of two public encoders; the tests compare its ids with the file's library.
+    With ``added`` the file's added tokens have their own ids in a text, as in the library's own call; else they are text like any other.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -65,6 +74,8 @@ class ChunkEncoder:
         for token, i in ranks.items():
             self.lengths[i] = len(token)
         self.most = most
+        self.added = added_tokens(path) if added else {}
+        self.pattern = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.before, self.after = _safe_bytes()
         self.forget()
 
@@ -106,6 +117,23 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a large_string array without nulls, and where each text's begin."""
+        if not self.pattern or not pc.any(pc.match_substring_regex(column, self.pattern)).as_py():
+            return self._encode(column)
+        parts, texts = [], np.zeros(len(column) + 1, np.int64)
+        for i, text in enumerate(column.to_pylist()):
+            parts += re.split(f"({self.pattern})", text)  # every second part is an added token
+            texts[i + 1] = len(parts)
+        own = np.array([self.added[t] if (i - a) % 2 else -1 for a, b in zip(texts[:-1].tolist(), texts[1:].tolist(), strict=True) for i, t in enumerate(parts[a:b], a)], np.int64)
+        ids, at = self._encode(pa.array(["" if o >= 0 else t for t, o in zip(parts, own.tolist(), strict=True)], pa.large_string()))
+        at, token = at + np.concatenate([[0], np.cumsum(own >= 0)]), own >= 0
+        out = np.empty(at[-1], np.uint16)
+        out[at[:-1][token]] = own[token]
+        rest = np.ones(len(out), bool)
+        rest[at[:-1][token]] = False
+        out[rest] = ids
+        return out, at[texts]
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         body, off = tx.raw(column)
         n = len(body)
         if not n:
@@ -214,7 +242,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, windows: int, most_pad: int) -> Iterator[pa.RecordBatch]:
-    encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkEncoder(path))
+    encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkEncoder(path, added=True))
     packer = Packer(length, windows, most_pad, TaskContext.get().partitionId() << 32)
     for batch in batches:
         texts = tx.strings(batch.column(1))
@@ -232,6 +260,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, windows: int = 16, most_pad: int = 0) -> DataFrame:
     """Packs every row's token ids, each followed by end_id, into sequences of at most ``length`` tokens.
 
+    Ids are those of the tokenizer file's library without special tokens added: a text's own ``<|endoftext|>`` is one token.
     Returns the pieces: doc_id, start (the row's ids before it), length, ids (little-endian unsigned 32-bit), doc_tokens (with the end),
     sequence_id, offset (in the sequence, gapless from 0). A null or empty text is its end alone; null ids stay null; repeated rows are packed
     each. Every id is in exactly one piece, and every sequence has ``length`` tokens less at most ``most_pad``, or a power of two. Other columns are

@@ -77,6 +77,18 @@ def test_pack(spark, odd_docs):
     assert pack(odd_docs, BPE).filter("start = 0").count() == odd_docs.count()
 
 
+def test_pack_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    texts = [*ODD, "<|endoftext|>", "a <|endoftext|><|endoftext|>b", " <|endoftext|> ", "<|endoftext"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), BPE, length=1 << 16).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        got[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert [got[i] for i in range(len(texts))] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+
 def test_edited_fingerprints(spark, odd_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: -r[0])
