@@ -44,9 +44,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says, once at least."""
     machines = domain_machines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rated = mix(docs, table(spark, sf_dir, "labels"), TARGETS, least=1.0, most=4.0, machines=machines)
+    rated = mix(docs, table(spark, sf_dir, "labels"), TARGETS, least=1.0, machines=machines)
     more = rated.filter("copies > 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(more, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_copies", F.lit(1).cast("long"))))).select(docs.columns)
+    copies = docs.join(more, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1).cast("long")))
+    chunks = copies.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(1000).cast("long"))))  # no long arrays
+    return chunks.withColumn("_copy", F.explode(F.sequence("_at", F.least(F.col("_at") + 999, F.col("_copies") - 1)))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

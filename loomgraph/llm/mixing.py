@@ -1,14 +1,16 @@
 """Soft-membership mixing: nonnegative rates of documents whose expected domain token totals match target weights.
 
 A classifier trained on a labelled table gives each document a posterior over domains. Projected gradient then solves the least squares problem
-``min |sum_i r_i n_i p_i - T|^2, least <= r_i <= most`` for the rates r_i, with n_i tokens, posterior p_i and target totals T, in the metric of the
+``min |sum_i r_i n_i p_i - T|^2, least <= r_i`` for the rates r_i, with n_i tokens, posterior p_i and target totals T, in the metric of the
 tokens (a document's step is its posterior times the residual) and with momentum; the largest eigenvalue of sum_i n_i p_i p_i' gives the step size.
 Each iteration is one pass over the table of posteriors in which a document's rate is replayed from the residuals so far, so there is no table of
-rates to rewrite, and only one number a domain passes through the driver. Where no rates reach the targets, the nearest totals result.
+rates to rewrite, and only one number a domain passes through the driver. Where no rates reach the targets, the nearest totals result, and the log
+tells targets and reached totals.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,7 +24,9 @@ from loomgraph.llm.store import saved
 from loomgraph.llm.toxicity import Machine, fit, labelled_terms, marked, terms, toxic_machine
 
 DOMAINS = ("high", "low", "toxic")
-ITERATIONS = 60
+#: A stop for targets that no rates reach and that aren't approached evenly.
+ITERATIONS = 400
+log = logging.getLogger(__name__)
 
 
 def domain_machines(docs: DataFrame, labels: DataFrame) -> tuple[Machine, Machine]:
@@ -45,37 +49,37 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("n_tokens").to_numpy().astype(float), np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], axis=1)
 
 
-def rates(p: np.ndarray, steps: np.ndarray, least: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+def rates(p: np.ndarray, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rates of documents with posteriors p after the steps so far (each the scaled residual of the domains), and the point to look at next."""
-    r = np.full(len(p), min(max(1.0, least), most))
+    r = np.full(len(p), max(1.0, least))
     ahead, t = r, 1.0
     for s in steps:
-        new = np.clip(ahead - p @ s, least, most)
+        new = np.maximum(ahead - p @ s, least)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead, r = new + (before - 1) / t * (new - r), new
     return r, ahead
 
 
-def _totals(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, most: float) -> Iterator[pa.RecordBatch]:
+def _totals(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, ahead: bool) -> Iterator[pa.RecordBatch]:
     total, square = np.zeros(len(DOMAINS)), np.zeros((len(DOMAINS),) * 2)
     for batch in batches:
         n, p = _columns(batch)
-        total += (rates(p, steps, least, most)[1] * n) @ p
+        total += (rates(p, steps, least)[int(ahead)] * n) @ p
         square += (p * n[:, None]).T @ p
     yield pa.record_batch([pa.array([total.tolist()]), pa.array([square.ravel().tolist()])], ["total", "square"])
 
 
-def _rated(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, most: float) -> Iterator[pa.RecordBatch]:
+def _rated(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        r, _ = rates(_columns(batch)[1], steps, least, most)
+        r, _ = rates(_columns(batch)[1], steps, least)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 8.0, most_growth: float = 2.0, iterations: int = ITERATIONS, machines: tuple[Machine, Machine] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, iterations: int = ITERATIONS, machines: tuple[Machine, Machine] | None = None) -> DataFrame:
     """doc_id, n_tokens (words), p_high, p_low, p_toxic, rate and copies of every row of docs.
 
     ``targets`` are the domains' weights. The total of expected tokens is that of docs; with ``least`` over 0 it is as much as the weights need while
-    no document's rate falls below least, at most ``most_growth`` times that of docs. ``copies`` is rate rounded up or down by a
+    no document's rate falls below least. Rates have no upper bound. ``copies`` is rate rounded up or down by a
     hash of doc_id, so it equals the rate on average. Documents without words have the rate they start with (1, or least). Rows with a null id and repeated rows
     are documents like others.
     """
@@ -84,8 +88,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
     schema = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
     table = saved(rows.mapInArrow(partial(_posteriors, toxic=toxic, quality=quality), schema), "posteriors")
 
-    def totals(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = table.mapInArrow(partial(_totals, steps=steps, least=least, most=most), "total array<double>, square array<double>").collect()
+    def totals(steps: np.ndarray, ahead: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        found = table.mapInArrow(partial(_totals, steps=steps, least=least, ahead=ahead), "total array<double>, square array<double>").collect()
         k = len(DOMAINS)
         return sum((np.array(r["total"]) for r in found), np.zeros(k)), sum((np.array(r["square"]).reshape(k, k) for r in found), np.zeros((k, k)))
 
@@ -96,7 +100,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
     if now.sum() > 0:
         growth = 1.0
         if least > 0:
-            growth = float(np.clip((least * now / now.sum() / np.maximum(weights, 1e-9)).max(), 1.0, most_growth))
+            some = weights > 0  # tokens of a domain that should have none can't be outgrown
+            growth = max(1.0, float((least * now[some] / now.sum() / weights[some]).max()))
         goal = weights * now.sum() * growth
         size = 1 / np.linalg.eigvalsh(square)[-1]
         for _ in range(iterations):
@@ -104,6 +109,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
             last, (now, _) = now, totals(steps)
             if np.abs(now - goal).max() < 1e-3 * goal.sum() or np.abs(now - last).max() < 1e-5 * goal.sum():
                 break
-    rated = table.mapInArrow(partial(_rated, steps=steps, least=least, most=most), schema + ", rate double")
+        now, _ = totals(steps, ahead=False)
+        missed = np.abs(now - goal).max() >= 1e-3 * goal.sum()
+        log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", len(steps), ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, now, goal, strict=True)))
+    rated = table.mapInArrow(partial(_rated, steps=steps, least=least), schema + ", rate double")
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))

@@ -188,6 +188,28 @@ def test_mixing_reaches_targets(spark):
     assert (got["rate"] >= 0).all() and np.abs(reached / reached.sum() - goal).max() < np.abs(now / now.sum() - goal).max() / 2
 
 
+def test_mixing_has_no_upper_bound(spark):
+    from loomgraph.llm.mixing import DOMAINS
+    from loomgraph.llm.toxicity import Machine
+
+    def machine(bias, *weights):  # of the words "bad" and "low"
+        m = Machine(MARKS)
+        m.weights[:] = 0
+        m.weights[:-1, 0], m.weights[-1, 0] = [weights[k] for k in np.argsort(UNSORTED)], bias
+        return m
+
+    from loomgraph.llm.toxicity import terms
+
+    UNSORTED = np.concatenate([terms(pa.array([x], pa.large_string()))[0] for x in ("bad", "low")])
+    MARKS = np.sort(UNSORTED)
+    docs = spark.createDataFrame([(i, "bad x" if i < 10 else "low x" if i < 20 else "good x") for i in range(1000)], "doc_id long, text string")
+    machines = machine(-30.0, 60.0, 0.0), machine(30.0, 0.0, -60.0)
+    for least in (0.0, 1.0):
+        got = mix(docs, None, dict(zip(DOMAINS, (0.6, 0.35, 0.05), strict=True)), least=least, machines=machines).toPandas()
+        reached = np.array([(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in DOMAINS])
+        assert reached / reached.sum() == pytest.approx([0.6, 0.35, 0.05], abs=0.01) and got["rate"].min() >= least
+
+
 def test_globs():
     a = Automaton([Rule("1", "x", "*.a?c/**"), Rule("22", "y", "**q*"), Rule("333", "z", "." + "k" * 150 + "/**")])
     urls = [".www.abc/d", ".a/c/d", "..abc/", ".x.abcc/", ".zq", ".zq/r", "." + "k" * 150 + "/t", ".a.abc", ""]
