@@ -1,13 +1,19 @@
 """Substring dedup by collinear chaining.
 
-Seeds are word 5-mers that are the smallest hash of some window of eight; any eight 5-mers in a row that two documents share give them a seed in
-common. Each occurrence of a seed is matched with the first one (by doc_id, then place) and with the one just before it, so a passage in
+Seeds are word 5-mers: every one whose hash is in a fixed quarter of the hash space, so that a 5-mer that two documents share is a seed of both
+whatever stands around it, and the smallest of each 16 in a row that hold no such one, so that 20 equal words always have a seed.
+Each occurrence of a seed is matched with the first one (by doc_id, then place) and with the one just before it, so a passage in
 a million documents gives two million matches and not the square. Occurrences in the same slice of a task are matched there, and only the first of
-them travels. That finds partners; it doesn't settle which document holds a whole passage, since the seeds of a passage can have different firsts.
-So runs of matched seeds that repeats don't cover are joined again, two seeds at a time, with all earlier occurrences, and these matches are chained alike.
-The matches of a document with one source are chained: the best chain of matches in the order of both texts, with a cost
-for each word of gap, comes from a Fenwick tree of prefix maxima. Chains are then aligned with the words of both texts, along the diagonals of
-their matches, and grown at both ends while words agree. What is at least ``min_words`` long and agrees in 80 % of its words is a repeat.
+them travels. The matches of a document with one source are chained: the best chain of matches in the order of both texts, with a cost
+for each word of gap. Matches that all rise in both texts are chained by a scan; for others a Fenwick tree of prefix maxima gives the best chain.
+Chains are then aligned with the words of both texts, along the diagonals of their matches, and grown at both ends over substituted, inserted and
+left out words. What is at least ``min_words`` long and agrees in 80 % of its words is a repeat.
+
+Two partners a seed do not settle which document holds a whole passage: the seeds of a passage can have different firsts. So places that some
+earlier text matches and no repeat covers are looked at again: every run of ``min_words`` words around them is joined with its first occurrence in all texts
+(one row a run, whatever the number of copies). So each word of a passage of min_words or more that an earlier document, or an earlier
+place, holds word for word is in a repeat, whatever the partners of its seeds and the partitions of the input. For edited passages the seeds
+decide, and the partitions of the input can move the ends of such a repeat by some words.
 
 A document without an id, or with fewer words than min_words (null and empty texts too), has no repeats and is no source. Rows that repeat a doc_id
 count as one document, with all their texts. Other columns are not read.
@@ -20,17 +26,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import FILTER_BITS, blobs, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
+from loomgraph.llm.store import blobs, buckets_for, hash_filter, maybe_held, maybe_in, per_bucket, pieces, saved, top_bits, unblob
 
 K = 5
-WINDOW = 8
+#: Any so many 5-mers in a row have a seed among them; a 5-mer is one anyway if its hash is 0 modulo SHARE.
+WINDOW = 16
+SHARE = 4
 MIN_WORDS = 50
+#: Words that the seeds of a chain span at least.
+LEAST = 10
 #: Cost of a word of gap, in words of seed; and the longest gap inside a chain.
-GAP_COST = 0.15
+GAP_COST = 0.08
 GAP = 25
 REACH = 40
 BLOCK = 64
@@ -40,22 +50,20 @@ MATCH = np.dtype([("d", "<i8"), ("s", "<i8"), ("p", "<i4"), ("q", "<i4")])
 KINDS = "bucket int, kind int, data binary"
 
 
-def minimizers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places of the smallest (leftmost) hash of each window of each text that has a whole window."""
-    if len(h) < WINDOW:
-        return np.zeros(0, np.int64)
+def seeds(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the seeds of texts with the k-mer hashes h, each text's from ``at`` on."""
+    taken = h % np.uint64(SHARE) == 0
     n = len(h) - WINDOW + 1
-    best, place = h[:n].copy(), np.arange(n)
-    for t in range(1, WINDOW):
-        less = h[t : t + n] < best
-        best[less] = h[t : t + n][less]
-        place[less] = np.flatnonzero(less) + t
-    inside = np.zeros(len(h) + 1, np.int64)
-    whole = np.diff(at) >= WINDOW
-    np.add.at(inside, at[:-1][whole], 1)
-    np.add.at(inside, (at[1:] - WINDOW + 1)[whole], -1)
-    taken = np.zeros(len(h), bool)
-    taken[place[np.cumsum(inside)[:n] > 0]] = True
+    if n > 0:
+        count = np.concatenate([[0], np.cumsum(taken)])
+        inside = np.zeros(len(h) + 1, np.int64)
+        whole = np.diff(at) >= WINDOW
+        np.add.at(inside, at[:-1][whole], 1)
+        np.add.at(inside, (at[1:] - WINDOW + 1)[whole], -1)
+        bare = np.flatnonzero((count[WINDOW:] == count[:-WINDOW]) & (np.cumsum(inside)[:n] > 0))
+        for a in range(0, len(bare), 1 << 16):
+            some = bare[a : a + (1 << 16)]
+            taken[some + h[some[:, None] + np.arange(WINDOW)].argmin(axis=1)] = True
     return np.flatnonzero(taken)
 
 
@@ -82,7 +90,7 @@ def _by_doc(match: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _seeds_of(texts: pa.Array, docs: np.ndarray, min_words: int) -> np.ndarray:
     w = tx.words(texts)
     h, at = tx.shingles(w.hash, w.first, K)
-    place = minimizers(h, at)
+    place = seeds(h, at)
     own = np.searchsorted(at, place, "right") - 1
     long = np.diff(w.first)[own] >= min_words
     place, own = place[long], own[long]
@@ -103,29 +111,6 @@ def _seeds(batches: Iterator[pa.RecordBatch], buckets: int, min_words: int) -> I
             yield pa.record_batch([pa.array(ids + ids2, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data + data2, pa.binary())], ["bucket", "kind", "data"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], min_words: int, mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Every two seeds of a text that may follow one another in a chain: (h of both, d, p, p2). ``mask`` has the h of interest, a column ``places`` the p."""
-    for batch in batches:
-        texts, docs = tx.strings(batch.column("text")), batch.column("doc_id").to_numpy()
-        for a, b in tx.slices(texts):
-            rec = _seeds_of(texts.slice(a, b - a), docs[a:b], min_words)
-            if mask is None:
-                wanted = np.concatenate([np.zeros(0, np.int64), *[docs[x] << 32 | np.frombuffer(r, "<i4") for x in range(a, b) for r in batch.column("places")[x].as_py()]])
-                rec = rec[np.isin(rec["d"] << 32 | rec["p"], wanted)]
-            parts = []
-            for t in range(1, GAP + K + 1):
-                i = np.flatnonzero((rec["d"][t:] == rec["d"][:-t]) & (rec["p"][t:] > rec["p"][:-t]) & (rec["p"][t:] - rec["p"][:-t] <= GAP + K))
-                h = tx.mix(rec["h"][i] ^ tx.mix(rec["h"][i + t]))
-                if mask is not None:
-                    keep = np.ones(len(h), bool)
-                    for x in (h, h >> np.uint64(32)):
-                        at = (x & np.uint64(32 * len(mask) - 1)).astype(np.int64)
-                        keep &= (mask[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-                    i, h = i[keep], h[keep]
-                parts.append((h.view(np.int64), rec["d"][i], rec["p"][i], rec["p"][i + t]))
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "d", "p", "p2"])
-
-
 def _join_seeds(table: pa.Table, buckets: int) -> pa.Table:
     """Matches of the seeds of a bucket, and those matched before, to the buckets of their documents."""
     kind = table.column("kind").to_numpy()
@@ -181,34 +166,53 @@ def chain(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
 CHAINS = "doc_id long, source_id long, p_from int, p_to int, q_from int, q_to int, anchors binary"
 
 
-def _runs(rec: np.ndarray, min_words: int) -> list[np.ndarray]:
-    """Runs of the matched places (d, p) of each document, whatever their sources, that are as wide as a chain must be."""
+def _scan(p: np.ndarray, q: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Where chains begin among matches that rise in p and in q from each ``new`` one on: the best chain of such matches goes through all of them, but for gaps that cost
+    more than what stands before them gains, or that are too long."""
+    dp, dq = np.diff(p, prepend=0), np.diff(q, prepend=0)
+    cost = round(100 * GAP_COST)
+    link = np.where(new, 0, 100 * K - cost * (dp + dq))  # what the match before gains, less the gap, in hundredths of a word
+    total = np.cumsum(link)
+    level = (np.cumsum(new) - 1) * (int(np.abs(link).sum()) + 1)  # sets each group below the one before
+    low = np.minimum.accumulate(total - level) + level
+    return new | (dp > GAP + K) | (dq > GAP + K) | (low >= total)
+
+
+def _run_rows(rec: np.ndarray, least: int) -> list[tuple]:
+    """Runs of the matched places (d, p) of each document, whatever their sources, that are as wide as those of a whole exact passage must be."""
     at = np.unique(rec[["d", "p"]])
-    runs = np.split(at, np.flatnonzero((at["d"][1:] != at["d"][:-1]) | (np.diff(at["p"]) > GAP + K)) + 1)
-    return [r for r in runs if len(r) >= 2 and r["p"][-1] - r["p"][0] + K >= min_words - 2 * (K + WINDOW)]
+    edge = np.flatnonzero(np.concatenate(([True], (at["d"][1:] != at["d"][:-1]) | (np.diff(at["p"]) > GAP + K), [True])))
+    wide = (np.diff(edge) >= 2) & (at["p"][edge[1:] - 1] - at["p"][edge[:-1]] + K >= least)
+    return [(at["d"][s], None, at["p"][s], at["p"][e - 1] + K, None, None, at["p"][s:e].astype("<i4").tobytes()) for s, e in zip(edge[:-1][wide], edge[1:][wide], strict=True)]
 
 
 def _chains(table: pa.Table, min_words: int) -> pa.Table:
     """Chains of the matches of a bucket's documents, and, with no source, the runs of their matched places."""
     rec = unblob(table, MATCH)
     rec = rec[np.lexsort((rec["q"], rec["p"], rec["s"], rec["d"]))]
-    out = {k: [] for k in ("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to", "anchors")}
+    out: list[tuple] = []
     if len(rec):
         rec = rec[np.concatenate(([True], np.any([rec[f][1:] != rec[f][:-1] for f in rec.dtype.names], axis=0)))]
-        for run in _runs(rec, min_words):
-            for k, v in zip(out, (run["d"][0], None, run["p"][0], run["p"][-1] + K, None, None, run["p"].astype("<i4").tobytes()), strict=True):
-                out[k].append(v)
-        edge = np.flatnonzero(np.concatenate(([True], (rec["d"][1:] != rec["d"][:-1]) | (rec["s"][1:] != rec["s"][:-1]), [True])))
-        least = min_words - 2 * (K + WINDOW)  # words of seeds that a whole exact passage surely spans
-        wide = (rec["p"][edge[1:] - 1] - rec["p"][edge[:-1]] + K >= least) & (np.diff(edge) >= 2)
+        out += _run_rows(rec, min_words - 2 * (WINDOW - 1))
+        p, q = rec["p"].astype(np.int64), rec["q"].astype(np.int64)
+        new = np.concatenate(([True], (rec["d"][1:] != rec["d"][:-1]) | (rec["s"][1:] != rec["s"][:-1])))
+        rises = np.concatenate(([True], (np.diff(p) > 0) & (np.diff(q) > 0))) | new
+        edge = np.append(np.flatnonzero(new), len(rec))
+        plain = np.add.reduceat(~rises, edge[:-1]) == 0  # groups whose matches all rise
+        begin = _scan(p, q, new)
+        own = np.repeat(plain, np.diff(edge))
+        cut = np.flatnonzero(np.concatenate((begin | new, [True])))
+        wide = own[cut[:-1]] & (np.diff(cut) >= 2) & (p[cut[1:] - 1] - p[cut[:-1]] + K >= LEAST)
+        found = [slice(s, e) for s, e in zip(cut[:-1][wide], cut[1:][wide], strict=True)]
+        wide = ~plain & (np.diff(edge) >= 2) & (p[edge[1:] - 1] - p[edge[:-1]] + K >= LEAST)
         for s, e in zip(edge[:-1][wide], edge[1:][wide], strict=True):
-            p, q = rec["p"][s:e], rec["q"][s:e]
-            for run in chain(p, q):
-                if p[run[-1]] - p[run[0]] + K >= least:
-                    for k, v in zip(out, (rec["d"][s], rec["s"][s], p[run[0]], p[run[-1]] + K, q[run[0]], q[run[-1]] + K, np.stack([p[run], q[run]]).astype("<i4").tobytes()), strict=True):
-                        out[k].append(v)
+            found += [s + run for run in chain(p[s:e], q[s:e]) if p[s:e][run[-1]] - p[s:e][run[0]] + K >= LEAST and len(run) >= 2]
+        for run in found:
+            x, y, first = p[run], q[run], run.start if isinstance(run, slice) else run[0]
+            out.append((rec["d"][first], rec["s"][first], x[0], x[-1] + K, y[0], y[-1] + K, np.stack([x, y]).astype("<i4").tobytes()))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+    names = [c.split()[0] for c in CHAINS.split(", ")]
+    return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)})
 
 
 def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,18 +240,63 @@ def _grow(same: np.ndarray) -> int:
     return best + 1 if total[best] > 0 else 0
 
 
+def _gain(same: np.ndarray) -> int:
+    """The best such sum."""
+    return int(np.cumsum(np.where(same, 1, -2)).max())
+
+
+#: Words of both texts that may be passed over where their diagonal shifts.
+SHIFTS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))
+
+
+def _outward(a: np.ndarray, b: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
+    """How far the two texts go on together from their beginnings (in words of each), and where their diagonal shifts on the way."""
+    i, j, turns = 0, 0, []
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        n = _grow(a[i : i + n] == b[j : j + n])
+        i, j = i + n, j + n
+        best, to = 2, None
+        for x, y in SHIFTS:
+            n = min(len(a) - i - x, len(b) - j - y)
+            if n > best + 2:
+                gain = _gain(a[i + x : i + x + n] == b[j + y : j + y + n]) - 2
+                if gain > best:
+                    best, to = gain, (x, y)
+        if to is None:
+            return i, j, turns
+        i, j = i + to[0], j + to[1]
+        turns.append((i, j))
+
+
 def align(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int, int, int, float]:
     """Aligned spans of the texts a and b around a chain of seed matches (p, q), and the part of a's words there that agree."""
-    left, right = min(p[0], q[0], REACH), min(len(a) - p[-1] - K, len(b) - q[-1] - K, REACH)
-    grow = _grow((a[p[0] - left : p[0]] == b[q[0] - left : q[0]])[::-1])
-    tail = _grow(a[p[-1] + K : p[-1] + K + right] == b[q[-1] + K : q[-1] + K + right])
-    start, end = p[0] - grow, p[-1] + K + tail
+    x, y, turns = _outward(a[max(0, p[0] - REACH) : p[0]][::-1], b[max(0, q[0] - REACH) : q[0]][::-1])
+    u, v, more = _outward(a[p[-1] + K : p[-1] + K + REACH], b[q[-1] + K : q[-1] + K + REACH])
+    start, end = p[0] - x, p[-1] + K + u
+    if turns or more:
+        p, q = (np.concatenate([[c[0] - t[k] - 1 for t in turns[::-1]], c, [c[-1] + K + t[k] for t in more]]).astype(np.int64) for k, c in enumerate((p, q)))
+    first, last = q[0] - p[0] + start, q[-1] - p[-1] + end
+    agree = _agree(a, b, p, q, start, end)
+    bare = np.flatnonzero(np.diff(p) > K)
+    left = np.concatenate([[0], np.cumsum(~agree)])
+    bare = bare[left[p[bare + 1] - start] - left[p[bare] - start] > 3]
+    if len(bare):  # the diagonal shifts more than once between two matches
+        more = [(p[i] + x, q[i] + y) for i in bare for x, y in _outward(a[p[i] : p[i + 1]], b[q[i] : q[i + 1]])[2]]
+        if more:
+            p, q = (np.concatenate([c, [m[k] for m in more]]) for k, c in enumerate((p, q)))
+            order = np.argsort(p, kind="stable")
+            agree |= _agree(a, b, p[order], q[order], start, end)
+    return int(start), int(end), int(first), int(last), float(agree.mean())
+
+
+def _agree(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Which words of a from start to end agree with b's on the diagonal of the match before or after them."""
     place = np.arange(start, end)
     before = np.clip(np.searchsorted(p, place, "right") - 1, 0, len(p) - 1)
     after = np.clip(np.searchsorted(p, place, "left"), 0, len(p) - 1)
     top = len(b) - 1
-    agree = (a[place] == b[np.clip(place + (q - p)[before], 0, top)]) | (a[place] == b[np.clip(place + (q - p)[after], 0, top)])
-    return int(start), int(end), int(q[0] - grow), int(q[-1] + K + tail), float(agree.mean())
+    return (a[place] == b[np.clip(place + (q - p)[before], 0, top)]) | (a[place] == b[np.clip(place + (q - p)[after], 0, top)])
 
 
 REPEATS = "doc_id long, source_id long, start_word int, end_word int, source_start int, source_end int, agreement double"
@@ -255,7 +304,7 @@ REPEATS = "doc_id long, source_id long, start_word int, end_word int, source_sta
 
 def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in REPEATS.split(", ")]
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for r in batch.to_pylist():
             sides = []
@@ -286,60 +335,83 @@ def _align_chains(rows: DataFrame, chains: DataFrame, min_words: int) -> DataFra
     return both.mapInArrow(partial(_aligned, min_words=min_words), REPEATS)
 
 
-def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with a matched place that repeats don't cover."""
-    for batch in batches:
+STARTS = "doc_id long, starts array<int>, stops array<int>"
+
+
+def _open_places(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Where runs of min_words words begin (from start to before stop) that hold a matched place no repeat covers."""
+    for batch in pieces(batches):
         out = []
         for r in batch.to_pylist():
-            p = np.frombuffer(r["anchors"], "<i4")
+            p = np.frombuffer(r["anchors"], "<i4").astype(np.int64)
             covered = np.zeros(p[-1] + K + 1, np.int64)
             for s in r["spans"] or ():
                 covered[min(s["start_word"], len(covered) - 1)] += 1
                 covered[min(s["end_word"], len(covered) - 1)] -= 1
-            left = p[(np.cumsum(covered)[p] == 0) | (np.cumsum(covered)[p + K - 1] == 0)]
-            if len(left):
-                out.append((r["doc_id"], r["anchors"]))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 2, (pa.int64(), pa.binary()), strict=True)], ["doc_id", "places"])
-
-
-def _match_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+            cover = np.cumsum(covered)
+            left = p[(cover[p] == 0) | (cover[p + K - 1] == 0)]
+            low = np.maximum(left - min_words + K, max(0, p[0] - WINDOW + 1))
+            high = np.minimum(left, p[-1] + K + WINDOW - 1 - min_words)
+            low, high = low[low <= high], high[low <= high]
+            if len(low):
+                cut = np.flatnonzero(low[1:] > high[:-1] + 1)
+                out.append((r["doc_id"], low[np.concatenate(([0], cut + 1))].tolist(), (high[np.append(cut, len(high) - 1)] + 1).tolist()))
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)], ["doc_id", "starts", "stops"])
+
+
+def passages(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words, which text each is in, and the word that it begins with there."""
+    count = np.maximum(np.diff(first) - n + 1, 0)
+    own = np.repeat(np.arange(len(count)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = first[own] + place
+    run = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * tx.powers(tx.BASE, len(h))[: len(h)], out=run[1:])
+    return tx.mix((run[at + n] - run[at]) * tx.powers(tx.INVERSE, len(h))[at]), own, place
+
+
+def _passages(batches: Iterator[pa.RecordBatch], min_words: int, mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(h, d, p) of the runs of min_words words: those from the columns starts to stops, or those that ``mask`` may hold."""
     for batch in batches:
-        rec = np.empty(batch.num_rows, MATCH)
-        for f in MATCH.names:
-            rec[f] = batch.column(f).to_numpy()
-        ids, data = blobs(*_by_doc(rec, buckets))
-        yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
-
-
-def _mask(wanted: DataFrame) -> np.ndarray:
-    """A filter of at most FILTER_BITS bits that holds two bits of each h."""
-    bits, n = 1 << 12, wanted.count()
-    while bits < 16 * n and bits < FILTER_BITS:
-        bits *= 2
-    place = lambda x: x.bitwiseAND(F.lit(bits - 1))
-    word = wanted.select(F.explode(F.array(place(F.col("h")), place(F.shiftrightunsigned("h", 32)))).alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
-    words = word.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask")).toPandas()
-    mask = np.zeros(bits // 32, np.uint32)
-    mask[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
-    return mask
-
-
-def _all_matches(rows: DataFrame, runs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame | None:
-    """(d, s, p, q) of the seeds of runs that repeats leave open, with every earlier occurrence; no run left: None.
-
-    A chain has two matches at least, each within GAP + K words of the next in both texts, so two seeds at a time are joined: far fewer documents
-    hold two seeds in a row than one, and no match of a chain is left out.
+        texts, docs = tx.strings(batch.column("text")), batch.column("doc_id").to_numpy()
+        for a, b in tx.slices(texts):
+            w = tx.words(texts.slice(a, b - a))
+            h, own, place = passages(w.hash, w.first, min_words)
+            if mask is None:
+                keep = np.zeros(len(h) + 1, np.int64)
+                begin = np.searchsorted(own, np.arange(b - a))
+                size = np.bincount(own, minlength=b - a)
+                for i in range(b - a):
+                    for c, sign in (("starts", 1), ("stops", -1)):
+                        where = np.minimum(np.array(batch.column(c)[a + i].as_py(), np.int64), size[i])
+                        np.add.at(keep, begin[i] + where, sign)
+                keep = np.cumsum(keep)[:-1] > 0
+            else:
+                keep = maybe_held(mask, h)
+            yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(docs[a:b][own[keep]]), pa.array(place[keep].astype(np.int32))], ["h", "d", "p"])
+
+
+def _exact_rest(rows: DataFrame, runs: DataFrame, spans: DataFrame, min_words: int) -> DataFrame | None:
+    """Repeats of min_words words and more that agree word for word, at matched places that ``spans`` leave open; no such place: None.
+
+    Each run of words is grouped to its first occurrence before it meets the open ones, so a passage costs one row a copy.
     """
     held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    left = runs.select("doc_id", "anchors").join(held, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places binary")
-    left = saved(left.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "open")
+    left = runs.select("doc_id", "anchors").join(held, "doc_id", "left").mapInArrow(partial(_open_places, min_words=min_words), STARTS)
+    left = saved(left.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops")), "open")
     if left.isEmpty():
         return None
-    links = lambda texts, mask: texts.mapInArrow(partial(_links, min_words=min_words, mask=mask), "h long, d long, p int, p2 int")
-    own = saved(links(left.join(maybe_in(rows, left), "doc_id"), None), "asked")
-    others = links(rows, _mask(own)).select("h", F.col("d").alias("s"), F.col("p").alias("q"), F.col("p2").alias("q2"))
-    both = own.join(others, "h").filter("s < d or s = d and q < p")
-    return both.select("d", "s", F.explode(F.array(F.struct("p", "q"), F.struct(F.col("p2").alias("p"), F.col("q2").alias("q")))).alias("m")).select("d", "s", "m.p", "m.q")
+    runs_of = lambda texts, mask: texts.mapInArrow(partial(_passages, min_words=min_words, mask=mask), "h long, d long, p int")
+    own = saved(runs_of(left.join(maybe_in(rows, left), "doc_id"), None), "asked")
+    first = runs_of(rows, hash_filter(own.select("h").distinct(), F.col("h"), F.shiftrightunsigned("h", 32))).groupBy("h").agg(F.min(F.struct(F.col("d").alias("s"), F.col("p").alias("q"))).alias("m"))
+    met = own.join(first, "h").select("d", "p", "m.s", "m.q").filter("s < d or s = d and q < p").distinct()
+    line = Window.partitionBy("d", "s", F.col("p") - F.col("q")).orderBy("p")
+    island = met.withColumn("gap", F.col("p") - F.lag("p").over(line)).withColumn("island", F.sum(F.when(F.col("gap") <= min_words, 0).otherwise(1)).over(line))
+    return island.groupBy("d", "s", (F.col("p") - F.col("q")).alias("shift"), "island").agg(F.min("p").alias("p_from"), F.max("p").alias("p_to")).select(
+        F.col("d").alias("doc_id"), F.col("s").alias("source_id"), F.col("p_from").cast("int").alias("start_word"), (F.col("p_to") + min_words).cast("int").alias("end_word"),
+        (F.col("p_from") - F.col("shift")).cast("int").alias("source_start"), (F.col("p_to") - F.col("shift") + min_words).cast("int").alias("source_end"), F.lit(1.0).alias("agreement"),
+    )
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -347,27 +419,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     One row for each passage and source: doc_id, source_id, start_word and end_word (in doc_id's words), source_start and source_end, agreement
     (part of the words that agree). Passages with different sources can overlap. A passage has rows for the sources that its seeds' first and
-    preceding occurrences are in; where these cover less than a run of matched seeds, for all its sources.
+    preceding occurrences are in; where these leave words open, for the first source of each run of min_words words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = buckets_for(size)
 
-    def chained(matches: DataFrame) -> DataFrame:
-        return saved(per_bucket(matches, _chains, CHAINS, min_words=min_words).withColumn("chain", F.xxhash64("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to")), "chains")
-
-    seeds = rows.mapInArrow(partial(_seeds, buckets=buckets, min_words=min_words), KINDS)
-    chains = chained(per_bucket(seeds, _join_seeds, "bucket int, data binary", buckets=buckets))
-    found = saved(_align_chains(rows, chains.filter("source_id is not null"), min_words), "aligned")
-    matches = _all_matches(rows, chains.filter("source_id is null"), found, min_words)
-    if matches is None:
-        return found
-    more = chained(matches.mapInArrow(partial(_match_blobs, buckets=buckets), "bucket int, data binary")).filter("source_id is not null")
-    more = more.join(chains.select("chain"), "chain", "left_anti")  # aligned before
-    more = _align_chains(rows, more, min_words)
-    known = found.select("doc_id", "source_id", F.col("start_word").alias("_from"), F.col("end_word").alias("_to"))
-    inside = (more["doc_id"] == known["doc_id"]) & (more["source_id"] == known["source_id"]) & (more["start_word"] >= known["_from"]) & (more["end_word"] <= known["_to"])
-    return found.unionByName(more.join(known, inside, "left_anti"))
+    found = rows.mapInArrow(partial(_seeds, buckets=buckets, min_words=min_words), KINDS)
+    matches = per_bucket(found, _join_seeds, "bucket int, data binary", buckets=buckets)
+    chains = per_bucket(matches, _chains, CHAINS, min_words=min_words).withColumn("chain", F.xxhash64("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to"))
+    chains = saved(chains, "chains")
+    aligned = saved(_align_chains(rows, chains.filter("source_id is not null"), min_words), "aligned")
+    rest = _exact_rest(rows, chains.filter("source_id is null"), aligned, min_words)
+    return aligned if rest is None else aligned.unionByName(rest)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of records that one bucket should hold; the number of buckets follows the input.
 BUCKET_BYTES = 8 << 20
 BLOB = "bucket int, data binary"
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own if all run on this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="loom-")
-        _own[spark.sparkContext.applicationId] = base
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="loom-"))
     return base.rstrip("/")
 
 
+def drop(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since so many were, all but the one that ``keep`` reads: for a caller that needs none of them any more."""
+    held = set(keep.inputFiles()) if keep is not None else set()
+    for path in _written[since:]:
+        if not any(path.split(":", 1)[-1].lstrip("/") in f for f in held):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since:]
+
+
+def written() -> int:
+    """How many tables have been written so far."""
+    return len(_written)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/loom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,35 +98,58 @@ def per_bucket(df: DataFrame, fn, schema: str, **args) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-#: Bits of the filter that maybe_in broadcasts, at most: 4 MB.
-FILTER_BITS = 1 << 25
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Small parts of batches, before they become Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key may be one of wanted's, and no other row that a filter of bounded size can tell apart.
+#: Bits of the filters that are broadcast, at most: 4 MB.
+FILTER_BITS = 1 << 25
 
-    It keeps texts out of a shuffle before a join on the key. The filter has two bits for a key, in at most FILTER_BITS bits; with many more
-    keys than that it keeps more rows, and the join decides.
-    """
-    spark = rows.sparkSession
-    bits = 1 << 12
-    n = wanted.count()
+
+def hash_filter(wanted: DataFrame, *hashes: Column) -> np.ndarray:
+    """A filter with the low bits of some hashes of each row, in at most FILTER_BITS bits; with more rows than that it is fuller and keeps more."""
+    bits, n = 1 << 12, wanted.count()
     while bits < 16 * n and bits < FILTER_BITS:
         bits *= 2
-    place = lambda seed: F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(seed)), F.lit(bits))
-    word = wanted.select(F.explode(F.array(place(1), place(2))).alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
-    words = word.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask")).toPandas()
+    words = wanted.select(F.explode(F.array(*[h.bitwiseAND(F.lit(bits - 1).cast("long")) for h in hashes])).alias("bit")).groupBy((F.col("bit") / 32).cast("int").alias("word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("mask")).toPandas()
     mask = np.zeros(bits // 32, np.uint32)
     mask[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(mask)
-    names = rows.columns
+    return mask
+
+
+def maybe_held(mask: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each row's hashes; a single 64-bit hash counts with its low and its high half."""
+    keep = np.ones(len(hashes[0]), bool)
+    for x in hashes if len(hashes) > 1 else (hashes[0], hashes[0] >> np.uint64(32)):
+        at = (x & np.uint64(32 * len(mask) - 1)).astype(np.int64)
+        keep &= (mask[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    return keep
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key may be one of wanted's, and no other row that a filter of bounded size can tell apart.
+
+    It keeps texts out of a shuffle before a join on the key; the join decides.
+    """
+    own = F.xxhash64(F.col(key).cast("long"))
+    shared = rows.sparkSession.sparkContext.broadcast(hash_filter(wanted, own, F.shiftrightunsigned(own, 32)))
+    inner = unused(rows.columns, "key_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for p in ("_one", "_two"):
-                at = batch.column(p).to_numpy()
-                keep &= (shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-            yield batch.filter(pa.array(keep)).select(names)
+            names = [n for n in batch.schema.names if n != inner]
+            yield batch.filter(pa.array(maybe_held(shared.value, batch.column(inner).to_numpy().view(np.uint64)))).select(names)
+
+    return rows.withColumn(inner, own).mapInArrow(run, rows.schema)
+
 
-    return rows.withColumns({"_one": place(1), "_two": place(2)}).mapInArrow(run, rows.schema)
+def unused(columns: list[str], name: str) -> str:
+    """A column name that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
