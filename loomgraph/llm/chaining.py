@@ -22,7 +22,6 @@ count as one document, with all their texts. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import blobs, buckets_for, hash_filter, maybe_held, maybe_in, per_bucket, pieces, saved, top_bits, unblob
+from loomgraph.llm.store import blobs, buckets_for, hash_filter, mapped, maybe_held, maybe_in, per_bucket, pieces, saved, top_bits, unblob
 
 K = 5
 #: Any so many 5-mers in a row have a seed among them; a 5-mer is one anyway if its hash is 0 modulo SHARE.
@@ -329,10 +328,10 @@ def _align_chains(rows: DataFrame, chains: DataFrame, min_words: int) -> DataFra
     side = lambda n, doc, a, b: chains.select("chain", F.lit(n).alias("side"), F.col(doc).alias("doc"), F.explode(F.sequence(near(a, -REACH), near(b, REACH))).alias("block"))
     asked = side(0, "doc_id", "p_from", "p_to").unionByName(side(1, "source_id", "q_from", "q_to"))
     wanted = asked.select("doc", "block").distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))
-    words = wanted.join(maybe_in(rows, wanted), "doc_id").mapInArrow(_word_blocks, "doc long, block int, words binary").dropDuplicates(["doc", "block"])
+    words = wanted.join(maybe_in(rows, wanted), "doc_id").transform(mapped, _word_blocks, "doc long, block int, words binary").dropDuplicates(["doc", "block"])
     found = asked.join(words, ["doc", "block"]).groupBy("chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("words"))
     both = chains.dropDuplicates(["chain"]).join(found, "chain").select("doc_id", "source_id", "anchors", "words")
-    return both.mapInArrow(partial(_aligned, min_words=min_words), REPEATS)
+    return both.transform(mapped, _aligned, REPEATS, min_words=min_words)
 
 
 STARTS = "doc_id long, starts array<int>, stops array<int>"
@@ -398,11 +397,11 @@ def _exact_rest(rows: DataFrame, runs: DataFrame, spans: DataFrame, min_words: i
     Each run of words is grouped to its first occurrence before it meets the open ones, so a passage costs one row a copy.
     """
     held = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    left = runs.select("doc_id", "anchors").join(held, "doc_id", "left").mapInArrow(partial(_open_places, min_words=min_words), STARTS)
+    left = runs.select("doc_id", "anchors").join(held, "doc_id", "left").transform(mapped, _open_places, STARTS, min_words=min_words)
     left = saved(left.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops")), "open")
     if left.isEmpty():
         return None
-    runs_of = lambda texts, mask: texts.mapInArrow(partial(_passages, min_words=min_words, mask=mask), "h long, d long, p int")
+    runs_of = lambda texts, mask: texts.transform(mapped, _passages, "h long, d long, p int", min_words=min_words, mask=mask)
     own = saved(runs_of(left.join(maybe_in(rows, left), "doc_id"), None), "asked")
     first = runs_of(rows, hash_filter(own.select("h").distinct(), F.col("h"), F.shiftrightunsigned("h", 32))).groupBy("h").agg(F.min(F.struct(F.col("d").alias("s"), F.col("p").alias("q"))).alias("m"))
     met = own.join(first, "h").select("d", "p", "m.s", "m.q").filter("s < d or s = d and q < p").distinct()
@@ -425,7 +424,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = buckets_for(size)
 
-    found = rows.mapInArrow(partial(_seeds, buckets=buckets, min_words=min_words), KINDS)
+    found = rows.transform(mapped, _seeds, KINDS, buckets=buckets, min_words=min_words)
     matches = per_bucket(found, _join_seeds, "bucket int, data binary", buckets=buckets)
     chains = per_bucket(matches, _chains, CHAINS, min_words=min_words).withColumn("chain", F.xxhash64("doc_id", "source_id", "p_from", "p_to", "q_from", "q_to"))
     chains = saved(chains, "chains")
@@ -460,4 +459,4 @@ def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     """docs with the repeats cut out of their texts, the first occurrence of each passage excepted; a text that is all repeats becomes empty."""
     spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     names = docs.columns
-    return docs.join(spans, docs[id_col] == spans["_doc"], "left").select(*names, "_spans").mapInArrow(partial(_cut, text_col=text_col), docs.schema)
+    return docs.join(spans, docs[id_col] == spans["_doc"], "left").select(*names, "_spans").transform(mapped, _cut, docs.schema, text_col=text_col)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
+from loomgraph.llm.store import mapped
 
 SHARE = 32
 FLOOR = 32
@@ -80,7 +81,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row (null text: empty); no shuffle."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(mapped, _fingerprints, "doc_id long, fingerprint string")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double"
@@ -154,4 +155,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         rows = rows.select("bucket", F.lit(False).alias("ghost"), "doc_id", "text")
     dealt = rows.repartition(int(parts), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_edits, EDITED)
+    return dealt.transform(mapped, _edits, EDITED)

@@ -20,7 +20,6 @@ with nothing; repeated rows are copies of one point. Other columns of the input
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
 from loomgraph.llm.components import components
-from loomgraph.llm.store import BLOB, blob_batch, blobs, buckets_for, maybe_in, per_bucket, saved, top_bits, unblob
+from loomgraph.llm.store import BLOB, blob_batch, blobs, buckets_for, mapped, maybe_in, per_bucket, saved, top_bits, unblob
 
 #: Sixteenths of the hash space in which singletons are counted.
 SHARE = 5
@@ -343,7 +342,7 @@ def _divide(points: DataFrame, percent: int) -> DataFrame:
     tries = [F.min(F.struct(F.xxhash64("node", F.lit(j)), "node")).getField("node").alias(f"p{j}") for j in range(PIVOTS)]
     chosen = points.groupBy("region").agg(*tries).select("region", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("node"))
     pivots = chosen.join(points.select("region", "node", "hashes"), ["region", "node"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "hashes"))).alias("pivots"))
-    return points.select("region", "node", "n", "copies", "hashes").join(pivots, "region").mapInArrow(partial(_voronoi, percent=percent), REGION)
+    return points.select("region", "node", "n", "copies", "hashes").join(pivots, "region").transform(mapped, _voronoi, REGION, percent=percent)
 
 
 def _blocks(points: DataFrame, cap: int, cap_shingles: int) -> DataFrame:
@@ -369,21 +368,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    meta = saved(rows.mapInArrow(partial(_meta, k=k), "doc_id long, n long, inside long, node long"), "points")
+    meta = saved(rows.transform(mapped, _meta, "doc_id long, n long, inside long, node long", k=k), "points")
     nodes = meta.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("inside").alias("inside"))
 
     total = meta.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     b = buckets_for(total * SHARE / 16 * POINT.itemsize)
-    postings = rows.filter("doc_id is not null").mapInArrow(partial(_share_points, k=k, buckets=b), KINDS)
+    postings = rows.filter("doc_id is not null").transform(mapped, _share_points, KINDS, k=k, buckets=b)
     shared = per_bucket(per_bucket(postings, _shared, BLOB, buckets=b), _summed, "node long, shared long")
     near = saved(nodes.join(shared, "node", "left").filter("inside - coalesce(shared, 0) <= n div 5"), "near")
 
     wanted = near.select(F.col("rep").alias("doc_id"), "node", "copies")
     found = wanted.join(maybe_in(rows, wanted), "doc_id").select("node", "copies", "text")
-    sets = saved(found.mapInArrow(partial(_survivor_sets, k=k), "node long, n int, copies long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = saved(found.transform(mapped, _survivor_sets, "node long, n int, copies long, hashes binary", k=k).dropDuplicates(["node"]), "sets")
     left = sets.agg(F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0))).first()[0]
     b = buckets_for(left * SIZED.itemsize)
-    by_shingle = sets.mapInArrow(partial(_scatter_sets, buckets=b), BLOB)
+    by_shingle = sets.transform(mapped, _scatter_sets, BLOB, buckets=b)
     by_point = per_bucket(by_shingle, _frequencies, BLOB, buckets=b)
     by_pivot = per_bucket(by_point, _rarest, BLOB, buckets=b)
     edges = per_bucket(by_pivot, _region_edges, "a long, b long")

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import saved
+from loomgraph.llm.store import mapped, saved
 from loomgraph.llm.toxicity import Machine, fit, labelled_terms, marked, terms, toxic_machine
 
 DOMAINS = ("high", "low", "toxic")
@@ -86,10 +85,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
     toxic, quality = machines or domain_machines(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    table = saved(rows.mapInArrow(partial(_posteriors, toxic=toxic, quality=quality), schema), "posteriors")
+    table = saved(rows.transform(mapped, _posteriors, schema, toxic=toxic, quality=quality), "posteriors")
 
     def totals(steps: np.ndarray, ahead: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        found = table.mapInArrow(partial(_totals, steps=steps, least=least, ahead=ahead), "total array<double>, square array<double>").collect()
+        found = table.transform(mapped, _totals, "total array<double>, square array<double>", steps=steps, least=least, ahead=ahead).collect()
         k = len(DOMAINS)
         return sum((np.array(r["total"]) for r in found), np.zeros(k)), sum((np.array(r["square"]).reshape(k, k) for r in found), np.zeros((k, k)))
 
@@ -112,6 +111,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
         now, _ = totals(steps, ahead=False)
         missed = np.abs(now - goal).max() >= 1e-3 * goal.sum()
         log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", len(steps), ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, now, goal, strict=True)))
-    rated = table.mapInArrow(partial(_rated, steps=steps, least=least), schema + ", rate double")
+    rated = table.transform(mapped, _rated, schema + ", rate double", steps=steps, least=least)
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
+from loomgraph.llm.store import mapped
 
 U = np.uint64
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -267,4 +268,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     not read. ``tokenizer_path`` must be readable where the tasks run; ids must be below 65536.
     """
     run = partial(_pack, path=tokenizer_path, end_id=end_id, length=length, windows=windows, most_pad=most_pad)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(mapped, run, PIECES)

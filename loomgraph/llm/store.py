@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -89,11 +90,34 @@ def unblob(table: pa.Table | pa.RecordBatch, dtype: np.dtype, column: str = "dat
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def _give_back() -> None:
+    """Returns what a worker has freed to the system, so that idle workers stay small beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library has it
+        trim(0)
+
+
+def mapped(df: DataFrame, fn, schema, **args) -> DataFrame:
+    """fn(batches, **args) -> batches, for every partition of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches, **args)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def per_bucket(df: DataFrame, fn, schema: str, **args) -> DataFrame:
     """fn(table of one bucket, **args) -> table, for every bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        return fn(table, **args)
+        try:
+            return fn(table, **args)
+        finally:
+            _give_back()
 
     return df.groupBy("bucket").applyInArrow(run, schema)
 
@@ -144,7 +168,7 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFra
             names = [n for n in batch.schema.names if n != inner]
             yield batch.filter(pa.array(maybe_held(shared.value, batch.column(inner).to_numpy().view(np.uint64)))).select(names)
 
-    return rows.withColumn(inner, own).mapInArrow(run, rows.schema)
+    return mapped(rows.withColumn(inner, own), run, rows.schema)
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.store import mapped
+
 
 SHARD = 8192
 #: Queries that one pass over the candidates takes along, at most; larger query sets take several passes.
@@ -127,7 +129,7 @@ def threshold_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
             if sum(count):
                 yield pa.record_batch([pa.array(np.repeat(query_ids, count)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
 
-        found = candidates.mapInArrow(run, FOUND)
+        found = candidates.transform(mapped, run, FOUND)
         out = found if out is None else out.unionByName(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,6 @@ Pieces hold a space mark only at their beginning, so the best path of a text is
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
+from loomgraph.llm.store import mapped
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -135,4 +135,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     ``vocabulary_path`` (a sentencepiece model whose scores are taken as those of a unigram vocabulary) must be readable where the tasks run. No shuffle.
     """
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(partial(_count, path=vocabulary_path), "doc_id long, n_tokens long, best_score double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(mapped, _count, "doc_id long, n_tokens long, best_score double", path=vocabulary_path)

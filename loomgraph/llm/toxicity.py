@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import per_bucket, saved
+from loomgraph.llm.store import mapped, per_bucket, saved
 
 BUCKETS = 1 << 18
 TERMS = 2048
@@ -108,7 +108,7 @@ def _best_terms(table: pa.Table, most: int) -> pa.Table:
 
 def chosen_terms(labelled: DataFrame, most: int = TERMS) -> np.ndarray:
     """Sorted buckets with the highest chi-square over all rows (label, terms); a chi-square of 12 and three texts are needed."""
-    counts = labelled.mapInArrow(_bucket_counts, "bucket int, data binary")
+    counts = labelled.transform(mapped, _bucket_counts, "bucket int, data binary")
     best = per_bucket(counts, _best_terms, "term long, score double", most=most).orderBy(F.desc("score"), "term").limit(most)
     return np.array(sorted(r["term"] for r in best.collect()), np.int64)
 
@@ -200,7 +200,7 @@ def fit(labelled: DataFrame, terms_most: int = TERMS, rounds: int = ROUNDS) -> M
     machine = Machine(buckets)
     machine.weights[-1, 0] = np.log(size[1] / size[0])
     for turn in range(rounds):
-        models = labelled.mapInArrow(partial(_round, buckets=buckets, weights=machine.weights, turn=turn), "n long, model binary").collect()
+        models = labelled.transform(mapped, _round, "n long, model binary", buckets=buckets, weights=machine.weights, turn=turn).collect()
         n = sum(m["n"] for m in models)
         machine = Machine(buckets, sum(np.frombuffer(m["model"], float).reshape(machine.weights.shape) * (m["n"] / n) for m in models))
     return machine
@@ -222,7 +222,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "t
     """The columns ``keep`` of every row of docs and toxic_score, from 0 to 1; a null or empty text has the score of no terms. No shuffle."""
     schema = docs.select(*keep).schema.add("toxic_score", "double")
     run = partial(_score, buckets=machine.buckets, weights=machine.weights, names=keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).transform(mapped, run, schema)
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -237,7 +237,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
     names = ["doc_id", "toxic", "quality"]
-    found = texts.mapInArrow(partial(_terms_of, names=names), "doc_id long, toxic int, quality int, terms binary")
+    found = texts.transform(mapped, _terms_of, "doc_id long, toxic int, quality int, terms binary", names=names)
     return saved(found.repartition(8, "doc_id"), "terms")
 
 
