@@ -3,8 +3,8 @@
 A classifier trained on a labelled table gives each document a posterior over domains. Projected gradient then solves the least squares problem
 ``min |sum_i r_i n_i p_i - T|^2, least <= r_i`` for the rates r_i, with n_i tokens, posterior p_i and target totals T, in the metric of the
 tokens (a document's step is its posterior times the residual) and with momentum; the largest eigenvalue of sum_i n_i p_i p_i' gives the step size.
-Each iteration is one pass over the table of posteriors in which a document's rate is replayed from the residuals so far, so there is no table of
-rates to rewrite, and only one number a domain passes through the driver. Where no rates reach the targets, the nearest totals result, and the log
+Each iteration is one pass over the table of posteriors and rates in which a document's rate is replayed from the last few residuals; every KEEP iterations
+the table is written anew with its rates. Only one number a domain passes through the driver. Where no rates reach the targets, the nearest totals result, and the log
 tells targets and reached totals.
 """
 
@@ -25,6 +25,8 @@ from loomgraph.llm.toxicity import Machine, fit, labelled_terms, marked, terms,
 DOMAINS = ("high", "low", "toxic")
 #: A stop for targets that no rates reach and that aren't approached evenly.
 ITERATIONS = 400
+#: Iterations after which rates are written.
+KEEP = 20
 log = logging.getLogger(__name__)
 
 
@@ -48,30 +50,45 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("n_tokens").to_numpy().astype(float), np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], axis=1)
 
 
-def rates(p: np.ndarray, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors p after the steps so far (each the scaled residual of the domains), and the point to look at next."""
-    r = np.full(len(p), max(1.0, least))
-    ahead, t = r, 1.0
-    for s in steps:
+def rates(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, first: int, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p after some more steps (each the scaled residual of the domains), the first of which has the number ``first``, and the point
+    to look at next."""
+    for k, s in enumerate(steps, first):
         new = np.maximum(ahead - p @ s, least)
-        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        ahead, r = new + (before - 1) / t * (new - r), new
-    return r, ahead
+        ahead, rate = new + momentum(k) * (new - rate), new
+    return rate, ahead
 
 
-def _totals(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float, ahead: bool) -> Iterator[pa.RecordBatch]:
-    total, square = np.zeros(len(DOMAINS)), np.zeros((len(DOMAINS),) * 2)
+def momentum(step: int) -> float:
+    """The weight of the last move after the step with this number (from 0)."""
+    t = 1.0
+    for _ in range(step):
+        t = (1 + (1 + 4 * t * t) ** 0.5) / 2
+    return (t - 1) / ((1 + (1 + 4 * t * t) ** 0.5) / 2)
+
+
+def _replayed(batch: pa.RecordBatch, first: int, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, p = _columns(batch)
+    return n, p, *rates(p, batch.column("rate").to_numpy(), batch.column("ahead").to_numpy(), first, steps, least)
+
+
+def _totals(batches: Iterator[pa.RecordBatch], first: int, steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Totals at the point to look at, those of the rates, and sum of n p p'."""
+    k = len(DOMAINS)
+    total, reached, square = np.zeros(k), np.zeros(k), np.zeros((k, k))
     for batch in batches:
-        n, p = _columns(batch)
-        total += (rates(p, steps, least)[int(ahead)] * n) @ p
+        n, p, rate, ahead = _replayed(batch, first, steps, least)
+        total += (ahead * n) @ p
+        reached += (rate * n) @ p
         square += (p * n[:, None]).T @ p
-    yield pa.record_batch([pa.array([total.tolist()]), pa.array([square.ravel().tolist()])], ["total", "square"])
+    yield pa.record_batch([pa.array([total.tolist()]), pa.array([reached.tolist()]), pa.array([square.ravel().tolist()])], ["total", "reached", "square"])
 
 
-def _rated(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _moved(batches: Iterator[pa.RecordBatch], first: int, steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        r, _ = rates(_columns(batch)[1], steps, least)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
+        _, _, rate, ahead = _replayed(batch, first, steps, least)
+        kept = [n for n in batch.schema.names if n not in ("rate", "ahead")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(rate), pa.array(ahead)], [*kept, "rate", "ahead"])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: float = 0.0, iterations: int = ITERATIONS, machines: tuple[Machine, Machine] | None = None) -> DataFrame:
@@ -85,32 +102,36 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
     toxic, quality = machines or domain_machines(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    table = saved(rows.transform(mapped, _posteriors, schema, toxic=toxic, quality=quality), "posteriors")
+    start = F.lit(max(1.0, least))
+    table = saved(rows.transform(mapped, _posteriors, schema, toxic=toxic, quality=quality).withColumns({"rate": start, "ahead": start}), "posteriors")
+    schema += ", rate double, ahead double"
+    k = len(DOMAINS)
 
-    def totals(steps: np.ndarray, ahead: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        found = table.transform(mapped, _totals, "total array<double>, square array<double>", steps=steps, least=least, ahead=ahead).collect()
-        k = len(DOMAINS)
-        return sum((np.array(r["total"]) for r in found), np.zeros(k)), sum((np.array(r["square"]).reshape(k, k) for r in found), np.zeros((k, k)))
+    def totals(rows: DataFrame, first: int, steps: np.ndarray) -> list[np.ndarray]:
+        found = rows.transform(mapped, _totals, "total array<double>, reached array<double>, square array<double>", first=first, steps=steps, least=least).collect()
+        return [sum((np.array(r[c]) for r in found), np.zeros(m)) for c, m in (("total", k), ("reached", k), ("square", k * k))]
 
     weights = np.array([targets[d] for d in DOMAINS], float)
     weights /= weights.sum()
-    steps = np.zeros((0, len(DOMAINS)))
-    now, square = totals(steps)
+    steps, first = np.zeros((0, k)), 0
+    now, reached, square = totals(table, first, steps)
     if now.sum() > 0:
         growth = 1.0
         if least > 0:
             some = weights > 0  # tokens of a domain that should have none can't be outgrown
             growth = max(1.0, float((least * now[some] / now.sum() / weights[some]).max()))
         goal = weights * now.sum() * growth
-        size = 1 / np.linalg.eigvalsh(square)[-1]
+        size = 1 / np.linalg.eigvalsh(square.reshape(k, k))[-1]
         for _ in range(iterations):
             steps = np.vstack([steps, size * (now - goal)])
-            last, (now, _) = now, totals(steps)
-            if np.abs(now - goal).max() < 1e-3 * goal.sum() or np.abs(now - last).max() < 1e-5 * goal.sum():
+            if len(steps) == KEEP:
+                table, first, steps = saved(table.transform(mapped, _moved, schema, first=first, steps=steps, least=least), "rates"), first + KEEP, np.zeros((0, k))
+            last, (now, reached, _) = reached, totals(table, first, steps)
+            if np.abs(reached - goal).max() < 1e-3 * goal.sum() or np.abs(reached - last).max() < 1e-5 * goal.sum():
                 break
-        now, _ = totals(steps, ahead=False)
-        missed = np.abs(now - goal).max() >= 1e-3 * goal.sum()
-        log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", len(steps), ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, now, goal, strict=True)))
-    rated = table.transform(mapped, _rated, schema + ", rate double", steps=steps, least=least)
+        missed = np.abs(reached - goal).max() >= 1e-3 * goal.sum()
+        told = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, reached, goal, strict=True))
+        log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", first + len(steps), told)
+    rated = table.transform(mapped, _moved, schema, first=first, steps=steps, least=least).drop("ahead")
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))

@@ -120,9 +120,9 @@ class Machine:
         self.buckets = buckets
         m = len(buckets)
         if weights is None:
-            weights = np.zeros((m + 1, RANK + 1))
+            weights = np.zeros((m + 1, RANK + 1), np.float32)
             weights[:m, 1:] = np.random.default_rng(7).normal(0, 0.02, (m, RANK))
-        self.weights = weights  # the last row has the bias
+        self.weights = weights  # float32; the last row has the bias
 
     def lookup(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the chosen terms among a text's terms."""
@@ -146,16 +146,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(i, at)[0], -30, 30)))
 
     def step(self, i: np.ndarray, at: np.ndarray, label: np.ndarray, seen: np.ndarray, rate: float, decay: float) -> None:
-        margin, total = self.margin(i, at)
-        slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label) / len(label)
-        g = np.zeros_like(self.weights)
-        each = np.repeat(slope, np.diff(at))
-        np.add.at(g[:, 0], i, each)
-        np.add.at(g[:, 1:], i, each[:, None] * (np.repeat(total, np.diff(at), axis=0) - self.weights[i, 1:]))
-        g[-1, 0] = slope.sum()
-        g[:-1] += decay * self.weights[:-1]
+        """An Adagrad step over a few texts, as products of matrices: texts by terms, with a last column of ones for the bias."""
+        held = np.zeros((len(label), len(self.weights)), np.float32)
+        held[np.repeat(np.arange(len(label)), np.diff(at)), i] = 1
+        held[:, -1] = 1
+        w = self.weights
+        total = held @ w
+        own = held @ (w[:, 1:] ** 2).sum(axis=1)
+        margin = total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - own)
+        slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label) / len(label)).astype(np.float32)
+        each = slope[:, None] * total
+        each[:, 0] = slope
+        g = held.T @ each
+        g[:, 1:] -= g[:, :1] * w[:, 1:]
+        g[-1, 1:] = 0  # the bias has no factors
+        g[:-1] += decay * w[:-1]
         seen += g**2
-        self.weights -= rate * g / np.sqrt(seen + 1e-8)
+        w -= rate * g / np.sqrt(seen + 1e-8)
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +178,7 @@ def _terms_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[p
 def _round(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
     """Some passes over a task's labelled texts from the common model; gives its model and how many texts it is from."""
     label, data = [], []
-    machine, seen = Machine(buckets, weights.copy()), np.full(weights.shape, 1e-4)
+    machine, seen = Machine(buckets, weights.copy()), np.full(weights.shape, 1e-4, np.float32)
     for batch in batches:
         label += batch.column("label").to_pylist()
         i, at = machine.lookup(*_term_sets(batch))
@@ -202,7 +209,7 @@ def fit(labelled: DataFrame, terms_most: int = TERMS, rounds: int = ROUNDS) -> M
     for turn in range(rounds):
         models = labelled.transform(mapped, _round, "n long, model binary", buckets=buckets, weights=machine.weights, turn=turn).collect()
         n = sum(m["n"] for m in models)
-        machine = Machine(buckets, sum(np.frombuffer(m["model"], float).reshape(machine.weights.shape) * (m["n"] / n) for m in models))
+        machine = Machine(buckets, sum(np.frombuffer(m["model"], np.float32).reshape(machine.weights.shape) * np.float32(m["n"] / n) for m in models))
     return machine
 
 
