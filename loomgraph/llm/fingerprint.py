@@ -1,9 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every distinct shingle hash below a fixed part (1/32) of the hash space, so a longer document has a longer sketch, and two
-sketches can be merged or compared over the hashes below their limit, however unequal the documents are. A document with fewer than
-``FLOOR`` hashes there keeps its FLOOR smallest ones instead (all, if it has no more), with the last as its limit, so short documents
-can be told apart. A fingerprint is the sketch in hexadecimal, 16 digits a hash, ascending; without words it is empty.
+A sketch keeps every distinct shingle hash below a fixed part (1/SHARE) of the hash space, for documents of every length alike: a longer document has a longer sketch, and two
+sketches can be merged or compared over the same hashes, however unequal the documents are. A fingerprint is the sketch in hexadecimal, 16 digits
+a hash, ascending; that of a text without shingles is empty, and that of a text with shingles of which none is kept is ``-``.
 """
 
 from __future__ import annotations
@@ -19,64 +18,57 @@ from pyspark.sql import functions as F
 from loomgraph.llm import text as tx
 from loomgraph.llm.store import mapped
 
-SHARE = 32
-FLOOR = 32
+#: One of so many shingle hashes is kept.
+SHARE = 4
 LIMIT = np.uint64((1 << 64) // SHARE)
-TOP = np.uint64((1 << 64) - 1)
 K = 5
+#: Ranges of doc_id, at most; they grow beyond.
+RANGES = 1 << 14
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes -> those that are kept."""
-    return hashes[: max(int(np.searchsorted(hashes, LIMIT)), min(FLOOR, len(hashes)))]
-
-
-def limit(kept: np.ndarray) -> np.uint64:
-    """All hashes of the document up to this one are in the sketch."""
-    if len(kept) < FLOOR:
-        return TOP
-    return max(kept[-1], LIMIT)
+    return hashes[: int(np.searchsorted(hashes, LIMIT))]
 
 
 def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Estimated Jaccard similarity, and the part of a that b contains; both are 1 for two empty sketches, 0 for one."""
-    most = min(limit(a), limit(b))
-    a, b = a[a <= most], b[b <= most]
-    if not len(a) or not len(b):
-        same = float(len(a) == len(b))
-        return same, same
+    """Estimated Jaccard similarity, and the part of a that b contains; 0 where either sketch is empty."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both), both / len(a)
+    return both / max(1, len(a) + len(b) - both), both / max(1, len(a))
+
+
+def likeness(a: str, b: str) -> tuple[float, float]:
+    """The same of two fingerprints; 1 for two texts without shingles."""
+    return compare(decode(a), decode(b)) if a or b else (1.0, 1.0)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union of two documents."""
-    most = min(limit(a), limit(b))
-    both = np.union1d(a, b)
-    return both if most == TOP else both[both <= most]
+    return np.union1d(a, b)
 
 
-def encode(kept: np.ndarray) -> str:
-    return kept.astype(">u8").tobytes().hex()
+def encode(hashes: np.ndarray) -> str:
+    """The fingerprint of a text with these sorted distinct shingle hashes."""
+    return sketch(hashes).astype(">u8").tobytes().hex() or "-" * (len(hashes) > 0)
 
 
 def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint or ""), ">u8").astype(np.uint64)
+    return np.frombuffer(bytes.fromhex((fingerprint or "").strip("-")), ">u8").astype(np.uint64)
 
 
-def sketches(texts: pa.Array) -> list[np.ndarray]:
+def prints(texts: pa.Array) -> list[str]:
+    """Fingerprints of the texts of a large_string array without nulls."""
     out = []
     for a, b in tx.slices(texts):
         w = tx.words(texts.slice(a, b - a))
         h, at = tx.sets(*tx.shingles(w.hash, w.first, K))
-        out += [sketch(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+        out += [encode(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = sketches(tx.strings(batch.column(1)))
-        yield pa.record_batch([batch.column(0), pa.array([encode(k) for k in kept])], ["doc_id", "fingerprint"])
+        yield pa.record_batch([batch.column(0), pa.array(prints(tx.strings(batch.column(1))), pa.string())], ["doc_id", "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,12 +81,12 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def _edits(batches: Iterator[pa.RecordBatch], slice_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, ghost, doc_id, text) in order; each waits for the one after it, which is in its bucket, or the bucket's ghost."""
-    last = None  # (doc_id, text, ghost, sketch) of the row that waits
+    last = None  # (doc_id, text, ghost, fingerprint) of the row that waits
     for batch in batches:
         texts = tx.strings(batch.column("text"))
         for a, b in tx.slices(texts, slice_bytes):
             own = texts.slice(a, b - a)
-            new = list(zip(batch.column("doc_id").slice(a, b - a).to_pylist(), own.to_pylist(), batch.column("ghost").slice(a, b - a).to_pylist(), sketches(own), strict=True))
+            new = list(zip(batch.column("doc_id").slice(a, b - a).to_pylist(), own.to_pylist(), batch.column("ghost").slice(a, b - a).to_pylist(), prints(own), strict=True))
             rows = [*([last] if last else []), *new]
             last = rows[-1]
             pairs = [(x, y) for x, y in zip(rows[:-1], rows[1:], strict=True) if not x[2]]
@@ -109,50 +101,76 @@ def _edited(pairs: list[tuple]) -> pa.RecordBatch:
     for (_, text, *_), (_, after, *_) in pairs:
         cut = len(text) // 3
         edited.append(text[: len(text) - cut] + after[:cut])
-    made = sketches(pa.array(edited, pa.large_string()))
-    near = [compare(x[3], m) for (x, _), m in zip(pairs, made, strict=True)]
+    made = prints(pa.array(edited, pa.large_string()))
+    near = [likeness(x[3], m) for (x, _), m in zip(pairs, made, strict=True)]
     columns = [
         pa.array([x[0] for x, _ in pairs], pa.int64()), pa.array([len(x[1]) for x, _ in pairs], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array([encode(x[3]) for x, _ in pairs]), pa.array([encode(m) for m in made]),
-        pa.array([n[0] for n in near]), pa.array([compare(x[3], y[3])[0] for x, y in pairs]), pa.array([n[1] for n in near]),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array([x[3] for x, _ in pairs], pa.string()), pa.array(made, pa.string()),
+        pa.array([n[0] for n in near], pa.float64()), pa.array([likeness(x[3], y[3])[0] for x, y in pairs], pa.float64()), pa.array([n[1] for n in near], pa.float64()),
     ]
     return pa.record_batch(columns, [c.split()[0] for c in EDITED.split(", ")])
 
 
+class Ranges:
+    """Ranges of rows in the order of descending doc_id; rows without an id come last, in the order of a hash of their texts (``tie``)."""
+
+    def __init__(self, cuts: np.ndarray, nulls: int):
+        self.cuts, self.nulls = np.sort(cuts), nulls  # ids above a cut are in an earlier range
+
+    def of(self, doc: pa.Array, tie: np.ndarray) -> np.ndarray:
+        known = doc.is_valid().to_numpy(zero_copy_only=False)
+        place = len(self.cuts) - np.searchsorted(self.cuts, doc.fill_null(0).to_numpy(), "left")
+        unknown = len(self.cuts) + 1 + ((tie.astype(np.float64) / 2**64 + 0.5) * self.nulls).astype(np.int64).clip(0, self.nulls - 1)
+        return np.where(known, place, unknown)
+
+
+def _heads(batches: Iterator[pa.RecordBatch], ranges: Ranges) -> Iterator[pa.RecordBatch]:
+    """The first key of each range: the highest id, or for rows without one the lowest tie, as -1 - tie."""
+    for batch in batches:
+        doc, tie = batch.column("doc_id"), batch.column("tie").to_numpy()
+        key = np.where(doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), -1 - tie)
+        bucket = ranges.of(doc, tie)
+        order = np.lexsort((-1 - key, bucket))
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        yield pa.record_batch([pa.array(bucket[order][first].astype(np.int32)), pa.array(key[order][first])], ["bucket", "head"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], ranges: Ranges, heads: np.ndarray, before: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each row with its range, and the first of each range once more, as a ghost at the end of the range before."""
+    for batch in batches:
+        doc, tie = batch.column("doc_id"), batch.column("tie").to_numpy()
+        bucket = ranges.of(doc, tie)
+        key = np.where(doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), -1 - tie)
+        first = np.flatnonzero(key == heads[bucket])
+        for where, rows, ghost in ((bucket, batch, False), (before[bucket[first]], batch.take(pa.array(first)), True)):
+            columns = [pa.array(where.astype(np.int32)), pa.array([ghost] * rows.num_rows, pa.bool_()), *(rows.column(c) for c in ("doc_id", "tie", "text"))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "ghost", "doc_id", "tie", "text"])
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
     """Fingerprint of each whole text and of its edited text, with their likeness.
 
     The edited text has its last floor(n/3) code points replaced by the first as many (or all) of the next row's text, in the order of
-    descending doc_id (null ids last, equal ids by text); after the last row comes the first. Rows are dealt by ranges of doc_id, and each
-    range also gets the first row of the next one, so no task needs more than one range and texts are shuffled once. Returns one row per
+    descending doc_id (equal ids by text; null ids last, in the order of a hash of their texts); after the last row comes the first. Rows are dealt by ranges of
+    doc_id, and each range also gets the first row of the next one, so no task needs more than one range and texts are shuffled once. The cuts between ranges, one for
+    ``bucket_bytes`` of text and RANGES at most, are what the driver holds. Returns one row per
     row of docs; null and empty texts have an empty fingerprint. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("doc_id")).first()
-    parts = max(8, -(-size // bucket_bytes))
-    coarse = max(12, 2 * int(parts**0.5))  # ranges are a few for each task, so tasks are even
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / (coarse * coarse) for i in range(1, coarse * coarse)] or [0.5], 20000)).first()[0] if n else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    # the number of cuts above an id, first among every coarse-th cut, then between two of these
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
-    groups = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)] or [[]]
-    group = F.size(F.filter(longs([g[-1] for g in groups[:-1]]), lambda c: c > F.col("doc_id")))
-    fine = F.size(F.filter(F.element_at(F.array(*[longs(g) for g in groups]), group + 1), lambda c: c > F.col("doc_id")))
-    rows = rows.withColumn("bucket", F.coalesce(group * coarse + fine, F.lit(len(cuts) + 1)).cast("int"))
-
-    heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one id a range
-    order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    ids = [h for h in heads.values() if h is not None]
-    first = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    if None in heads.values():
-        first = first | F.col("doc_id").isNull()
-    ghosts = rows.filter(first).groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    follows = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None)
-    if order:
-        ghosts = ghosts.select(follows[F.col("bucket")].cast("int").alias("bucket"), F.lit(True).alias("ghost"), "doc_id", "text")
-        rows = rows.select("bucket", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts)
-    else:
-        rows = rows.select("bucket", F.lit(False).alias("ghost"), "doc_id", "text")
-    dealt = rows.repartition(int(parts), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.transform(mapped, _edits, EDITED)
+    rows = rows.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("tie"), "text")
+    size = F.octet_length("text").cast("long")
+    total, lost, n = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0)), F.count("doc_id")).first()
+    parts = max(8, -(-total // bucket_bytes))
+    few = min(RANGES, 4 * parts)  # some ranges for each task, so that tasks are even
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / few for i in range(1, few)], 4 * few)).first()[0] if n else []
+    ranges = Ranges(np.unique(np.array(cuts or [], np.int64)), min(RANGES, max(1, int(few * lost / max(1, total)))))
+    found = rows.transform(mapped, _heads, "bucket int, head long", ranges=ranges)
+    known = len(ranges.cuts) + 1
+    top = found.groupBy("bucket").agg(F.max("head").alias("head")).collect()  # one key a range
+    order = sorted(r["bucket"] for r in top)
+    heads, before = np.full(known + ranges.nulls, -1, np.int64), np.zeros(known + ranges.nulls, np.int64)
+    heads[[r["bucket"] for r in top]] = [r["head"] for r in top]
+    before[order] = np.roll(order, 1) if order else order
+    dealt = rows.transform(mapped, _dealt, "bucket int, ghost boolean, doc_id long, tie long, text string", ranges=ranges, heads=heads, before=before)
+    dealt = dealt.repartition(int(parts), "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    return dealt.select("bucket", "ghost", "doc_id", "text").transform(mapped, _edits, EDITED)

@@ -21,7 +21,7 @@ from loomgraph.llm.store import mapped
 SHARD = 8192
 #: Queries that one pass over the candidates takes along, at most; larger query sets take several passes.
 QUERIES = 100_000
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query long, own long, vec_id long, score long"
 
 
 class Shard:
@@ -30,15 +30,16 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.exact = np.float64 if not vectors.size or np.abs(vectors).max() < 1 << 22 else np.int64
         self.rising = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.dense = self.vectors.astype(self.exact)
+        self.dense = self.vectors.astype(np.float64)
+        self.most = np.abs(self.dense).max(axis=0, initial=0.0)
 
-    def top(self, query_id: int, query: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of (ids, scores) and this shard's vectors, without the query's own id."""
+    def top(self, query: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of (ids, scores) and this shard's vectors."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
-        q = query.astype(self.exact)
+        small = float(np.abs(query.astype(np.float64)) @ self.most) < 1 << 52  # every sum of products is then exact as a float
+        vectors, q = (self.dense, query.astype(np.float64)) if small else (self.vectors, query)
         seen = np.zeros(n, bool)
         falls = query[dims] > 0
         down, up = dims[falls], dims[~falls]
@@ -53,9 +54,7 @@ class Shard:
                 new[:], to = True, n
             met = np.flatnonzero(new & ~seen)
             seen |= new
-            got = (self.dense[met] @ q).astype(np.int64)
-            own = self.ids[met] != query_id
-            ids, scores = np.concatenate([ids, self.ids[met][own]]), np.concatenate([scores, got[own]])
+            ids, scores = np.concatenate([ids, self.ids[met]]), np.concatenate([scores, (vectors[met] @ q).astype(np.int64)])
             if len(scores) > 64:  # only what can be among the best is sorted
                 least = np.partition(scores, -k)[-k]
                 ids, scores = ids[scores >= least], scores[scores >= least]
@@ -82,10 +81,11 @@ def _arrays(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def threshold_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with every row but its own id, ties to the smaller vec_id.
+    """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with every row but its own, ties to the smaller vec_id.
 
     Components become floor(scale * x). Rows with a null id, or a vector that is null or holds null or non-finite components, take no part; shorter
-    vectors count as filled up with zeros; repeated rows are candidates each, and one query. Other columns are not read. Queries go in blocks of a bounded size
+    vectors count as filled up with zeros. Rows that repeat an id and vector are candidates each, also of one another, and one query; rows that share an id only are queries of
+    their own. Scores are exact while they fit 64 bits. Other columns are not read. Queries go in blocks of a bounded size
     to every task; candidates stay where they are read.
     """
 
@@ -104,15 +104,16 @@ def threshold_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
         own = [_arrays(b, max(dims, 1)) for b in rows.to_batches() if b.num_rows]
         queries_ = spark.sparkContext.broadcast((np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own])) if own else (np.zeros(0, np.int64), np.zeros((0, max(dims, 1)), np.int64)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=queries_) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=queries_, first=block * QUERIES * 64) -> Iterator[pa.RecordBatch]:
             query_ids, query_vectors = shared.value
+            query_numbers = np.arange(len(query_ids)) + first
             best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
             ids, vecs, held = [], [], 0
 
             def search() -> None:
                 shard = Shard(np.concatenate(ids), np.concatenate(vecs))
-                for i, (query_id, query) in enumerate(zip(query_ids.tolist(), query_vectors, strict=True)):
-                    best[i] = shard.top(query_id, query, k, *best[i])
+                for i, query in enumerate(query_vectors):
+                    best[i] = shard.top(query, k + 1, *best[i])  # the query's own row is among them, or worse than these
 
             for batch in batches:
                 for a in range(0, batch.num_rows, SHARD):
@@ -127,9 +128,13 @@ def threshold_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
                 search()
             count = [len(i) for i, _ in best]
             if sum(count):
-                yield pa.record_batch([pa.array(np.repeat(query_ids, count)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
+                own = (query_vectors * query_vectors).sum(axis=1)
+                columns = [*(np.repeat(c, count) for c in (query_ids, query_numbers, own)), np.concatenate([i for i, _ in best]), np.concatenate([s for _, s in best])]
+                yield pa.record_batch([pa.array(c) for c in columns], [c.split()[0] for c in FOUND.split(", ")])
 
         found = candidates.transform(mapped, run, FOUND)
         out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda *by: F.row_number().over(Window.partitionBy("query", *by).orderBy(F.desc("score"), "vec_id"))
+    is_own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    other = out.repartition("query").withColumn("is_own", is_own).withColumn("copy", best("is_own")).filter("not (is_own and copy = 1)")
+    return other.withColumn("rank", best()).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -145,3 +145,18 @@ def test_threshold_search_edges(spark):
     got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in threshold_search(e, e.filter("vec_id % 50 = 0"), 5).collect()}
     assert got == {(0, 1, 4, 0), (0, 2, 7, 0), (0, 3, 50, 0), (50, 1, 4, 128 * 256), (50, 2, 0, 0), (50, 3, 7, 0)}
     assert threshold_search(e.limit(0), e.limit(0), 5).count() == 0
+
+
+def test_threshold_search_repeated_ids_and_large_components(spark):
+    big, odd = float(2**33) / 256, float(2**21) / 256
+    rows = [(0, [big, 1 / 256]), (1, [odd, 0.0]), (2, [odd, 1 / 256]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in threshold_search(e, e.filter("vec_id % 50 = 0"), 20).collect()]
+    v = [[int(x * 256) for x in r[1]] for r in rows]
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            order = sorted((-(v[i][0] * v[j][0] + v[i][1] * v[j][1]), rows[j][0]) for j in range(len(rows)) if j != i)
+            want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(order)]
+    assert sorted(got) == sorted(want)
+    assert (0, 1, 2, 2**54 + 1) in got and (0, 2, 1, 2**54) in got

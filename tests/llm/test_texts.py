@@ -97,7 +97,7 @@ def test_edited_fingerprints(spark, odd_docs):
         after, cut = rows[(i + 1) % len(rows)][1], len(text) // 3
         edited = text[: len(text) - cut] + after[:cut]
         assert got[d]["n_chars"] == len(text) and got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert fp.encode(fp.sketches(pa.array([text], pa.large_string()))[0]) == got[d]["fingerprint"]
+        assert fp.prints(pa.array([text], pa.large_string()))[0] == got[d]["fingerprint"]
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.4 > np.mean([r["near_next"] for r in got.values()])
     odd = fp.edited_fingerprints(odd_docs).collect()
     assert len(odd) == odd_docs.count() and {r["fingerprint"] for r in odd if r["doc_id"] in (3, 4, 5)} == {""}
@@ -112,7 +112,7 @@ def test_sketch_estimates():
     both = len(np.intersect1d(a, b))
     assert abs(inside - both / len(b)) < 0.06 and abs(jaccard - both / len(np.union1d(a, b))) < 0.06
     assert (fp.merge(fp.sketch(a), fp.sketch(b)) == fp.sketch(np.union1d(a, b))).all()
-    assert (fp.decode(fp.encode(fp.sketch(a))) == fp.sketch(a)).all()
+    assert (fp.decode(fp.encode(a)) == fp.sketch(a)).all()
 
 
 def test_token_counts_equal_the_library(spark):
@@ -226,3 +226,31 @@ def test_filter_urls_edges(spark):
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "www.example.org", "/es/a", "example.org/es/", "block"), (5, "example.org", "", None, "allow"),
         (6, "a.com", "/x.org/", None, "allow"), (7, "org", "/", "org/", "allow"), (8, "xorg", "/\n", None, "allow"), (None, "b.org", "/y", "org/", "allow"),
     ]
+
+
+def test_fingerprints_keep_one_fraction(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 5, 30, 2000)]
+    for text, got in zip(texts, fp.prints(pa.array(texts, pa.large_string())), strict=True):
+        w = tx.words(pa.array([text], pa.large_string()))
+        h, _ = tx.sets(*tx.shingles(w.hash, w.first, 5))
+        assert fp.decode(got).tolist() == [x for x in h.tolist() if x < (1 << 64) // fp.SHARE] and got
+    assert fp.likeness("", "") == (1.0, 1.0) and fp.likeness("-", "-") == fp.likeness("", "-") == (0.0, 0.0)
+
+
+def test_edited_fingerprints_of_many_ranges(spark):
+    """Repeated, negative and many null ids over small ranges, against a loop."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), f"text {i} " * int(rng.integers(0, 9))) for i in rng.integers(-40, 40, 300)] + [(None, f"none {i % 30}") for i in range(60)]
+    got = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), bucket_bytes=200).collect()
+    assert len(got) == len(rows)
+    known = sorted([r for r in rows if r[0] is not None], key=lambda r: (-r[0], r[1]))
+    last = {r["edited_sha256"] for r in got if r["doc_id"] is None}
+    want = []
+    for (d, t), (_, after) in zip(known[:-1], known[1:], strict=True):
+        cut = len(t) // 3
+        want.append((d, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    have = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got if r["doc_id"] is not None)
+    assert sum((have - collections.Counter(want)).values()) == 1 and len(last) > 1  # the lowest id is followed by a row without one
