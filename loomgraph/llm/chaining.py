@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import text as tx
-from loomgraph.llm.store import blobs, buckets_for, hash_filter, mapped, maybe_held, maybe_in, per_bucket, pieces, saved, top_bits, unblob
+from loomgraph.llm.store import blobs, buckets_for, hash_filter, mapped, maybe_held, maybe_in, per_bucket, pieces, saved, top_bits, unblob, unused
 
 K = 5
 #: Any so many 5-mers in a row have a seed among them; a 5-mer is one anyway if its hash is 0 modulo SHARE.
@@ -434,8 +434,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The last column of each batch has the spans to cut out."""
     for batch in batches:
-        texts, spans = tx.strings(batch.column(text_col)), batch.column("_spans").to_pylist()
+        texts, spans = tx.strings(batch.column(text_col)), batch.columns[-1].to_pylist()
         kept = batch.column(text_col).to_pylist()
         for a, b in tx.slices(texts):
             w = tx.words(texts.slice(a, b - a))
@@ -451,12 +452,12 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Record
                             parts.append(body[at:begin])
                         at = max(at, end)
                     kept[a + i] = b"".join([*parts, body[at:]]).decode()
-        columns = [pa.array(kept, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in batch.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "_spans"])
+        columns = [pa.array(kept, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in batch.schema.names[:-1]]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
 
 def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeats cut out of their texts, the first occurrence of each passage excepted; a text that is all repeats becomes empty."""
-    spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    names = docs.columns
-    return docs.join(spans, docs[id_col] == spans["_doc"], "left").select(*names, "_spans").transform(mapped, _cut, docs.schema, text_col=text_col)
+    """docs with the repeats cut out of their texts, the first occurrence of each passage excepted; a text that is all repeats becomes empty. Other columns stay as they are."""
+    doc, spans = unused(docs.columns, "spans_of"), unused(docs.columns, "spans")
+    cut = found.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
+    return docs.join(cut, F.col(id_col) == F.col(doc), "left").select(*docs.columns, spans).transform(mapped, _cut, docs.schema, text_col=text_col)

@@ -11,7 +11,6 @@ the model (TERMS * (RANK + 1) numbers) passes through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -213,23 +212,23 @@ def fit(labelled: DataFrame, terms_most: int = TERMS, rounds: int = ROUNDS) -> M
     return machine
 
 
-def _score(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The last column of each batch is the text; it becomes the score."""
     machine = Machine(buckets, weights)
     wanted = marked(machine)
     for batch in batches:
-        texts = tx.strings(batch.column("_text"))
+        texts = tx.strings(batch.columns[-1])
         score = np.empty(batch.num_rows)
         for a, b in tx.slices(texts):
             t, at, _ = terms(texts.slice(a, b - a), wanted)
             score[a:b] = machine.scores(*machine.lookup(t, at))
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(score)], [*names, "toxic_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], batch.schema.names)
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row of docs and toxic_score, from 0 to 1; a null or empty text has the score of no terms. No shuffle."""
-    schema = docs.select(*keep).schema.add("toxic_score", "double")
-    run = partial(_score, buckets=machine.buckets, weights=machine.weights, names=keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).transform(mapped, run, schema)
+def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", name: str = "toxic_score") -> DataFrame:
+    """The columns ``keep`` of every row of docs and their score, from 0 to 1, in a column ``name`` that isn't one of them; a null or empty text has the score of no terms. No shuffle."""
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(name))
+    return rows.transform(mapped, _score, docs.select(*keep).schema.add(name, "double"), buckets=machine.buckets, weights=machine.weights)
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
