@@ -27,6 +27,8 @@ DOMAINS = ("high", "low", "toxic")
 ITERATIONS = 400
 #: Iterations after which rates are written.
 KEEP = 20
+#: It ends when so many iterations bring the totals less than a tenth nearer.
+STALL = 10
 log = logging.getLogger(__name__)
 
 
@@ -50,43 +52,35 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("n_tokens").to_numpy().astype(float), np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], axis=1)
 
 
-def rates(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, first: int, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors p after some more steps (each the scaled residual of the domains), the first of which has the number ``first``, and the point
+def rates(p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p after some more steps (each the scaled residual of the domains, and the weight of the move that follows it), and the point
     to look at next."""
-    for k, s in enumerate(steps, first):
-        new = np.maximum(ahead - p @ s, least)
-        ahead, rate = new + momentum(k) * (new - rate), new
+    for s in steps:
+        new = np.maximum(ahead - p @ s[:-1], least)
+        ahead, rate = new + s[-1] * (new - rate), new
     return rate, ahead
 
 
-def momentum(step: int) -> float:
-    """The weight of the last move after the step with this number (from 0)."""
-    t = 1.0
-    for _ in range(step):
-        t = (1 + (1 + 4 * t * t) ** 0.5) / 2
-    return (t - 1) / ((1 + (1 + 4 * t * t) ** 0.5) / 2)
-
-
-def _replayed(batch: pa.RecordBatch, first: int, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _replayed(batch: pa.RecordBatch, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, p = _columns(batch)
-    return n, p, *rates(p, batch.column("rate").to_numpy(), batch.column("ahead").to_numpy(), first, steps, least)
+    return n, p, *rates(p, batch.column("rate").to_numpy(), batch.column("ahead").to_numpy(), steps, least)
 
 
-def _totals(batches: Iterator[pa.RecordBatch], first: int, steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _totals(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     """Totals at the point to look at, those of the rates, and sum of n p p'."""
     k = len(DOMAINS)
     total, reached, square = np.zeros(k), np.zeros(k), np.zeros((k, k))
     for batch in batches:
-        n, p, rate, ahead = _replayed(batch, first, steps, least)
+        n, p, rate, ahead = _replayed(batch, steps, least)
         total += (ahead * n) @ p
         reached += (rate * n) @ p
         square += (p * n[:, None]).T @ p
     yield pa.record_batch([pa.array([total.tolist()]), pa.array([reached.tolist()]), pa.array([square.ravel().tolist()])], ["total", "reached", "square"])
 
 
-def _moved(batches: Iterator[pa.RecordBatch], first: int, steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _moved(batches: Iterator[pa.RecordBatch], steps: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, _, rate, ahead = _replayed(batch, first, steps, least)
+        _, _, rate, ahead = _replayed(batch, steps, least)
         kept = [n for n in batch.schema.names if n not in ("rate", "ahead")]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(rate), pa.array(ahead)], [*kept, "rate", "ahead"])
 
@@ -107,14 +101,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
     schema += ", rate double, ahead double"
     k = len(DOMAINS)
 
-    def totals(rows: DataFrame, first: int, steps: np.ndarray) -> list[np.ndarray]:
-        found = rows.transform(mapped, _totals, "total array<double>, reached array<double>, square array<double>", first=first, steps=steps, least=least).collect()
+    def totals(rows: DataFrame, steps: np.ndarray) -> list[np.ndarray]:
+        found = rows.transform(mapped, _totals, "total array<double>, reached array<double>, square array<double>", steps=steps, least=least).collect()
         return [sum((np.array(r[c]) for r in found), np.zeros(m)) for c, m in (("total", k), ("reached", k), ("square", k * k))]
 
     weights = np.array([targets[d] for d in DOMAINS], float)
     weights /= weights.sum()
-    steps, first = np.zeros((0, k)), 0
-    now, reached, square = totals(table, first, steps)
+    steps, done = np.zeros((0, k + 1)), 0
+    now, reached, square = totals(table, steps)
     if now.sum() > 0:
         growth = 1.0
         if least > 0:
@@ -122,16 +116,22 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], least: fl
             growth = max(1.0, float((least * now[some] / now.sum() / weights[some]).max()))
         goal = weights * now.sum() * growth
         size = 1 / np.linalg.eigvalsh(square.reshape(k, k))[-1]
-        for _ in range(iterations):
-            steps = np.vstack([steps, size * (now - goal)])
+        t, gap, best = 1.0, np.inf, []
+        for done in range(1, iterations + 1):
+            last, gap = gap, float(np.linalg.norm(now - goal))
+            t = 1.0 if gap > last else t  # momentum starts anew when it leads astray
+            after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            steps = np.vstack([steps, [*(size * (now - goal)), (t - 1) / after]])
+            t = after
             if len(steps) == KEEP:
-                table, first, steps = saved(table.transform(mapped, _moved, schema, first=first, steps=steps, least=least), "rates"), first + KEEP, np.zeros((0, k))
-            last, (now, reached, _) = reached, totals(table, first, steps)
-            if np.abs(reached - goal).max() < 1e-3 * goal.sum() or np.abs(reached - last).max() < 1e-5 * goal.sum():
+                table, steps = saved(table.transform(mapped, _moved, schema, steps=steps, least=least), "rates"), np.zeros((0, k + 1))
+            now, reached, _ = totals(table, steps)
+            best.append(float(np.linalg.norm(reached - goal)))
+            if np.abs(reached - goal).max() < 1e-3 * goal.sum() or min(best[:-STALL], default=np.inf) < 1.1 * min(best):
                 break
         missed = np.abs(reached - goal).max() >= 1e-3 * goal.sum()
         told = ", ".join(f"{d} {a:.0f} of {b:.0f}" for d, a, b in zip(DOMAINS, reached, goal, strict=True))
-        log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", first + len(steps), told)
-    rated = table.transform(mapped, _moved, schema, first=first, steps=steps, least=least).drop("ahead")
+        log.log(logging.WARNING if missed else logging.INFO, "mixing after %d steps: %s", done, told)
+    rated = table.transform(mapped, _moved, schema, steps=steps, least=least).drop("ahead")
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))
