@@ -50,13 +50,26 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keyed upsert: an edge that has the key's value gets the new properties on top of its own, any other new edge is added."""
-    latest = new.groupBy("kgraph_id", "src", "dst", "type", F.col("props")[key].alias("_key")).agg(F.max_by("props", "seq").alias("_new"), F.min("seq").alias("_seq"), F.min("id").alias("_id"))
-    own = edges.withColumn("_key", F.col("props")[key])
-    on = ["kgraph_id", "src", "dst", "type", "_key"]
-    kept = own.join(latest.select(*on, "_new"), on, "left").withColumn("props", put_all(F.col("props"), F.col("_new"))).select(edges.columns)
-    fresh = latest.join(own.select(on), on, "left_anti").select("kgraph_id", F.col("_id").alias("id"), "src", "dst", "type", F.lit(False).alias("directed"), F.col("_new").alias("props"), F.col("_seq").alias("seq"))
-    return kept.unionByName(fresh.select(edges.columns))
+    """Keyed upsert: new edges put their properties, in the order of ``seq``, on top of those of an edge that is there, and make one where there is none.
+
+    That edge is the one of the same ends, direction and type with the same value of ``key``; without one, or for a new edge without the key, the first edge (by seq) that joins the ends
+    by the type in either direction. New edges that meet none become one for each type and ends, with the direction of the first. Properties are grouped one by one, so an
+    edge with very many updates is not gathered.
+    """
+    ends = [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
+    on = ["kgraph_id", "_a", "_b", "type"]
+    own = edges.select("*", *ends)
+    by_key = own.select("kgraph_id", "src", "dst", "type", F.col("props")[key].alias("_key"), "id", "seq").filter("_key is not null")
+    by_key = by_key.groupBy("kgraph_id", "src", "dst", "type", "_key").agg(F.min_by("id", F.struct("seq", "id")).alias("_same"))
+    by_ends = own.groupBy(*on).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"))
+    rows = new.select("*", *ends, F.col("props")[key].alias("_key")).join(by_key, ["kgraph_id", "src", "dst", "type", "_key"], "left").join(by_ends, on, "left")
+    made = first_per_key(rows.filter("_first is null"), on, "seq", "id").select(*on, F.col("id").alias("_made"), *[F.col(c).alias(f"_{c}") for c in ("src", "dst", "directed", "seq")])
+    each = rows.join(made.select(*on, "_made"), on, "left").select("kgraph_id", F.coalesce("_same", "_first", "_made").alias("id"), F.explode("props").alias("_k", "_v"), "seq", F.col("id").alias("_id"))
+    last = each.groupBy("kgraph_id", "id", "_k").agg(F.max_by(F.struct("_v"), F.struct("seq", "_id")).alias("_v"))
+    props = last.groupBy("kgraph_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v._v"))).alias("_props"))
+    fresh = made.select("kgraph_id", F.col("_made").alias("id"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), "type", F.col("_directed").alias("directed"), F.lit(None).cast(edges.schema["props"].dataType).alias("props"), F.col("_seq").alias("seq"))
+    both = edges.unionByName(fresh.select(edges.columns)).join(props, ["kgraph_id", "id"], "left")
+    return both.withColumn("props", put_all(F.col("props"), F.col("_props"))).select(edges.columns)
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -95,7 +108,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def stitch(nodes: DataFrame) -> DataFrame:
-    """A ``resolve`` edge from each node to each earlier one of its graph that shares a synonym, for each such synonym."""
+    """A ``resolve`` edge from each node to each earlier one of its graph that shares a synonym, for each such synonym: m nodes with one synonym have m * (m - 1) / 2 edges, by definition."""
     each = nodes.select("kgraph_id", "id", "seq", F.explode(F.array_distinct("synonyms")).alias("value"))
     a, b = each.alias("a"), each.alias("b")
     on = (F.col("a.kgraph_id") == F.col("b.kgraph_id")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.seq") > F.col("b.seq"))

@@ -59,18 +59,20 @@ def with_object(rows: DataFrame, concept: str) -> DataFrame:
 
 
 def summary(rows: DataFrame, concept=None) -> DataFrame:
-    """(concept, kind, value, n) about each concept, or one: its predicates, semantic types of both sides, the concepts at the other end, and how many articles.
+    """(concept, kind, value, n) about each concept, or one: predicates, semantic types of both sides and objects that are concepts (``C...``) of its triples, and how many articles.
 
-    A row counts for its subject and for its object.
+    A triple counts once, whatever its evidence, for its subject and for its object.
     """
-    side = lambda own, other: rows.select(F.col(own).alias("concept"), F.col(other).alias("other"), "predicate", "subtype", "objtype", "pmid")
-    both = side("subject", "object").unionByName(side("object", "subject"))
-    own = both if concept is None else both.filter(F.col("concept") == concept)
+    sides = lambda df, *more: df.select(F.explode(F.array("subject", "object")).alias("concept"), *more)
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("subject", "object")})
     each = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
-    values = F.array(each("predicate", "predicate"), each("concept", "other"), each("semtype", "subtype"), each("semtype", "objtype"))
-    counts = own.select("concept", F.explode(values).alias("v")).groupBy("concept", "v.kind", "v.value").agg(F.count("*").alias("n"))
-    pmids = own.groupBy("concept").agg(F.countDistinct(F.col("pmid").try_cast("long")).alias("n"))
-    return counts.unionByName(pmids.select("concept", F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n"))
+    values = F.array(each("predicate", "predicate"), each("concept", "object"), each("semtype", "subtype"), each("semtype", "objtype"))
+    triples = sides(predication_count(rows), F.col("object"), "predicate", "subtype", "objtype")
+    pmids = sides(rows, F.col("pmid").try_cast("long").alias("pmid"))
+    if concept is not None:
+        triples, pmids = triples.filter(F.col("concept") == concept), pmids.filter(F.col("concept") == concept)
+    counts = triples.select("concept", F.explode(values).alias("v")).filter("v.kind != 'concept' or v.value like 'C%'").groupBy("concept", "v.kind", "v.value").agg(F.count("*").alias("n"))
+    return counts.unionByName(pmids.groupBy("concept").agg(F.countDistinct("pmid").alias("n")).select("concept", F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n"))
 
 
 def related(rows: DataFrame, names: DataFrame, key: str, name: str, top: int) -> DataFrame:

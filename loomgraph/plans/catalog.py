@@ -64,9 +64,9 @@ def part_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supplier_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of suppliers are negative, so they differ from those of parts."""
+    """Ids of suppliers are below 0, so they differ from those of parts."""
     return table(spark, d, "supplier").select(
-        F.lit(1).cast("long").alias("kgraph_id"), (-F.col("s_suppkey")).alias("id"), F.lit("target").alias("type"), F.col("s_name").alias("name"), F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("uri"),
+        F.lit(1).cast("long").alias("kgraph_id"), (-1 - F.col("s_suppkey")).alias("id"), F.lit("target").alias("type"), F.col("s_name").alias("name"), F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("uri"),
         F.lit(0).cast("long").alias("created"), F.array(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"))).alias("tags"), F.array("s_name").alias("synonyms"),
         F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("props"), (F.col("s_suppkey") + 1_000_000_000).alias("seq"),
     )
@@ -75,7 +75,7 @@ def supplier_nodes(spark: SparkSession, d: str) -> DataFrame:
 def item_edges(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     return li.select(
-        F.lit(1).cast("long").alias("kgraph_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"),
+        F.lit(1).cast("long").alias("kgraph_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"),
         F.col("l_returnflag").alias("type"), F.lit(False).alias("directed"), F.create_map(F.lit("order"), F.col("l_orderkey").cast("string")).alias("props"), F.col("l_orderkey").alias("seq"),
     )
 
@@ -106,13 +106,13 @@ def counts_by_tag(spark, d):
 
 
 @query("""select id, cast(coalesce(i, 0) as bigint) as in_degree, cast(coalesce(o, 0) as bigint) as out_degree, cast(coalesce(i, 0) + coalesce(o, 0) as bigint) as degree
-    from (select p_partkey as id from part union all select -s_suppkey from supplier) n
-    left join (select l_partkey as k, count(*) as o from lineitem group by 1) a on a.k = n.id left join (select -l_suppkey as k, count(*) as i from lineitem group by 1) b on b.k = n.id""")
+    from (select p_partkey as id from part union all select -1 - s_suppkey from supplier) n
+    left join (select l_partkey as k, count(*) as o from lineitem group by 1) a on a.k = n.id left join (select -1 - l_suppkey as k, count(*) as i from lineitem group by 1) b on b.k = n.id""")
 def degree_in_out(spark, d):
     return G.degrees(part_nodes(spark, d).unionByName(supplier_nodes(spark, d)), item_edges(spark, d))
 
 
-@query("select -l.l_suppkey as node, l.l_partkey as other from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_type in ('PROMO', 'LARGE')")
+@query("select -1 - l.l_suppkey as node, l.l_partkey as other from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_type in ('PROMO', 'LARGE')")
 def neighbors_by_tag(spark, d):
     return G.neighbors(item_edges(spark, d), part_nodes(spark, d), tags=["PROMO", "LARGE"]).select("node", "other")
 
@@ -121,7 +121,7 @@ def neighbors_by_tag(spark, d):
 def has_neighbors(spark, d):
     nodes = part_nodes(spark, d)
     found = G.has_neighbors(supplier_nodes(spark, d), _tagged(item_edges(spark, d), nodes))
-    return found.select((-F.col("id")).alias("s_suppkey"), F.col("name").alias("s_name"))
+    return found.select((-1 - F.col("id")).alias("s_suppkey"), F.col("name").alias("s_name"))
 
 
 def _tagged(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,28 +133,38 @@ def nodes_where(spark, d):
     return G.nodes_where(part_nodes(spark, d), 1, F.array_contains("tags", "ECONOMY") & (F.col("props")["_size"].cast("int") > 10)).select("id", "name")
 
 
-@query("select l_partkey as src, -l_suppkey as dst, count(*) as n from lineitem where l_returnflag = 'R' group by 1, 2")
+@query("select l_partkey as src, -1 - l_suppkey as dst, count(*) as n from lineitem where l_returnflag = 'R' group by 1, 2")
 def edges_where(spark, d):
     return G.edges_where(item_edges(spark, d), 1, F.col("type") == "R").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey as id from part where p_name = (select min(p_name) from part)")
+@query("select p_partkey as id from part where p_name = 'red bolt'")
 def find_nodes(spark, d):
     nodes = part_nodes(spark, d)
-    name = nodes.agg(F.min("name")).first()[0]
-    return G.find_nodes(nodes, "synonyms", name).select("id")
+    return G.find_nodes(nodes, "synonyms", "red bolt").select("id")
 
 
-@query("select p_name, p_partkey from (select p_name, p_partkey, row_number() over (partition by p_name order by p_partkey) as rn from part) t where rn = 1")
+@query("""with n as (select *, p_name || '|' || p_brand as k from part)
+    select k, p_partkey from n where p_size > 25 union all select k, arg_min(p_partkey, p_partkey) from n where p_size <= 25 and k not in (select k from n where p_size > 25) group by k""")
 def node_upsert_first_wins(spark, d):
-    new = part_nodes(spark, d)
-    return G.upsert_nodes(new.limit(0), new, "name").select(F.col("name").alias("p_name"), F.col("id").alias("p_partkey"))
+    nodes = part_nodes(spark, d).withColumn("name", F.concat_ws("|", "name", F.col("props")["brand"]))
+    large = F.col("props")["_size"].cast("int") > 25
+    return G.upsert_nodes(nodes.filter(large), nodes.filter(~large), "name").select(F.col("name").alias("k"), F.col("id").alias("p_partkey"))
 
 
-@query("select distinct l_partkey as a, l_suppkey as b, l_returnflag as type from lineitem")
+def _half_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of line items with status F, and of the others."""
+    f = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id")
+    closed = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(f).distinct()
+    edges = item_edges(spark, d)
+    return edges.join(closed, "id", "left_semi"), edges.join(closed, "id", "left_anti")
+
+
+@query("""with f as (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_linestatus = 'F'), l as (select l.*, f.l_orderkey is not null as closed from lineitem l left join f using (l_orderkey, l_linenumber, l_partkey, l_suppkey))
+    select l_partkey as a, l_suppkey as b, l_returnflag as type from l where closed union all
+    (select l_partkey, l_suppkey, l_returnflag from l where not closed except select l_partkey, l_suppkey, l_returnflag from l where closed)""")
 def edge_upsert_undirected(spark, d):
-    new = item_edges(spark, d)
-    return G.upsert_edges(new.limit(0), new).select(F.col("src").alias("a"), (-F.col("dst")).alias("b"), "type")
+    return G.upsert_edges(*_half_edges(spark, d)).select(F.col("src").alias("a"), (-1 - F.col("dst")).alias("b"), "type")
 
 
 @query("select b.p_partkey as src, a.p_partkey as dst, a.p_name as value from part a join part b on a.p_name = b.p_name and b.p_partkey > a.p_partkey and b.p_brand = a.p_brand")
@@ -163,14 +173,22 @@ def stitch_synonyms(spark, d):
     return G.stitch(nodes).select("src", "dst", F.substring_index("value", "|", 1).alias("value"))
 
 
-@query("select l_orderkey, count(*) as items, max(l_suppkey) as last_supplier from lineitem group by l_orderkey")
+@query("""select l_orderkey, count(*) as items, max(l_suppkey) as last_supplier, cast(count(*) filter (l_returnflag = 'R') > 0 as boolean) as returned, o_orderstatus = 'F' as known
+    from lineitem join orders on o_orderkey = l_orderkey group by l_orderkey, o_orderstatus""")
 def edge_merge_last_wins(spark, d):
-    new = table(spark, d, "lineitem")
-    rows = new.select(F.lit(1).cast("long").alias("kgraph_id"), F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("order").alias("type"), F.lit(False).alias("directed"),
-                      F.create_map(F.lit("key"), F.col("l_orderkey").cast("string"), F.lit("supplier"), F.col("l_suppkey").cast("string")).alias("props"), F.col("l_suppkey").alias("seq"))
-    merged = G.merge_edges(rows.limit(0), rows, "key")
-    count = new.groupBy(F.col("l_orderkey").alias("src")).agg(F.count("*").alias("items"))
-    return merged.join(count, "src").select(F.col("src").alias("l_orderkey"), "items", F.col("props")["supplier"].cast("long").alias("last_supplier"))
+    """Edges of closed orders exist; each line item upserts its order's edge, by its key or by type and ends."""
+    order, item = table(spark, d, "orders").filter("o_orderstatus = 'F'"), table(spark, d, "lineitem")
+    edge = lambda key, seq, *props: (
+        F.lit(1).cast("long").alias("kgraph_id"), F.xxhash64(F.col(key), F.lit(seq)).alias("id"), F.col(key).alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit("order").alias("type"), F.lit(False).alias("directed"),
+        F.create_map(*props).alias("props"), F.col(seq).cast("long").alias("seq"),
+    )
+    have = order.select(*edge("o_orderkey", "o_orderkey", F.lit("key"), F.col("o_orderkey").cast("string"), F.lit("known"), F.lit("true")))
+    flag = F.when(F.col("l_returnflag") == "R", F.lit("returned")).otherwise(F.lit("kept"))
+    key = F.when(F.col("l_linenumber") > 1, F.lit("key")).otherwise(F.lit("line"))
+    new = item.select(*edge("l_orderkey", "l_suppkey", key, F.col("l_orderkey").cast("string"), F.lit("supplier"), F.col("l_suppkey").cast("string"), flag, F.lit("true")))
+    count = item.groupBy(F.col("l_orderkey").alias("src")).agg(F.count("*").alias("items"))
+    has = lambda k: F.coalesce(F.map_contains_key("props", F.lit(k)), F.lit(False)).alias(k)
+    return G.merge_edges(have, new, "key").join(count, "src").select(F.col("src").alias("l_orderkey"), "items", F.col("props")["supplier"].cast("long").alias("last_supplier"), has("returned"), has("known"))
 
 
 @query("select count(*) as edges_left, (select count(*) from part where p_type != 'PROMO') as nodes_left from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_type != 'PROMO'")
@@ -214,12 +232,13 @@ def nested_evidence(spark, d):
     return P.nested_evidence(found).select("subject", "predicate", "object", F.array_join(F.transform("evidence", lambda e: e["pmid"].cast("string")), ",").alias("pmids"))
 
 
-@query("""with r as (select l_partkey as concept, l_suppkey + 10000000 as other, l_returnflag as p, l_linestatus as t, l_orderkey as o from lineitem
-    union all select l_suppkey + 10000000, l_partkey, l_returnflag, l_linestatus, l_orderkey from lineitem)
-    select concept, 'predicate' as kind, p as value, count(*) as n from r group by 1, 3 union all select concept, 'concept', cast(other as varchar), count(*) from r group by 1, 3
-    union all select concept, 'semtype', t, 2 * count(*) from r group by 1, 3 union all select concept, 'pmids', 'distinct', count(distinct o) from r group by 1""")
+@query("""with i as (select cast(l_partkey as varchar) as s, l_returnflag as p, 'C' || l_suppkey as o, l_linestatus as t, l_orderkey as d from lineitem),
+    g as (select s, p, o, min(t) as t from i group by 1, 2, 3), r as (select s as concept, * from g union all select o, * from g)
+    select concept, 'predicate' as kind, p as value, count(*) as n from r group by 1, 3 union all select concept, 'concept', o, count(*) from r group by 1, 3
+    union all select concept, 'semtype', t, 2 * count(*) from r group by 1, 3 union all select concept, 'pmids', 'distinct', count(distinct d) from (select s as concept, d from i union all select o, d from i) u group by 1""")
 def predicate_summary(spark, d):
-    return P.summary(predication_rows(spark, d).withColumn("object", F.col("object") + 10_000_000))
+    rows = predication_rows(spark, d)
+    return P.summary(rows.withColumns({"subject": F.col("subject").cast("string"), "object": F.concat(F.lit("C"), F.col("object").cast("string"))}))
 
 
 @query("select s.s_name, t.n from (select l_suppkey, count(*) as n from lineitem group by l_suppkey) t join supplier s on s.s_suppkey = t.l_suppkey order by t.n desc, s.s_name asc limit 20")
@@ -271,20 +290,26 @@ def atom_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""select p_brand as cui, arg_max(p_name, p_partkey) filter (p_size > 25) as name, cast(count(*) filter (p_size <= 25) as bigint) as n_synonyms, (select count(*) from lineitem where 'Brand#' || l_suppkey = p_brand) as n_relations from part group by p_brand having count(*) filter (p_size > 25) > 0""")
+@query("""select p_brand as cui, arg_max(p_name, p_partkey) filter (p_size > 25) as name, cast(count(*) filter (p_size <= 25) as bigint) as n_synonyms, cast(count(*) filter (p_type = 'PROMO') as bigint) as n_definitions, (select count(*) from lineitem where 'Brand#' || l_suppkey = p_brand) as n_relations from part group by p_brand having count(*) filter (p_size > 25) > 0""")
 def concept_assembly(spark, d):
     part = table(spark, d, "part")
-    none = part.limit(0).select(F.col("p_brand").alias("cui"), F.col("p_name").alias("def"), F.col("p_type").alias("sab"))
+    defs = part.filter("p_type = 'PROMO'").select(F.col("p_brand").alias("cui"), F.col("p_name").alias("def"), F.col("p_type").alias("sab"))
     kinds = part.select(F.col("p_brand").alias("cui"), F.col("p_type").alias("tui"), F.col("p_type").alias("sty")).distinct()
     rels = table(spark, d, "lineitem").select(F.concat(F.lit("Brand#"), F.col("l_suppkey").cast("string")).alias("cui1"), F.col("l_partkey").cast("string").alias("cui2"), F.col("l_orderkey").cast("string").alias("rui"), F.col("l_returnflag").alias("rel"), F.col("l_linestatus").alias("rela"), F.lit("x").alias("sab"))
-    found = C.assemble(atom_rows(spark, d), none, kinds, rels)
-    return found.select("cui", "name", F.coalesce(F.size("synonyms"), F.lit(0)).cast("long").alias("n_synonyms"), F.coalesce(F.size("relations"), F.lit(0)).cast("long").alias("n_relations"))
+    found = C.assemble(atom_rows(spark, d), defs, kinds, rels)
+    return found.select("cui", "name", F.coalesce(F.size("synonyms"), F.lit(0)).cast("long").alias("n_synonyms"), F.coalesce(F.size("definitions"), F.lit(0)).cast("long").alias("n_definitions"), F.coalesce(F.size("relations"), F.lit(0)).cast("long").alias("n_relations"))
 
 
-@query("select term, p_brand as cui from (select distinct p_name as term, p_brand from part) t")
+@query("""with q as (select distinct p_name as term from part union select distinct substr(p_name, strpos(p_name, ' ') + 1) from part), e as (select distinct term, p_brand as cui from q join part on p_name = term),
+    w as (select distinct p_brand as cui, p_name as str, unnest(list_distinct(string_split(lower(p_name), ' '))) as word from part),
+    a as (select term, unnest(list_distinct(string_split(lower(term), ' '))) as word from q where term not in (select term from e)),
+    m as (select term, cui, max(sc) as score from (select term, cui, str, count(*)::double / length(str) as sc from a join w using (word) group by 1, 2, 3) x group by 1, 2)
+    select term, cui, cast(null as double) as score from e union all select term, cui, round(score, 6) from (select *, row_number() over (partition by term order by score desc, cui) as place from m) y where place <= 5""")
 def find_concepts_exact(spark, d):
-    terms = table(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
-    return C.find(terms, atom_rows(spark, d), 5).filter("score is null").select("term", "cui")
+    """Whole names, found exactly, and their second words alone, found by share."""
+    name = table(spark, d, "part").select(F.col("p_name").alias("term"))
+    terms = name.unionByName(name.select(F.expr("substr(term, instr(term, ' ') + 1)").alias("term"))).distinct()
+    return C.find(terms, atom_rows(spark, d).dropDuplicates(["cui", "str"]), 5).select("term", "cui", F.round("score", 6).alias("score"))
 
 
 @query("select count(*) as n from part where p_type not in ('PROMO', 'SMALL')")
@@ -360,13 +385,14 @@ def trials_for_concept(spark, d):
     return R.studies_for_concept(trial, concept, "Brand#13", "mesh", 10, 20)
 
 
-@query("select l_orderkey as nct_id, string_agg(distinct p_brand, ',' order by p_brand) as umls from lineitem join part on p_partkey = l_partkey where p_size > 40 group by 1")
+@query("""with t as (select distinct l_orderkey as nct_id, p_brand as cui from lineitem join part on p_partkey = l_partkey where p_size > 40)
+    select nct_id, string_agg(distinct cui, ',' order by cui) as umls, string_agg(distinct cast(p_partkey as varchar), ',' order by cast(p_partkey as varchar)) as mesh from t join part on p_brand = cui group by 1""")
 def condition_concepts(spark, d):
     trial = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("nct_id"), F.col("l_partkey").alias("item"))
     part = table(spark, d, "part")
     score = F.when(F.col("p_size") <= 40, F.lit(1.0)).alias("score")
     concept = part.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("ui"), F.lit("umls").alias("kind"), score)
-    return R.condition_concepts(trial, concept, atom_rows(spark, d).select("cui", "scui").filter("false")).select("nct_id", F.array_join("umls", ",").alias("umls"))
+    return R.condition_concepts(trial, concept, atom_rows(spark, d).select("cui", "scui")).select("nct_id", F.array_join("umls", ",").alias("umls"), F.array_join("mesh", ",").alias("mesh"))
 
 
 @query("select p_name as unii, arg_min(p_brand, p_partkey) as name from part group by p_name")
@@ -382,11 +408,12 @@ def adverse_topk(spark, d):
     return R.adverse_events(rated, ["p_brand"]).select("p_brand", "name", "case_count", F.round("ror", 6).alias("ror"), "rank")
 
 
-@query("select count(*) as n from (select distinct o_custkey, c_name from orders join customer on c_custkey = o_custkey where o_orderstatus = 'F') t")
+@query("""with p as (select o_custkey as nct_id, c_name as name, o_orderpriority, o_orderstatus from orders join customer on c_custkey = o_custkey)
+    select nct_id, name from p where o_orderstatus = 'F' except select nct_id, name from p where o_orderpriority = '1-URGENT'""")
 def link_conditions(spark, d):
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
-    trials = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("nct_id"), F.array("c_name").alias("conditions"))
-    return R.link_conditions(trials, trials.limit(0).select("nct_id", F.lit("").alias("name"))).agg(F.count("*").alias("n"))
+    both = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    trials = both.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("nct_id"), F.array("c_name").alias("conditions"))
+    return R.link_conditions(trials, both.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("nct_id"), F.col("c_name").alias("name")))
 
 
 @query("select count(*) as n from orders where lower(o_orderpriority) = lower('1-urgent')")
@@ -435,9 +462,9 @@ def bm25_topk(spark, d):
     return T.bm25(T.inverted_index(docs, "doc_id", "text"), ["ation", "the", "loser"], n, mean, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""with b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as t from benchmark), p as (select item_id, array_to_string(t[1:4], ' ') as gram from b where len(t) >= 4),
-    w as (select doc_id as id, {TOKENS_SQL} as t from documents), g as (select id, array_to_string(t[i:i+3], ' ') as gram from (select id, t, unnest(range(1, len(t) - 2)) as i from w where len(t) >= 4) a)
-    select id, item_id, count(*) as n from g join p using (gram) group by 1, 2""")
+@query(f"""with b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as p from benchmark), w as (select doc_id as id, {TOKENS_SQL} as t from documents)
+    select id, item_id, cast(len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) as bigint) as n
+    from w join b on len(p) > 0 and contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')""")
 def phrase_mentions(spark, d):
     return T.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 4)
 

@@ -14,15 +14,27 @@ from loomgraph.plans.catalog import atom_rows, item_edges, part_nodes, predicati
 from loomgraph.sources import files
 
 
-@query("select 'P' || l_partkey as src, p_brand as dst, p_type as value, count(*) as n from lineitem join part on p_partkey = l_partkey group by 1, 2, 3")
+def _crosswalk(spark, d):
+    item, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    pair = item.join(part, F.col("p_partkey") == F.col("l_partkey"))
+    rels = pair.select(F.col("p_brand").alias("cui1"), F.concat(F.lit("Brand#"), F.col("l_suppkey").cast("string")).alias("cui2"), F.col("l_returnflag").alias("rel"))
+    return item.select(F.col("l_partkey").cast("string").alias("ui")), R.crosswalk(item.filter("l_linestatus = 'O'").select(F.col("l_partkey").cast("string").alias("ui")), atom_rows(spark, d), rels)
+
+
+@query("select 'P' || l_partkey as src, p_brand as dst, p_type as value, count(*) as n from lineitem join part on p_partkey = l_partkey where l_partkey in (select l_partkey from lineitem where l_linestatus = 'O') group by 1, 2, 3")
 def crosswalk_links(spark, d):
-    entries = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("ui"))
-    rels = table(spark, d, "part").limit(0).select(F.col("p_brand").alias("cui1"), F.col("p_brand").alias("cui2"))
-    links, _ = R.crosswalk(entries, atom_rows(spark, d), rels)
+    entries, (links, _) = _crosswalk(spark, d)
     n = entries.groupBy(F.col("ui").alias("src")).agg(F.count("*").alias("n"))
     return links.join(n, "src").select(F.concat(F.lit("P"), "src").alias("src"), "dst", "value", "n")
 
 
+@query("""with b as (select distinct p_brand from lineitem join part on p_partkey = l_partkey where l_linestatus = 'O')
+    select p_brand as cui1, 'Brand#' || l_suppkey as cui2, l_returnflag as rel, count(*) as n from lineitem join part on p_partkey = l_partkey where p_brand in (select * from b) and 'Brand#' || l_suppkey in (select * from b) group by 1, 2, 3""")
+def crosswalk_relations(spark, d):
+    _, (_, between) = _crosswalk(spark, d)
+    return between.groupBy("cui1", "cui2", "rel").agg(F.count("*").alias("n"))
+
+
 @query("select o_custkey as item, o_orderpriority as descriptor, max(o_totalprice) as score, min(o_orderkey) as entry from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) t where place <= 5 group by 1, 2")
 def best_entries(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("ui"), F.col("o_orderpriority").alias("descriptor"), F.col("o_totalprice").alias("score"))
@@ -111,7 +123,7 @@ def compact_graph_json(spark, d):
     return G.graph_json(part_nodes(spark, d).unionByName(supplier_nodes(spark, d)), item_edges(spark, d), full=False)
 
 
-@query("select distinct -l.l_suppkey as id from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_brand = 'Brand#13'")
+@query("select distinct -1 - l.l_suppkey as id from lineitem l join part p on p.p_partkey = l.l_partkey where p.p_brand = 'Brand#13'")
 def neighbours_of_tagged(spark, d):
     nodes, edges = part_nodes(spark, d).unionByName(supplier_nodes(spark, d)), item_edges(spark, d)
     return G.neighbors(edges, nodes, of=G.has_tag(nodes, "Brand#13")).select(F.col("other").alias("id")).distinct()

@@ -164,3 +164,8 @@ def file_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def unloaded(registry: DataFrame, loaded: DataFrame) -> DataFrame:
     return registry.join(loaded.filter("count > 0").select("sha1"), "sha1", "left_anti")
+
+
+def json_pages(spark, folder: str, schema: str) -> DataFrame:
+    """Rows of stored pages of a service: every JSON file of a folder, with an array of objects each, in whatever store Spark reads."""
+    return spark.read.schema(schema).json(folder, multiLine=True)

@@ -37,10 +37,20 @@ def test_upserts(spark, nodes, edges):
     assert G.upsert_edges(edges, edges).count() == edges.count()
 
 
-def test_merge_edges(spark, edges):
-    new = edges.filter("id = 0").select(*[c for c in edges.columns if c != "props"], F.create_map(F.lit("n"), F.lit("0"), F.lit("m"), F.lit("9")).alias("props")).select(edges.columns)
-    merged = G.merge_edges(edges, new, "n")
-    assert merged.count() == edges.count() and merged.filter("id = 0").first()["props"] == {"n": "0", "m": "9"}
+def test_merge_edges(spark):
+    schema = "kgraph_id long, id long, src long, dst long, type string, directed boolean, props map<string,string>, seq long"
+    make = lambda *rows: spark.createDataFrame([(1, *r) for r in rows], schema)
+    have = make((1, 10, 20, "t", False, {"x": "0"}, 1), (2, 10, 20, "t", False, {"key": "q", "x": "1"}, 2), (3, 30, 40, "t", False, None, 3))
+    new = make(
+        (11, 10, 20, "t", False, {"key": "k", "a": "1"}, 1), (12, 20, 10, "t", False, {"key": "k", "b": "2"}, 2), (13, 10, 20, "t", False, {"key": "q", "a": "9"}, 3), (14, 40, 30, "t", False, {"c": "3"}, 4),
+        (15, 50, 60, "t", True, {"c": "4"}, 5), (16, 60, 50, "t", False, {"key": "z", "c": "5"}, 6), (17, 50, 60, "u", False, {}, 7),
+    )
+    got = {(r["id"], r["src"], r["dst"], r["type"], r["directed"]): r["props"] for r in G.merge_edges(have, new, "key").collect()}
+    assert got == {
+        (1, 10, 20, "t", False): {"x": "0", "key": "k", "a": "1", "b": "2"}, (2, 10, 20, "t", False): {"key": "q", "x": "1", "a": "9"}, (3, 30, 40, "t", False): {"c": "3"},
+        (15, 50, 60, "t", True): {"c": "5", "key": "z"}, (17, 50, 60, "u", False): {},
+    }
+    assert G.merge_edges(have.limit(0), new.limit(0), "key").count() == 0
 
 
 def test_neighbours_and_stitching(nodes, edges):
@@ -120,6 +130,9 @@ def test_search(spark):
     assert [r["id"] for r in top] == [1, 2]
     phrases = spark.createDataFrame([(7, "Red Dog")], "k long, p string")
     assert [tuple(r) for r in T.mentions(docs, "id", "text", phrases, "k", "p", 2).collect()] == [(2, 7, 1)]
+    texts = spark.createDataFrame([(1, "a b c d x y"), (2, "z A b, c d e f! a b c d e f"), (3, None), (4, "f f f")], "id long, text string")
+    phrases = spark.createDataFrame([(1, "a b c d e f"), (2, "f"), (3, ""), (4, "b c"), (5, None), (6, "f f")], "k long, p string")
+    assert {tuple(r) for r in T.mentions(texts, "id", "text", phrases, "k", "p", 4).collect()} == {(2, 1, 2), (2, 2, 2), (4, 2, 3), (1, 4, 1), (2, 4, 2), (4, 6, 2)}
 
 
 def test_expand_is_idempotent(nodes, edges, spark):

@@ -88,12 +88,9 @@ def test_registry(spark, tmp_path):
     assert S.unloaded(files, loaded).count() == 0 and S.unloaded(files, loaded.limit(0)).count() == 1
 
 
-def test_paged(spark, tmp_path):
+def test_pages(spark, tmp_path):
     import json
 
-    from loomgraph.operators.expand import from_json
-    from loomgraph.sources.paged import paged
-
     for n, rows in enumerate([[{"id": 1}, {"id": 2}], [{"id": 3}]]):
         put(tmp_path / f"{n}.json", json.dumps(rows))
-    assert sorted(r["id"] for r in from_json(paged(spark, str(tmp_path), 2, 20), "json", "id int").collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in S.json_pages(spark, str(tmp_path), "id int").collect()) == [1, 2, 3]
