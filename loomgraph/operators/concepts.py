@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import is_cui
@@ -65,3 +65,23 @@ def expand_relations(concepts: DataFrame, relations: DataFrame, labels: list[str
 def data_sources(sources: DataFrame) -> DataFrame:
     """name -> its versions and descriptions, by name."""
     return sources.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("version", "description"))).alias("versions")).orderBy("name")
+
+
+def relations_to(relations: Column, cui: str) -> Column:
+    """The relations of a concept whose other end is the concept cui."""
+    return F.filter(relations, lambda r: r["cui"] == cui)
+
+
+def ordered_distinct(values: Column) -> Column:
+    """Values without repeats, in the order in which they first occur."""
+    return F.array_distinct(values)
+
+
+def promoted(rows: DataFrame) -> DataFrame:
+    """(id, key, values) from rows (id, key, value, seq) of records: a key that is repeated in a record has all its values, in their order."""
+    return rows.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("v")).select("id", "key", F.transform("v", lambda x: x["value"]).alias("values"))
+
+
+def load_counts(rows: DataFrame, file: str, updated: str, kind: str) -> DataFrame:
+    """For each file how many rows it gave, of how many kinds, and when it was last loaded."""
+    return rows.groupBy(file).agg(F.count("*").alias("n"), F.countDistinct(kind).alias("kinds"), F.max(updated).alias("updated"))

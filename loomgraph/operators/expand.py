@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scalars import before_last_space, strip_pipe, unquote
 from loomgraph.model import entity_id
-from loomgraph.operators.graph import upsert_edges, upsert_nodes
+from loomgraph.operators.graph import first_per_key, upsert_edges, upsert_nodes
 from loomgraph.operators.rounds import written
 from loomgraph.operators.trials import adverse_events
 
@@ -81,11 +83,11 @@ def expand(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame],
     """The graph after some rounds of the expanders; each round looks at the nodes that the one before added, and stops where none were."""
     front = nodes
     for _ in range(rounds):
-        grown, linked_ = nodes, edges
-        for name in names:
-            new_nodes, new_edges = REGISTRY[name](front, tables)
-            grown = upsert_nodes(grown, new_nodes.select(nodes.columns), "id")
-            linked_ = upsert_edges(linked_, new_edges.select(edges.columns))
+        found = [REGISTRY[name](front, tables) for name in names]
+        # all that a round finds goes into the graph at once, the first expander's node or edge first
+        new = [reduce(DataFrame.unionByName, [f[i].select(have.columns).withColumn("_turn", F.lit(t)) for t, f in enumerate(found)]) for i, have in enumerate((nodes, edges))]
+        grown = upsert_nodes(nodes, first_per_key(new[0], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"), "id")
+        linked_ = upsert_edges(edges, first_per_key(new[1], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"))
         grown, linked_ = written(grown), written(linked_)
         front = grown.join(nodes.select("kgraph_id", "id"), ["kgraph_id", "id"], "left_anti")
         nodes, edges = grown, linked_
@@ -104,3 +106,46 @@ def bridge_ids(aliases: Column, synonyms: Column, prefix: str) -> Column:
     """Distinct ids with a prefix among ``ns:id`` aliases and plain synonyms."""
     ids = F.transform(aliases, lambda a: F.substring_index(a, ":", -1))
     return F.array_distinct(F.filter(F.concat(ids, synonyms), lambda x: x.startswith(prefix)))
+
+
+def links_with(links: DataFrame, kinds: Mapping[str, tuple[str, list[str]] | None]) -> DataFrame:
+    """Links (kind, ref, properties: array of label and term) of the kinds asked for: those that have one of some terms under a label, or all of a kind (None)."""
+    def held(label: str, terms: list[str]) -> Column:
+        return F.coalesce(F.exists("properties", lambda p: (p["label"] == label) & p["term"].isin(*terms)), F.lit(False))
+
+    keep = [(F.col("kind") == kind) & (F.lit(True) if wanted is None else held(*wanted)) for kind, wanted in kinds.items()]
+    return links.filter(reduce(Column.__or__, keep, F.lit(False)))
+
+
+def protein_targets(drugs: DataFrame, column: str) -> DataFrame:
+    """(…, name, uniprot, action) of the curated proteins among a drug's targets (array of source, name, uniprot, actions): Swiss-Prot entries with an action, the first of which is the edge's type."""
+    each = drugs.select(*[c for c in drugs.columns if c != column], F.explode(column).alias("_t")).filter("_t.source = 'Swiss-Prot' and _t.actions is not null")
+    return each.select("*", F.col("_t.name").alias("name"), F.col("_t.uniprot").alias("uniprot"), F.get("_t.actions", F.lit(0)).alias("action")).drop("_t")
+
+
+@expander("drug_targets")
+def targeted(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Proteins that drugs act on, by the table ``drugs`` (uri, targets)."""
+    rows = protein_targets(nodes.select("kgraph_id", "id", "uri").join(tables["drugs"].select("uri", "targets"), "uri"), "targets")
+    return facts(rows, F.lit("protein"), F.col("name"), F.concat(F.lit("drugbank/"), "uniprot"), F.col("action"), F.array(F.lit("drugbank")))
+
+
+@expander("mechanisms")
+def mechanisms(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Proteins by the mechanisms of molecules, from the table ``mechanisms`` (uri, mechanism_of_action, target_id, action_type): the name is the mechanism without its last word."""
+    rows = nodes.select("kgraph_id", "id", "uri").join(tables["mechanisms"], "uri")
+    props = F.create_map(F.lit("mechanism"), unquote(F.col("mechanism_of_action")))
+    return facts(rows, F.lit("protein"), unquote(before_last_space(F.col("mechanism_of_action"))), F.concat(F.lit("target/"), unquote(F.col("target_id"))), unquote(F.col("action_type")), F.array(F.lit("mechanism")), props)
+
+
+def article_predications(articles: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What articles (kgraph_id, id, pmid) say, by rows (pmid, subject, predicate, object, sentence): concepts, one each; an edge for every predication, with its article and
+    sentence as context; and edges from the article to the concepts, one each, with the concept as type. Piped concepts count by their first part."""
+    rows = rows.withColumns({c: strip_pipe(F.col(c)) for c in ("subject", "object")})
+    said = articles.select("kgraph_id", F.col("id").alias("article"), "pmid").join(rows, "pmid")
+    node = lambda c: entity_id(F.col("kgraph_id"), F.col(c))
+    ends = said.select("kgraph_id", "article", F.explode(F.array("subject", "object")).alias("uri")).distinct()
+    concepts = ends.select("kgraph_id", "uri").distinct().select("kgraph_id", node("uri").alias("id"), F.lit("concept").alias("type"), "uri")
+    context = F.create_map(F.lit("article"), F.col("pmid").cast("string"), F.lit("context"), F.col("sentence").cast("string"))
+    typed = said.select("kgraph_id", node("subject").alias("src"), node("object").alias("dst"), F.col("predicate").alias("type"), context.alias("props"))
+    return concepts, typed, ends.select("kgraph_id", F.col("article").alias("src"), node("uri").alias("dst"), F.col("uri").alias("type"))

@@ -177,3 +177,13 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "appe
 
 def read_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def with_property(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes that have a property, with a value."""
+    return nodes.filter(F.col("props")[key].isNotNull())
+
+
+def without_tagged_neighbors(nodes: DataFrame, edges: DataFrame, others: DataFrame, tag: str) -> DataFrame:
+    """Nodes without a neighbour (among ``others``) that has the tag: those for which a section of a source isn't done yet."""
+    return nodes.join(neighbors(edges, others, tags=[tag]).select(F.col("node").alias("id")), "id", "left_anti")

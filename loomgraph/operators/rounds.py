@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own where that is unset), so lineage stays short and lost executors cost nothing."""
+    """A checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own where that is unset and all run on this machine), so lineage stays short and lost executors cost nothing."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="rounds-")
             spark.sparkContext.setCheckpointDir(_own[app])

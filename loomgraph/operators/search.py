@@ -71,3 +71,15 @@ def mentions(docs: DataFrame, id_col: str, text_col: str, phrases: DataFrame, ke
     first = F.when(F.size("p") < words, F.element_at(start(F.col("p"), F.lit(0)), 1)).otherwise(F.element_at(start(F.col("p"), F.lit(0)), 2))
     met = place.join(wanted.select(key, "p", first.alias("s")), "s").select("id", "at", key, "p")
     return met.join(texts, "id").filter(F.slice("t", F.col("at") + 1, F.size("p")) == F.col("p")).groupBy("id", key).agg(F.count("*").alias("n"))
+
+
+def in_range(rows: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows whose number is from low to high; a point if both are the same. The scan gets the filter."""
+    return rows.filter(F.col(column).between(low, high))
+
+
+def first_n(rows: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each key in an order: the caps that some sources put on what they give (20 texts, 10 partners)."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_place") <= n).drop("_place")

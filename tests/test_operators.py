@@ -151,10 +151,13 @@ def test_every_expander(nodes, edges, spark):
         "predications": make([("u/a", "ISA", "C8", "n", 5)], "uri string, predicate string, object string, name string, pmid long"),
         "outcomes": make([("A", "pain", 3, 2.0, 1.0), ("A", "none", 0, 2.0, 1.0)], "drug string, name string, case_count int, ror double, prr double"),
         "headings": make([("u/b", "D1", "Asthma")], "uri string, ui string, name string"),
+        "drugs": make([("u/a", [("Swiss-Prot", "P", "Q1", ["binder", "x"]), ("TrEMBL", "N", "Q2", ["x"]), ("Swiss-Prot", "N", "Q3", None)])], "uri string, targets array<struct<source:string,name:string,uniprot:string,actions:array<string>>>"),
+        "mechanisms": make([("u/b", '"Kinase X inhibitor"', "T1", '"INHIBITOR"')], "uri string, mechanism_of_action string, target_id string, action_type string"),
         "keywords": make([("c", "K1", "n", ["x", "y"])], "keyword string, clique string, name string, categories array<string>"),
     }
     n, e = E.expand(nodes, edges.limit(0), tables, sorted(E.REGISTRY))
-    assert n.count() == 12 and e.count() == 6 and n.filter("type = 'x;y'").count() == 1
+    assert n.count() == 14 and e.count() == 8 and n.filter("type = 'x;y'").count() == 1
+    assert {(r["name"], r["uri"]) for r in n.filter("type = 'protein'").collect()} == {("P", "drugbank/Q1"), ("Kinase X", "target/T1")} and {"binder", "INHIBITOR"} <= {r["type"] for r in e.collect()}
 
 
 def test_feed(spark, nodes, tmp_path):
