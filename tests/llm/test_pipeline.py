@@ -56,3 +56,24 @@ def test_sql_of_the_queries(spark):
         want = con.sql(sql)
         at = [want.columns.index(c) for c in df.columns]
         assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_stages_on_odd_tables(spark, odd_docs):
+    """Clashing columns, null ids and texts, repeated rows and empty tables."""
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.drop("bucket", "node", "data").withColumns({c: F.lit("keep") for c in ("toxic_score", "_text", "blank", "copies", "At", "spans", "key_hash", "bucket", "node", "h")})
+    kept = " and ".join(f"{c} = 'keep'" for c in docs.columns[5:])
+    for name, stage in corpus_pipeline.STAGES:
+        out = saved(stage(spark, docs, SF), "odd")
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {*range(1, 14), None}
+            continue
+        rows = out.collect()
+        assert out.columns == docs.columns and out.filter(kept).count() == len(rows)
+        by = collections.Counter(r["doc_id"] for r in rows)
+        assert {3, 4, 5, None} <= by.keys()  # no text, or no id
+        if name == "near_copies":
+            assert by.keys() == {1, 3, 4, 5, 6, 8, 9, 10, 12, 13, None} and by[1] == 1
+        if name == "mixing":
+            assert by.keys() == {*range(1, 14), None}
