@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loomgraph.functions.scalars import before_last_space, strip_pipe, unquote
 from loomgraph.model import entity_id
 from loomgraph.operators.graph import first_per_key, upsert_edges, upsert_nodes
 from loomgraph.operators.rounds import written
+from loomgraph.operators.search import first_n
 from loomgraph.operators.trials import adverse_events
 
 Expander = Callable[[DataFrame, Mapping[str, DataFrame]], tuple[DataFrame, DataFrame]]
@@ -79,15 +81,43 @@ def keyword_concepts(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple
     return facts(rows, F.array_join("categories", ";"), F.col("name"), F.col("clique"), F.lit("resolve"), F.col("categories"))
 
 
-def expand(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame], names: list[str], rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The graph after some rounds of the expanders; each round looks at the nodes that the one before added, and stops where none were."""
+@expander("article_targets")
+def article_targets(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The 20 first targets by ref of each node with a property pmid, by the table ``publications`` (pmid, ref, name)."""
+    rows = nodes.select("kgraph_id", "id", F.col("props")["pmid"].alias("pmid")).join(tables["publications"].select(F.col("pmid").cast("string").alias("pmid"), "ref", "name").distinct(), "pmid")
+    return facts(first_n(rows, ["kgraph_id", "id"], 20, "ref"), F.lit("target"), F.col("name"), F.col("ref"), F.lit("resolve"), F.array(F.lit("publication")))
+
+
+@expander("interactions")
+def interacting(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The ten first drugs that drugs interact with, by the table ``interactions`` (uri, turn, ref, name, description)."""
+    rows = first_n(nodes.select("kgraph_id", "id", "uri").join(tables["interactions"], "uri"), ["kgraph_id", "id"], 10, "turn", "ref")
+    return facts(rows, F.lit("drug"), F.col("name"), F.col("ref"), F.lit("ddi"), F.array(F.lit("drugbank")), F.create_map(F.lit("description"), F.col("description")))
+
+
+def dispatched(nodes: DataFrame, rules: Mapping[str, list[str]], default: list[str]) -> dict[str, DataFrame]:
+    """The nodes that each expander gets: those of a type that the rules name go to the expanders of the type, all others that have a name to the default ones."""
+    named = F.coalesce(F.col("type").isin(*rules), F.lit(False))
+    out = {}
+    for name in dict.fromkeys([*chain.from_iterable(rules.values()), *default]):
+        mine = F.col("type").isin(*[t for t, names in rules.items() if name in names])
+        out[name] = nodes.filter(mine | (~named & F.col("name").isNotNull()) if name in default else mine)
+    return out
+
+
+def expand(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame], names: list[str], rounds: int = 1, rules: Mapping[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph after some rounds of the expanders; each round looks at the nodes that the one before added, and stops where none were. With rules (node type -> expanders)
+    ``names`` are for named nodes of the types that these leave out."""
     front = nodes
     for _ in range(rounds):
-        found = [REGISTRY[name](front, tables) for name in names]
+        fronts = dict.fromkeys(names, front) if rules is None else dispatched(front, rules, names)
+        found = [REGISTRY[name](mine, tables) for name, mine in fronts.items()]
         # all that a round finds goes into the graph at once, the first expander's node or edge first
         new = [reduce(DataFrame.unionByName, [f[i].select(have.columns).withColumn("_turn", F.lit(t)) for t, f in enumerate(found)]) for i, have in enumerate((nodes, edges))]
         grown = upsert_nodes(nodes, first_per_key(new[0], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"), "id")
         linked_ = upsert_edges(edges, first_per_key(new[1], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"))
+        if rounds == 1:  # nothing is read again
+            return grown, linked_
         grown, linked_ = written(grown), written(linked_)
         front = grown.join(nodes.select("kgraph_id", "id"), ["kgraph_id", "id"], "left_anti")
         nodes, edges = grown, linked_

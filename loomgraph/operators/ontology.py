@@ -36,17 +36,17 @@ def is_a_links(terms: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(child, ancestor, depth) over links (child, parent), the shortest way; paths double in each round, so 32 rounds reach any depth."""
+    """(child, ancestor, depth) over links (child, parent), the shortest way; paths double in each round, so 32 rounds reach any depth. A round joins only the pairs that the last one
+    found with all others: the first half of a pair's shortest path, taken as long as the last round could see, is always one of these."""
     from loomgraph.operators.rounds import written
 
-    now = written(links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    n = now.count()
+    now = new = written(links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     for _ in range(rounds):
-        longer = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        now = written(now.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
-        before, n = n, now.count()
-        if n == before:
+        longer = new.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        new = written(longer.groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(now, ["child", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
+        now = now.unionByName(new)
     return now
 
 

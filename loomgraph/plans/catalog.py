@@ -544,13 +544,15 @@ def mapped_types(spark, d):
 # --- expansion and events ----------------------------------------------------------------------------------------------------------------
 
 
-@query("""select 'node' as kind, count(distinct l_suppkey) + (select count(*) from part where p_size > 40) as n from lineitem join part on p_partkey = l_partkey where p_size > 40
-    union all select 'edge', count(*) from (select distinct l_partkey, l_suppkey, l_returnflag from lineitem join part on p_partkey = l_partkey where p_size > 40) t""")
+@query("select distinct l_partkey as id, 'supplier/' || l_suppkey as uri, lower(l_returnflag) as type from lineitem join part on p_partkey = l_partkey where p_size > 40")
 def expand_links(spark, d):
+    """Edges of large parts after an expansion by all links of a graph that has those of open line items already."""
     nodes = part_nodes(spark, d).filter(F.col("props")["_size"].cast("int") > 40)
-    links = table(spark, d, "lineitem").select(F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("uri"), F.lit("target").alias("kind"), F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("ref"), F.lit("s").alias("name"), F.col("l_returnflag").alias("action")).distinct()
-    grown, edges = E.expand(nodes, item_edges(spark, d).limit(0), {"links": links}, ["links"])
-    return grown.agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "n").unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "n"))
+    links = table(spark, d, "lineitem").select("l_linestatus", F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("uri"), F.lit("target").alias("kind"), F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("ref"), F.lit("s").alias("name"), F.col("l_returnflag").alias("action"))
+    none = item_edges(spark, d).filter("src < 0")  # line items start at parts, so a graph begins without edges
+    have = E.expand(nodes, none, {"links": links.filter("l_linestatus = 'O'").drop("l_linestatus").distinct()}, ["links"])
+    grown, edges = E.expand(*have, {"links": links.drop("l_linestatus").distinct()}, ["links"])
+    return edges.join(grown.select(F.col("id").alias("dst"), "uri"), "dst").select(F.col("src").alias("id"), "uri", "type")
 
 
 @query("select oper, count(*) as n from (select case when p_partkey % 3 = 0 then 'ADD' when p_partkey % 3 = 1 then 'DELETE' else 'UPDATE' end as oper from part) t group by oper")

@@ -153,6 +153,8 @@ def test_every_expander(nodes, edges, spark):
         "headings": make([("u/b", "D1", "Asthma")], "uri string, ui string, name string"),
         "drugs": make([("u/a", [("Swiss-Prot", "P", "Q1", ["binder", "x"]), ("TrEMBL", "N", "Q2", ["x"]), ("Swiss-Prot", "N", "Q3", None)])], "uri string, targets array<struct<source:string,name:string,uniprot:string,actions:array<string>>>"),
         "mechanisms": make([("u/b", '"Kinase X inhibitor"', "T1", '"INHIBITOR"')], "uri string, mechanism_of_action string, target_id string, action_type string"),
+        "publications": make([("7", "t1", "n")], "pmid string, ref string, name string"),
+        "interactions": make([("u/none", 1, "d1", "n", "x")], "uri string, turn int, ref string, name string, description string"),
         "keywords": make([("c", "K1", "n", ["x", "y"])], "keyword string, clique string, name string, categories array<string>"),
     }
     n, e = E.expand(nodes, edges.limit(0), tables, sorted(E.REGISTRY))
@@ -160,6 +162,16 @@ def test_every_expander(nodes, edges, spark):
     assert {(r["name"], r["uri"]) for r in n.filter("type = 'protein'").collect()} == {("P", "drugbank/Q1"), ("Kinase X", "target/T1")} and {"binder", "INHIBITOR"} <= {r["type"] for r in e.collect()}
 
 
+def test_rules_by_type(spark, nodes, edges):
+    given = E.dispatched(nodes, {"none of these": ["links"]}, ["keywords"])
+    assert given["links"].count() == 0 and given["keywords"].count() == nodes.filter("name is not null").count()
+    links = spark.createDataFrame([("u/a", "target", "u/z", "z", "AGONIST")], "uri string, kind string, ref string, name string, action string")
+    kind = nodes.filter("uri = 'u/a'").first()["type"]
+    grown, _ = E.expand(nodes, edges.limit(0), {"links": links}, [], rules={kind: ["links"]})
+    same, _ = E.expand(nodes, edges.limit(0), {"links": links}, [], rules={"none of these": ["links"]})
+    assert grown.count() == nodes.count() + 1 and same.count() == nodes.count()
+
+
 def test_feed(spark, nodes, tmp_path):
     after = nodes.filter("id != 0").withColumn("name", F.when(F.col("id") == 1, "B").otherwise(F.col("name")))
     events = feed.changes(nodes, after, "knode")
