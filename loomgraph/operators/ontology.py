@@ -42,8 +42,10 @@ def closure(links: DataFrame, rounds: int = 32) -> DataFrame:
 
     now = new = written(links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     for _ in range(rounds):
-        longer = new.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        new = written(longer.groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).join(now, ["child", "ancestor"], "left_anti"))
+        upper = now.select(F.col("child").alias("_from"), F.col("ancestor").alias("_to"), F.col("depth").alias("_more"))
+        longer = new.join(upper, F.col("ancestor") == F.col("_from")).groupBy("child", F.col("_to").alias("above")).agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
+        unseen = longer.join(upper, (F.col("child") == F.col("_from")) & (F.col("above") == F.col("_to")), "left_anti")
+        new = written(unseen.select("child", F.col("above").alias("ancestor"), "depth"))
         if new.isEmpty():
             break
         now = now.unionByName(new)
