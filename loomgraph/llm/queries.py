@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.bpe import bpe_round_trip
 from loomgraph.llm.brown import brown_scores
 from loomgraph.llm.chaining import repeats
 from loomgraph.llm.fingerprint import edited_fingerprints
@@ -76,11 +77,15 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filters, op3_token_counts, op4_source_mixing, op5_lm_scoring, op6_packing,
-        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints,
+        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints, op13_bpe_round_trip,
     )
 }
 

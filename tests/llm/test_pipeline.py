@@ -41,7 +41,7 @@ def test_every_stage(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and ORACLE_SQL.keys() <= QUERIES.keys()
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and ORACLE_SQL.keys() <= QUERIES.keys()
     assert len(corpus_pipeline.STAGES) == 5
 
 
