@@ -13,8 +13,10 @@ from loomgraph.llm.brown import brown_scores
 from loomgraph.llm.chaining import repeats
 from loomgraph.llm.fingerprint import edited_fingerprints
 from loomgraph.llm.jaccard_join import jaccard_join
+from loomgraph.llm.merkle import tampered_manifest
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.packing import pack
+from loomgraph.llm.sql import MERKLE
 from loomgraph.llm.threshold_search import threshold_search
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.llm.toxicity import is_held_out, toxicity
@@ -77,6 +79,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -85,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filters, op3_token_counts, op4_source_mixing, op5_lm_scoring, op6_packing,
-        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints, op13_bpe_round_trip,
+        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints, op11_merkle_manifest, op13_bpe_round_trip,
     )
 }
 
@@ -109,4 +115,5 @@ ORACLE_SQL: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
         select query_id, cast(place as integer) as rank, vec_id, score from r where place <= 5
     """,
+    "op11_merkle_manifest": MERKLE,
 }

@@ -49,7 +49,7 @@ def test_sql_of_the_queries(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, SF)
