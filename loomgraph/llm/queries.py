@@ -16,11 +16,12 @@ from loomgraph.llm.jaccard_join import jaccard_join
 from loomgraph.llm.merkle import tampered_manifest
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.packing import pack
-from loomgraph.llm.sql import MERKLE
+from loomgraph.llm.sql import MERKLE, VARIANTS
 from loomgraph.llm.threshold_search import threshold_search
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.llm.toxicity import is_held_out, toxicity
 from loomgraph.llm.url_filter import filter_urls, site_rule
+from loomgraph.llm.variants import spelling_variants, typo_words
 
 URL_RULES = (
     site_rule("org/", "allow"),
@@ -83,6 +84,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(typo_words(table(spark, sf_dir, "documents")))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -91,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filters, op3_token_counts, op4_source_mixing, op5_lm_scoring, op6_packing,
-        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints, op11_merkle_manifest, op13_bpe_round_trip,
+        op7_toxicity, op8_ngram_jaccard_join, op9_exact_topk, op10_document_fingerprints, op11_merkle_manifest, op12_spelling_variants, op13_bpe_round_trip,
     )
 }
 
@@ -116,4 +121,5 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(place as integer) as rank, vec_id, score from r where place <= 5
     """,
     "op11_merkle_manifest": MERKLE,
+    "op12_spelling_variants": VARIANTS,
 }

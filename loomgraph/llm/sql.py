@@ -38,3 +38,19 @@ MERKLE = f"""
     select doc_id, leaf, subroot, t.h as root, sha256(proof) as proof_sha256, folded_root, folded_root = t.h as verified, f.source
     from folded f join subroots u on u.source is not distinct from f.source join tops t on t.n = 1
 """
+
+VARIANTS = f"""
+    with recursive
+    runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as raw from documents),
+    lowered as (select coalesce(doc_id::varchar, '') || ':' || run as name, run from (select doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from runs where length(raw) >= 7)),
+    hashed as (select run, {crc32("name")} as h, count from (select name, run, count(*) as count from lowered group by all)),
+    made as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as integer)) || substr(run, cast(h % length(run) as integer) + 2) else run end as word, count from hashed),
+    words as (select word, cast(sum(count) as bigint) as n from made where length(word) >= 7 group by word having sum(count) >= 2),
+    holes as (select word, n, p, substr(word, 1, cast(p as integer)) || substr(word, cast(p as integer) + 2) as hole from (select word, n, unnest(range(length(word))) as p from words)),
+    near as (select a.word, b.word as other from holes a join holes b on a.p = b.p and a.hole = b.hole and a.word != b.word
+        union select h.word, w.word from holes h join words w on w.word = h.hole union select w.word, h.word from holes h join words w on w.word = h.hole),
+    best as (select near.word, cast(count(*) as bigint) as n_near, first(other order by w.n desc, other) as other, first(w.n order by w.n desc, other) as other_n from near join words w on w.word = near.other group by near.word),
+    forms as (select words.word, words.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * words.n then other end as form, case when other_n >= 10 * words.n then other_n end as form_n from words left join best using (word)),
+    chain as (select word, word as at, form as next from forms union all select chain.word, f.word, f.form from chain join forms f on f.word = chain.next)
+    select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word and c.next is null
+"""
