@@ -1,12 +1,13 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every distinct shingle hash below a fixed part (1/SHARE) of the hash space, for documents of every length alike: a longer document has a longer sketch, and two
-sketches can be merged or compared over the same hashes, however unequal the documents are. A fingerprint is the sketch in hexadecimal, 16 digits
-a hash, ascending; that of a text without shingles is empty, and that of a text with shingles of which none is kept is ``-``.
+sketches can be merged or compared over the same hashes, however unequal the documents are. A set of shingles of which none is below the limit is kept as one hash of the
+whole set, so equal texts have equal and non-empty sketches. A fingerprint is the sketch in base64, the upper BYTES bytes of each hash, ascending; that of a text without shingles is empty.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -19,16 +20,21 @@ from loomgraph.llm import text as tx
 from loomgraph.llm.store import mapped
 
 #: One of so many shingle hashes is kept.
-SHARE = 4
+SHARE = 2
 LIMIT = np.uint64((1 << 64) // SHARE)
+#: Bytes of a hash that are kept; two shingles of one text or pair have the same with a chance of one in 2 ** 40.
+BYTES = 5
 K = 5
 #: Ranges of doc_id, at most; they grow beyond.
 RANGES = 1 << 14
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes -> those that are kept."""
-    return hashes[: int(np.searchsorted(hashes, LIMIT))]
+    """Sorted distinct shingle hashes -> those that are kept, their upper bytes as numbers."""
+    kept = hashes[: int(np.searchsorted(hashes, LIMIT))]
+    if len(hashes) and not len(kept):
+        kept = tx.set_ids(hashes, np.array([0, len(hashes)])).view(np.uint64) % LIMIT
+    return np.unique(kept >> np.uint64(64 - 8 * BYTES))
 
 
 def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -38,8 +44,8 @@ def compare(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 
 def likeness(a: str, b: str) -> tuple[float, float]:
-    """The same of two fingerprints; 1 for two texts without shingles."""
-    return compare(decode(a), decode(b)) if a or b else (1.0, 1.0)
+    """The same of two fingerprints; 1 for equal ones, those of two texts without shingles too."""
+    return compare(decode(a), decode(b)) if a != b else (1.0, 1.0)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,11 +55,12 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def encode(hashes: np.ndarray) -> str:
     """The fingerprint of a text with these sorted distinct shingle hashes."""
-    return sketch(hashes).astype(">u8").tobytes().hex() or "-" * (len(hashes) > 0)
+    return base64.b64encode(sketch(hashes).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()).decode()
 
 
 def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex((fingerprint or "").strip("-")), ">u8").astype(np.uint64)
+    packed = np.frombuffer(base64.b64decode(fingerprint or ""), np.uint8).reshape(-1, BYTES)
+    return np.pad(packed, ((0, 0), (8 - BYTES, 0))).copy().view(">u8").ravel().astype(np.uint64)
 
 
 def prints(texts: pa.Array) -> list[str]:

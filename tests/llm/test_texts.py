@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import fingerprint as fp
 from loomgraph.llm import text as tx
@@ -170,22 +171,55 @@ def test_toxicity_and_mixing_edges(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 1), (12, 0, 0), (None, 1, 1), (13, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity(odd_docs, labels).count() == odd_docs.count()
     assert toxicity(odd_docs, labels.limit(0)).filter("score between 0 and 1").count() == odd_docs.count()
-    mixed = mix(odd_docs, labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}, least=1.0, iterations=3).collect()
+    mixed = mix(odd_docs, labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}, least=1.0).collect()
     assert len(mixed) == odd_docs.count() and all(r["copies"] >= 1 for r in mixed)
-    assert mix(odd_docs.limit(0), labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}, iterations=1).count() == 0
+    assert mix(odd_docs.limit(0), labels, {"high": 0.5, "low": 0.4, "toxic": 0.1}).count() == 0
 
 
 def test_mixing_reaches_targets(spark):
-    from loomgraph.llm.mixing import DOMAINS
+    from loomgraph.llm.mixing import DOMAINS, _posteriors, domain_machines
+    from loomgraph.llm.queries import TARGETS
+    from loomgraph.llm.store import mapped
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    start = mix(docs, labels, dict(zip(DOMAINS, (1, 1, 1), strict=True)), iterations=0).toPandas()
+    machines = domain_machines(docs, labels)
+    rows = docs.select("doc_id", "text").transform(mapped, _posteriors, "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double", toxic=machines[0], quality=machines[1])
+    start = rows.toPandas()
     now = np.array([(start["n_tokens"] * start[f"p_{d}"]).sum() for d in DOMAINS])
     goal = now / now.sum() * np.array([0.95, 1.2, 1.0])
     got = mix(docs, labels, dict(zip(DOMAINS, goal, strict=True))).toPandas()
     reached = np.array([(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in DOMAINS])
     goal = goal / goal.sum()
-    assert (got["rate"] >= 0).all() and np.abs(reached / reached.sum() - goal).max() < np.abs(now / now.sum() - goal).max() / 2
+    assert (got["rate"] >= 0).all() and np.abs(reached / reached.sum() - goal).max() < 2e-3 and got["missed"].max() < 1e-3
+    assert mix(docs, labels, TARGETS, machines=machines).toPandas()["missed"].max() < 1e-3  # the query's own
+
+
+def test_mixing_equals_least_squares_by_hand(spark, monkeypatch):
+    """Targets in and out of reach, on a few documents, against many small plain steps; and the guard."""
+    from loomgraph.llm import mixing
+
+    rng = np.random.default_rng(8)
+    n, p = rng.integers(1, 60, 40), rng.dirichlet([0.6, 0.6, 0.6], 40)
+    p[:, 2] *= 0.02  # so little of the third domain that rates meet their bound
+    p /= p.sum(1, keepdims=True)
+    columns = [(i, int(n[i]), *p[i].tolist()) for i in range(40)]
+    table = spark.createDataFrame(columns, "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double")
+    real = mixing.mapped
+    monkeypatch.setattr(mixing, "mapped", lambda df, fn, schema, **how: table if fn is mixing._posteriors else real(df, fn, schema, **how))
+    q = (p * n[:, None]).T @ p
+    for weights, least in (((0.5, 0.45, 0.05), 0.0), ((0.1, 0.1, 0.8), 0.0), ((0.98, 0.01, 0.01), 0.0), ((0.3, 0.3, 0.4), 1.0), ((0.6, 0.0, 0.4), 0.5)):
+        got = mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, dict(zip(mixing.DOMAINS, weights, strict=True)), least=least, machines=(None, None)).toPandas().sort_values("doc_id")
+        reached = (got["rate"].to_numpy() * n) @ p
+        start = max(1.0, least) * (n @ p)
+        goal = np.array(weights) * start.sum() * (max(1.0, *(least * start[i] / start.sum() / w for i, w in enumerate(weights) if w)) if least else 1.0)
+        rate = np.full(40, max(1.0, least))
+        for _ in range(60_000):
+            rate = np.maximum(rate - p @ np.linalg.solve(q, (rate * n) @ p - goal), least)
+        best = (rate * n) @ p
+        assert np.abs(reached - best).max() < 4e-3 * goal.sum() and got["rate"].min() >= least - 1e-9
+        assert got["missed"].iloc[0] == pytest.approx(np.abs(reached - goal).max() / goal.sum(), abs=1e-6)
+    with pytest.raises(RuntimeError, match="passes"):
+        mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, {"high": 0.1, "low": 0.1, "toxic": 0.8}, machines=(None, None), iterations=2)
 
 
 def test_mixing_has_no_upper_bound(spark):
@@ -234,8 +268,33 @@ def test_fingerprints_keep_one_fraction(spark):
     for text, got in zip(texts, fp.prints(pa.array(texts, pa.large_string())), strict=True):
         w = tx.words(pa.array([text], pa.large_string()))
         h, _ = tx.sets(*tx.shingles(w.hash, w.first, 5))
-        assert fp.decode(got).tolist() == [x for x in h.tolist() if x < (1 << 64) // fp.SHARE] and got
-    assert fp.likeness("", "") == (1.0, 1.0) and fp.likeness("-", "-") == fp.likeness("", "-") == (0.0, 0.0)
+        kept = sorted({x >> 24 for x in h.tolist() if x < (1 << 64) // fp.SHARE})
+        assert fp.decode(got).tolist() == kept or not kept and len(fp.decode(got)) == 1
+    assert fp.likeness("", "") == (1.0, 1.0) and fp.likeness("", got) == (0.0, 0.0)
+
+
+def test_likeness_is_that_of_the_sets(spark):
+    """near_edited and near_next of every row against whole shingle sets; equal short texts are alike, and their fingerprints say so."""
+    def shingles(text):
+        w = tx.words(pa.array([text], pa.large_string()))
+        return set(tx.sets(*tx.shingles(w.hash, w.first, 5))[0].tolist())
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [*map(tuple, docs), *[(-i, t) for i, t in enumerate(["hi", "hi", "ab", "ab", "ab", "", "", None, "w x", "w y", *[f"lone{i}" for i in range(40)] * 2], 1)]]
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    for i, (d, text) in enumerate(ordered):
+        after = ordered[(i + 1) % len(ordered)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, new, following = shingles(text), shingles(edited), shingles(after)
+        for name, other, near in (("near_edited", new, like(own, new)), ("near_next", following, like(own, following))):
+            assert abs(got[d][name] - near) <= (0 if own == other else 4 / max(1, len(own | other)) ** 0.5), (text, edited)
+        assert (got[d]["fingerprint"] == "") == (not own)
+    by_text = collections.defaultdict(set)
+    for d, t in ordered:
+        by_text[t].add(got[d]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values()) and len({x for t in by_text if t.startswith("lone") for x in by_text[t]}) == 40
 
 
 def test_edited_fingerprints_of_many_ranges(spark):
