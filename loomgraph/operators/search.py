@@ -55,24 +55,6 @@ def path_facets(docs: DataFrame, id_col: str, path: Column) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(tree_prefixes(path)).alias("path")).distinct().groupBy("path").agg(F.count("*").alias("n"))
 
 
-def mentions(docs: DataFrame, id_col: str, text_col: str, phrases: DataFrame, key: str, phrase_col: str, words: int) -> DataFrame:
-    """(id, key, n): how often each whole phrase, of any number of words, occurs in each text.
-
-    A place where a phrase may begin is found by an equi-join on a hash of its first ``words`` words (of its first word, if it has fewer), and only those places are compared with
-    the whole phrase, so texts don't travel with their n-grams. Phrases without words are in no text.
-    """
-    start = lambda t, i: F.array(
-        F.struct(F.lit(1).alias("kind"), F.xxhash64(F.get(t, i)).alias("h")),
-        F.struct(F.lit(words).alias("kind"), F.xxhash64(F.array_join(F.slice(t, i + 1, words), " ")).alias("h")),
-    )
-    texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    place = texts.filter(F.size("t") > 0).select("id", F.posexplode(F.transform("t", lambda _, i: start(F.col("t"), i))).alias("at", "starts")).select("id", "at", F.explode("starts").alias("s"))
-    wanted = phrases.select(F.col(key), tokens(F.col(phrase_col)).alias("p")).filter(F.size("p") > 0)
-    first = F.when(F.size("p") < words, F.element_at(start(F.col("p"), F.lit(0)), 1)).otherwise(F.element_at(start(F.col("p"), F.lit(0)), 2))
-    met = place.join(wanted.select(key, "p", first.alias("s")), "s").select("id", "at", key, "p")
-    return met.join(texts, "id").filter(F.slice("t", F.col("at") + 1, F.size("p")) == F.col("p")).groupBy("id", key).agg(F.count("*").alias("n"))
-
-
 def in_range(rows: DataFrame, column: str, low, high) -> DataFrame:
     """Rows whose number is from low to high; a point if both are the same. The scan gets the filter."""
     return rows.filter(F.col(column).between(low, high))

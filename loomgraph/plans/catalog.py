@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.operators import annotate as A
 from loomgraph.operators import concepts as C
 from loomgraph.operators import expand as E
 from loomgraph.operators import graph as G
@@ -466,7 +467,7 @@ def bm25_topk(spark, d):
     select id, item_id, cast(len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) as bigint) as n
     from w join b on len(p) > 0 and contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')""")
 def phrase_mentions(spark, d):
-    return T.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 4)
+    return A.mentions(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
 @query("select d.source, count(*) as n from documents d where d.lang not in ('fr', 'es') group by d.source")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import EDGES, NODES
+from loomgraph.operators import annotate as A
 from loomgraph.operators import concepts as C
 from loomgraph.operators import expand as E
 from loomgraph.operators import graph as G
@@ -129,10 +130,10 @@ def test_search(spark):
     top = T.bm25(index, ["RED"], 3, 7 / 3, 5).collect()
     assert [r["id"] for r in top] == [1, 2]
     phrases = spark.createDataFrame([(7, "Red Dog")], "k long, p string")
-    assert [tuple(r) for r in T.mentions(docs, "id", "text", phrases, "k", "p", 2).collect()] == [(2, 7, 1)]
+    assert [tuple(r) for r in A.mentions(docs, "id", "text", phrases, "k", "p").collect()] == [(2, 7, 1)]
     texts = spark.createDataFrame([(1, "a b c d x y"), (2, "z A b, c d e f! a b c d e f"), (3, None), (4, "f f f")], "id long, text string")
     phrases = spark.createDataFrame([(1, "a b c d e f"), (2, "f"), (3, ""), (4, "b c"), (5, None), (6, "f f")], "k long, p string")
-    assert {tuple(r) for r in T.mentions(texts, "id", "text", phrases, "k", "p", 4).collect()} == {(2, 1, 2), (2, 2, 2), (4, 2, 3), (1, 4, 1), (2, 4, 2), (4, 6, 2)}
+    assert {tuple(r) for r in A.mentions(texts, "id", "text", phrases, "k", "p").collect()} == {(2, 1, 2), (2, 2, 2), (4, 2, 3), (1, 4, 1), (2, 4, 2), (4, 6, 2)}
 
 
 def test_expand_is_idempotent(nodes, edges, spark):
