@@ -4,20 +4,33 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own where that is unset and all run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="rounds-")
+        spark.sparkContext.setCheckpointDir(_own[app])
+    return _own[app]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that no other job has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own where that is unset and all run on this machine), so lineage stays short and lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        app = spark.sparkContext.applicationId
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="rounds-")
-            spark.sparkContext.setCheckpointDir(_own[app])
+    """A checkpoint in the shared folder, so lineage stays short and lost executors cost nothing."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
