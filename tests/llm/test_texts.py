@@ -208,7 +208,7 @@ def test_mixing_equals_least_squares_by_hand(spark, monkeypatch):
     monkeypatch.setattr(mixing, "mapped", lambda df, fn, schema, **how: table if fn is mixing._posteriors else real(df, fn, schema, **how))
     q = (p * n[:, None]).T @ p
     for weights, least in (((0.5, 0.45, 0.05), 0.0), ((0.1, 0.1, 0.8), 0.0), ((0.98, 0.01, 0.01), 0.0), ((0.3, 0.3, 0.4), 1.0), ((0.6, 0.0, 0.4), 0.5)):
-        got = mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, dict(zip(mixing.DOMAINS, weights, strict=True)), least=least, machines=(None, None)).toPandas().sort_values("doc_id")
+        got = mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, dict(zip(mixing.DOMAINS, weights, strict=True)), least=least, machines=(None, None), iterations=400).toPandas().sort_values("doc_id")
         reached = (got["rate"].to_numpy() * n) @ p
         start = max(1.0, least) * (n @ p)
         goal = np.array(weights) * start.sum() * (max(1.0, *(least * start[i] / start.sum() / w for i, w in enumerate(weights) if w)) if least else 1.0)
@@ -218,8 +218,8 @@ def test_mixing_equals_least_squares_by_hand(spark, monkeypatch):
         best = (rate * n) @ p
         assert np.abs(reached - best).max() < 4e-3 * goal.sum() and got["rate"].min() >= least - 1e-9
         assert got["missed"].iloc[0] == pytest.approx(np.abs(reached - goal).max() / goal.sum(), abs=1e-6)
-    with pytest.raises(RuntimeError, match="passes"):
-        mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, {"high": 0.1, "low": 0.1, "toxic": 0.8}, machines=(None, None), iterations=2)
+    short = mixing.mix(table.select("doc_id", F.lit("").alias("text")), None, {"high": 0.1, "low": 0.1, "toxic": 0.8}, machines=(None, None), iterations=2).toPandas()
+    assert short["missed"].min() > 1e-3  # the rows say so
 
 
 def test_mixing_has_no_upper_bound(spark):
