@@ -6,19 +6,22 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import expand as E
 from loomgraph.operators import records as M
+from loomgraph.operators.rounds import new_folder
 from loomgraph.plans.catalog import nation_entries, part_nodes, query, supplier_nodes, table
 from loomgraph.plans.texts import both
+from loomgraph.sources import records as N
 
 RECORDS = """with r as (select 'O' || o_orderkey as ui, 'order ' || o_orderkey as name, case o_orderstatus when 'F' then 'Descriptor' when 'O' then 'SupplementalDescriptor' else 'Qualifier' end as kind,
-        'C' || o_custkey as concept, 'C' || (o_custkey + 1) as near, o_orderpriority as term, o_orderstatus = 'F' as best, case o_orderstatus when 'F' then true when 'O' then false end as told, 'O' || o_custkey as other from orders),
+        'C' || o_custkey as concept, 'C' || (o_custkey + 1) as near, o_orderpriority as term, o_orderstatus = 'F' as best, case o_orderstatus when 'F' then true when 'O' then false end as told, 'O' || o_custkey as other, 'O' || (o_custkey + 2) as other2 from orders),
     t as (select concept, term, bool_or(told) as told from r group by 1, 2),
     named as (select ui, 1 as place, name, kind from r union all select concept, 2, 'customer ' || substr(concept, 2), 'Concept' from r union all select term, 3, term, 'Term' from r union all select near, 6, null, null from r
-        union all select other, 6, null, null from r where kind = 'SupplementalDescriptor' union all select 'O' || n_nationkey, 4, n_name, null from nation union all select 'O' || n_regionkey, 5, 'x', null from nation),
+        union all select unnest([other, other2]), 6, null, null from r where kind = 'SupplementalDescriptor' union all select 'O' || n_nationkey, 4, n_name, null from nation union all select 'O' || n_regionkey, 5, 'x', null from nation),
     n as (select ui, name, kind from (select *, row_number() over (partition by ui order by place) as first from named) a where first = 1),
     e as (select ui as src, concept as dst, 'concept' as type, bool_or(best) as preferred, cast(null as varchar) as scope, cast(null as varchar) as qualifiers from r group by 1, 2
         union all select near, concept, 'concept', null, kind, null from r group by near, concept, kind
         union all select case when told is null then term else concept end, case when told is null then concept else term end, 'term', told, null, null from t
         union all select ui, other, 'mapped', null, null, max(term) from r where kind = 'SupplementalDescriptor' group by 1, 2
+        union all select ui, other2, 'indexed', null, null, max(term || ',' || kind) from r where kind = 'SupplementalDescriptor' group by 1, 2
         union all select distinct 'O' || n_nationkey, 'O' || n_regionkey, 'substance', cast(null as boolean), null, null from nation) """
 
 
@@ -30,31 +33,94 @@ def _records(spark, d):
     term = F.array(F.struct(F.col("o_orderpriority").alias("ui"), F.col("o_orderpriority").alias("name"), F.when(status == "F", True).when(status == "O", False).alias("preferred")))
     concept = F.struct(both("C", F.col("o_custkey").cast("string")).alias("ui"), both("customer ", F.col("o_custkey").cast("string")).alias("name"), (status == "F").alias("preferred"), near.alias("relations"), term.alias("terms"))
     mapped = F.array(F.struct(both("O", F.col("o_custkey").cast("string")).alias("ui"), F.array("o_orderpriority").alias("qualifiers")))
+    indexed = F.array(F.struct(both("O", (F.col("o_custkey") + 2).cast("string")).alias("ui"), F.array(F.col("o_orderpriority"), kind).alias("qualifiers")))
     key = F.col("o_orderkey").cast("string")
-    records = o.select(both("O", key).alias("ui"), both("order ", key).alias("name"), kind.alias("kind"), F.array(concept).alias("concepts"), F.when(status == "O", mapped).alias("mapped"), F.slice(mapped, 1, 0).alias("indexed"))
+    records = o.select(both("O", key).alias("ui"), both("order ", key).alias("name"), kind.alias("kind"), F.array(concept).alias("concepts"), F.when(status == "O", mapped).alias("mapped"), F.when(status == "O", indexed).alias("indexed"))
     substance = F.array(F.struct(both("O", F.col("n_regionkey").cast("string")).alias("ui"), F.lit("x").alias("name")))
     actions = table(spark, d, "nation").select(both("O", F.col("n_nationkey").cast("string")).alias("ui"), F.col("n_name").alias("name"), substance.alias("substances"))
-    return M.record_graph(records, actions)
+    return records, actions
 
 
 @query(RECORDS + "select ui, name, kind from n")
 def record_nodes(spark, d):
-    return _records(spark, d)[0]
+    return M.record_graph(*_records(spark, d))[0]
 
 
 @query(RECORDS + "select * from e")
 def record_edges(spark, d):
-    return _records(spark, d)[1].withColumn("qualifiers", F.array_join("qualifiers", ","))
+    return M.record_graph(*_records(spark, d))[1].withColumn("qualifiers", F.array_join("qualifiers", ","))
+
+
+def _in_xml(spark, d):
+    """The records as files of all kinds in one folder, and those of actions, read again."""
+    element = lambda tag, c: both(f"<{tag}>", c, f"</{tag}>")
+    yes = lambda name, c: F.when(c, f' {name}="Y"').when(~c, f' {name}="N"').otherwise("")
+    every = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ""), F.lit(""))
+    records, actions = _records(spark, d)
+    relation = lambda c: lambda r: both('<ConceptRelation RelationName="', r["name"], '">', element("Concept1UI", c["ui"]), element("Concept2UI", r["ui"]), "</ConceptRelation>")
+    term = lambda t: both("<Term", yes("ConceptPreferredTermYN", t["preferred"]), ">", element("TermUI", t["ui"]), element("String", t["name"]), "</Term>")
+    concept = lambda c: both(
+        "<Concept", yes("PreferredConceptYN", c["preferred"]), ">", element("ConceptUI", c["ui"]), element("ConceptName", element("String", c["name"])), element("ConceptRelationList", every(c["relations"], relation(c))),
+        element("TermList", every(c["terms"], term)), "</Concept>",
+    )
+    qualifier = lambda q: element("QualifierReferredTo", element("QualifierName", element("String", q)))
+    heading = lambda tag: lambda m: element(tag, both(element("DescriptorReferredTo", element("DescriptorUI", both("*", m["ui"]))), every(m["qualifiers"], qualifier)))
+    mapped, indexed = every("mapped", heading("HeadingMappedTo")), every("indexed", heading("IndexingInformation"))
+    tag = F.when(F.col("kind") == "SupplementalDescriptor", "Supplemental").otherwise(F.col("kind"))
+    field = F.when(tag == "Supplemental", "SupplementalRecord").otherwise(tag)
+    start = F.when(F.col("kind") == "Descriptor", both("<", tag, 'Record DescriptorClass="1">')).otherwise(both("<", tag, "Record>"))  # with and without attributes
+    body = both("\n<", field, "UI>", F.col("ui"), "</", field, "UI><", field, "Name><String>", F.col("name"), "</String></", field, "Name>", element("HeadingMappedToList", mapped), element("IndexingInformationList", indexed), element("ConceptList", every("concepts", concept)))
+    folder = new_folder(spark, "xml")
+    records.select(both(start, body, "\n</", tag, "Record>").alias("value")).write.text(f"{folder}/records")
+    substance = lambda s: element("Substance", both(element("RecordUI", s["ui"]), element("RecordName", element("String", s["name"]))))
+    action = both(element("DescriptorReferredTo", both(element("DescriptorUI", F.col("ui")), element("DescriptorName", element("String", F.col("name"))))), element("PharmacologicalActionSubstanceList", every("substances", substance)))
+    actions.select(element("PharmacologicalAction", action).alias("value")).write.text(f"{folder}/actions")
+    return N.heading_records(spark, f"{folder}/records"), N.action_records(spark, f"{folder}/actions")
+
+
+@query(RECORDS + "select ui, name, kind from n")
+def xml_record_nodes(spark, d):
+    return M.record_graph(*_in_xml(spark, d))[0]
+
+
+@query(RECORDS + "select * from e")
+def xml_record_edges(spark, d):
+    return M.record_graph(*_in_xml(spark, d))[1].withColumn("qualifiers", F.array_join("qualifiers", ","))
+
+
+@query("""select o_orderkey as pmid, o_orderpriority as title,
+    'AIM: ' || o_orderstatus || '|' || o_orderpriority as abstract, cast(o_orderdate as date) as date, '10.1/' || o_orderkey as doi, 'D' || o_custkey as heading, o_orderstatus = 'F' as major from orders""")
+def articles_in_columns(spark, d):
+    """Articles held as XML in a column."""
+    o, text = table(spark, d, "orders"), lambda c: F.col(c).cast("string")
+    date = both("<Year>", F.year("o_orderdate").cast("string"), "</Year><Month>", F.date_format("o_orderdate", "MMM"), "</Month><Day>", F.dayofmonth("o_orderdate").cast("string"), "</Day>")
+    major = F.when(F.col("o_orderstatus") == "F", "Y").otherwise("N")
+    xml = both(
+        '<PubmedArticle><MedlineCitation><PMID Version="1">', text("o_orderkey"), "</PMID><Article><ArticleTitle>", F.col("o_orderpriority"), '</ArticleTitle><Abstract><AbstractText Label="AIM">', F.col("o_orderstatus"), "</AbstractText><AbstractText>", F.col("o_orderpriority"),
+        "</AbstractText></Abstract><Journal><JournalIssue><PubDate>", date, '</PubDate></JournalIssue></Journal></Article><MeshHeadingList><MeshHeading><DescriptorName UI="D', text("o_custkey"), '" MajorTopicYN="', major, '">x</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation>',
+        '<PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/', text("o_orderkey"), "</ArticleId></ArticleIdList></PubmedData></PubmedArticle>",
+    )
+    found = N.articles_of(o.select(xml.alias("x")), "x")
+    return found.select("pmid", "title", F.array_join("abstract", "|").alias("abstract"), "date", "doi", F.get("headings", F.lit(0))["descriptor"].alias("heading"), F.get("headings", F.lit(0))["major"].alias("major"))
+
+
+@query("select o_orderkey as id, o_custkey as customer, o_orderpriority as label, 2 as n from orders")
+def resolved_answers(spark, d):
+    """Answers of a service: XML that stands escaped in a page."""
+    o = table(spark, d, "orders")
+    page = both("<!DOCTYPE a b><pre>&lt;r c='", F.col("o_custkey").cast("string"), "'&gt;&lt;l&gt;", F.col("o_orderpriority"), "&lt;/l&gt;&lt;i&gt;1&lt;/i&gt;&lt;i&gt;2&lt;/i&gt;&lt;/r&gt;</pre>")
+    found = N.resolved_xml(o.select(F.col("o_orderkey").alias("id"), page.alias("x")), "x", "_c BIGINT, l STRING, i ARRAY<INT>")
+    return found.select("id", F.col("_c").alias("customer"), F.col("l").alias("label"), F.size("i").alias("n"))
 
 
 @query(RECORDS + """select e.src as ui, a.kind, 'concept' as part, e.dst as other, b.name, e.preferred, e.scope from e join n a on a.ui = e.src join n b on b.ui = e.dst where e.type = 'concept' and e.scope is null
     union all select e.dst, a.kind, 'relation', e.src, b.name, e.preferred, e.scope from e join n a on a.ui = e.dst join n b on b.ui = e.src where e.type = 'concept' and e.scope is not null and b.kind = 'Concept'
     union all select t.concept, 'Concept', 'term', t.term, t.term, t.told, null from t
-    union all select e.src, a.kind, 'mapped', e.dst, b.name, null, null from e join n a on a.ui = e.src join n b on b.ui = e.dst where e.type = 'mapped'
+    union all select e.src, a.kind, e.type, e.dst, b.name, null, null from e join n a on a.ui = e.src join n b on b.ui = e.dst where e.type in ('mapped', 'indexed')
     union all select e.src, a.kind, 'substance', e.dst, b.name, null, null from e join n a on a.ui = e.src join n b on b.ui = e.dst where e.type = 'substance'
     union all select e.dst, a.kind, 'action', e.src, b.name, null, null from e join n a on a.ui = e.dst join n b on b.ui = e.src where e.type = 'substance' and a.kind in ('Descriptor', 'SupplementalDescriptor', 'Qualifier')""")
 def entry_parts(spark, d):
-    return M.entry_parts(*_records(spark, d))
+    return M.entry_parts(*M.record_graph(*_records(spark, d)))
 
 
 ARTICLES = """with entry as (select 'P' || p_partkey as ui, p_name as name, case when p_size > 25 then 'Descriptor' else 'SupplementalDescriptor' end as kind from part union all select 'Q' || n_nationkey, n_name, 'Qualifier' from nation),

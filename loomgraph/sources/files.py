@@ -79,17 +79,22 @@ def tree_rows(entries: DataFrame) -> DataFrame:
     return entries.select("ui", F.concat(F.lit('"'), "name", F.lit('"')).alias("name"), F.explode("tree_numbers").alias("tree_number"))
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
-    """pmid, title, abstract (labelled parts), journal, date, doi, pmc, headings, chemicals."""
+def article_columns() -> list[Column]:
+    """The columns of an article from the fields of its record."""
     c, a = "MedlineCitation", "MedlineCitation.Article"
     ids = F.map_from_entries(F.transform("PubmedData.ArticleIdList.ArticleId", lambda x: F.struct(x["_IdType"], x["_VALUE"])))
     headings = F.transform(f"{c}.MeshHeadingList.MeshHeading", lambda h: F.struct(
         h["DescriptorName"]["_UI"].alias("descriptor"), (h["DescriptorName"]["_MajorTopicYN"] == "Y").alias("major"), F.coalesce(F.transform(h["QualifierName"], lambda q: q["_UI"]), F.array().cast("array<string>")).alias("qualifiers")))
-    return xml(spark, path, "PubmedArticle", ARTICLE).select(
+    return [
         F.col(f"{c}.PMID._VALUE").alias("pmid"), F.col(f"{a}.ArticleTitle").alias("title"), F.transform(f"{a}.Abstract.AbstractText", lambda t: labelled_text(t["_Label"], t["_VALUE"])).alias("abstract"),
         F.col(f"{a}.Journal.Title").alias("journal"), _date(f"{a}.Journal.JournalIssue.PubDate").alias("date"), ids["doi"].alias("doi"), ids["pmc"].alias("pmc"), headings.alias("headings"),
         F.transform(f"{c}.ChemicalList.Chemical", lambda x: x["NameOfSubstance"]["_UI"]).alias("chemicals"),
-    )
+    ]
+
+
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """pmid, title, abstract (labelled parts), journal, date, doi, pmc, headings, chemicals."""
+    return xml(spark, path, "PubmedArticle", ARTICLE).select(*article_columns())
 
 
 def obo_terms(spark: SparkSession, path: str) -> DataFrame:
