@@ -25,7 +25,7 @@ def to_ascii(c: Column) -> Column:
     """ASCII form of a text; what has none becomes ``[.]``. (The source's slip for a subscript five is corrected.)"""
     plain = F.translate(c, "".join(ONE_TO_ONE.values()), "".join(k * len(v) for k, v in ONE_TO_ONE.items()))
     spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ONE_TO_MANY.items(), plain)
-    return F.regexp_replace(spelled, r"[^\x00-\x7F]", "[.]")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(spelled, r"[^\x00-\x7F]", "[.]")).otherwise(c)
 
 
 def escape_query(c: Column) -> Column:

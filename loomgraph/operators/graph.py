@@ -124,6 +124,11 @@ def graph_counts(nodes: DataFrame, edges: DataFrame, undirected_pattern: bool =
     return n.join(e, "kgraph_id", "full").select("kgraph_id", zero("node_count"), zero("edge_count"))
 
 
+def count_graphs(nodes: DataFrame) -> DataFrame:
+    """One row: how many graphs have nodes."""
+    return nodes.agg(F.countDistinct("kgraph_id").alias("graphs"))
+
+
 def counts_by_tag(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -75,10 +75,18 @@ def summary(rows: DataFrame, concept=None) -> DataFrame:
     return counts.unionByName(pmids.groupBy("concept").agg(F.countDistinct("pmid").alias("n")).select("concept", F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n"))
 
 
-def related(rows: DataFrame, names: DataFrame, key: str, name: str, top: int) -> DataFrame:
-    """Objects by count, then name; those without a name are left out."""
+def related(rows: DataFrame, names: DataFrame, key: str, name: str, top: int, by_key: bool = False) -> DataFrame:
+    """Objects by count, then name, or with ``by_key`` by count, then key (which is then a column too); those without a name are left out."""
     count = rows.groupBy(F.col("object").alias(key)).agg(F.count("*").alias("n"))
-    return count.join(names, key).select(name, "n").orderBy(F.desc("n"), name).limit(top)
+    found = count.join(names, key)
+    if by_key:
+        return found.select(key, name, "n").orderBy(F.desc("n"), key).limit(top)
+    return found.select(name, "n").orderBy(F.desc("n"), name).limit(top)
+
+
+def most_frequent(counts: DataFrame, top: int) -> DataFrame:
+    """Counted triples by count, then subject, predicate, object."""
+    return counts.orderBy(F.desc("cnt"), *TRIPLE).limit(top)
 
 
 def resolved(rows: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +166,30 @@ def pmid_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("long").alias("pmid")).filter("pmid is not null")
 
 
+def zipped_lines(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """(path, member, seq, value) of the lines of all files in the zip archives below a path, read in blocks; an archive is one task's. Bytes that are no UTF-8 become U+FFFD."""
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                    for member in archive.namelist():
+                        with archive.open(member) as lines:
+                            text, at = io.TextIOWrapper(lines, "utf-8", "replace", newline="\n"), 0
+                            while some := [line.rstrip("\r\n") for line in text.readlines(block)]:
+                                n = len(some)
+                                yield pa.record_batch([pa.array([file] * n), pa.array([member] * n), pa.array(range(at, at + n), pa.int64()), pa.array(some)], ["path", "member", "seq", "value"])
+                                at += n
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, seq long, value string")
+
+
+def unii_names(spark: SparkSession, path: str) -> DataFrame:
+    """(unii, name, seq) of the rows with four fields (name, type, unii, preferred name) of zipped tab files, in their order."""
+    rows = zipped_lines(spark, path).select("seq", F.split("value", "\t", -1).alias("p")).filter("size(p) = 4")
+    return rows.select(F.get("p", F.lit(2)).alias("unii"), F.get("p", F.lit(0)).alias("name"), "seq")
+
+
 def file_registry(spark: SparkSession, path: str) -> DataFrame:
     """path, sha1 and length of the files below a path; a left-anti join with the table of loaded ones gives those to load."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"), "length")

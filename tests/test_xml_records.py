@@ -55,3 +55,38 @@ def test_records_in_columns(spark):
     assert N.articles_of(rows.limit(0), "x").collect() == [] == N.parsed_records(rows.limit(0), "x", "kind").collect()
     got = N.resolved_xml(spark.createDataFrame([(1, "<!DOCTYPE x><pre>&lt;r&gt;&lt;a&gt;5&lt;/a&gt;&lt;/r&gt;</pre>"), (2, None), (3, "<oops")], "k int, x string"), "x", "a INT")
     assert sorted(map(tuple, got.collect())) == [(1, 5), (2, None), (3, None)]
+
+
+def test_zipped_lines(spark, tmp_path):
+    import zipfile
+
+    from loomgraph.operators import trials as R
+    from loomgraph.sources import files as S
+
+    (tmp_path / "z").mkdir()
+    with zipfile.ZipFile(tmp_path / "z" / "names.zip", "w") as z:
+        z.writestr("a.txt", "Aspirin\tof\tU1\tASPIRIN\r\nAcetyl\tcn\tU1\tASPIRIN\nbad line\nÉ\tx\tU2\ty\n\nlast\tx\tU3\ty")
+        z.writestr("empty.txt", "")
+    rows = S.zipped_lines(spark, str(tmp_path / "z"), block=8).collect()
+    assert [r["value"] for r in rows] == ["Aspirin\tof\tU1\tASPIRIN", "Acetyl\tcn\tU1\tASPIRIN", "bad line", "É\tx\tU2\ty", "", "last\tx\tU3\ty"] and [r["seq"] for r in rows] == list(range(6))
+    assert sorted(map(tuple, R.first_names(S.unii_names(spark, str(tmp_path / "z"))).collect())) == [("U1", "Aspirin"), ("U2", "É"), ("U3", "last")]
+
+
+def test_studies_and_interventions(spark):
+    from loomgraph.operators import trials as R
+
+    studies = spark.createDataFrame([("N1", None, "b"), ("N1", "t", "z"), ("N1", "t", "a"), (None, "x", "y"), ("N2", None, None)], "nct_id string, title string, status string")
+    known = spark.createDataFrame([("N2",), ("N2",), (None,)], "nct_id string")
+    assert sorted(map(tuple, R.add_studies(known, studies).collect())) == [("N1", "t", "a", True), ("N2", None, None, False)]
+    rows = spark.createDataFrame([("N1", "U1"), ("N1", "U1"), ("N9", "U1"), ("N2", None), (None, "U1")], "nct_id string, unii string")
+    assert [tuple(r) for r in R.with_interventions(studies, rows).collect()] == [("N1", "U1")] and R.add_studies(known, studies.limit(0)).collect() == []
+
+
+def test_conditions_share_sets_of_concepts(spark):
+    from loomgraph.operators import trials as R
+
+    trials = spark.createDataFrame([("N1", "a"), ("N1", "b"), ("N1", "a"), ("N2", "a"), ("N3", "c"), (None, "a")], "nct_id string, item string")
+    links = spark.createDataFrame([("a", "C1", "umls", None), ("b", "C2", "umls", None), ("b", "C2", "umls", None), ("c", "C3", "umls", 0.5), ("a", "D1", "mesh", None)], "item string, ui string, kind string, score double")
+    atoms = spark.createDataFrame([("C1", "s2"), ("C1", "s1"), ("C1", "s1"), ("C9", "x")], "cui string, scui string")
+    assert sorted(map(repr, R.condition_concepts(trials, links, atoms).collect())) == sorted(map(repr, [
+        R_row for R_row in spark.createDataFrame([("N1", ["C1", "C2"], ["s1", "s2"]), ("N2", ["C1"], ["s1", "s2"]), (None, ["C1"], ["s1", "s2"])], "nct_id string, umls array<string>, mesh array<string>").collect()]))
