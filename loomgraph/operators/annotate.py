@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.rounds import written
+from loomgraph.operators.rounds import stored
 from loomgraph.operators.search import tokens
 
 #: Bytes of phrases that are broadcast as a word trie; a larger dictionary is joined by hash.
@@ -78,7 +78,7 @@ def _by_trie(texts: DataFrame, phrases: list[str], longest: bool) -> DataFrame:
 
 def _by_join(texts: DataFrame, wanted: DataFrame, longest: bool) -> DataFrame:
     """The same by an equi-join on the first word and one on the whole text's row: for dictionaries of any size."""
-    texts = written(texts.withColumn("_place", F.monotonically_increasing_id()))
+    texts = stored(texts.withColumn("_place", F.monotonically_increasing_id()))
     words, others = texts.columns[-2], texts.columns[:-2]
     starts = texts.select("_place", F.posexplode(words).alias("at", "first"))
     listed = wanted.select("phrase", F.split("phrase", " ").alias("p")).withColumn("first", F.get("p", F.lit(0)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scalars import strip_pipe
 from loomgraph.operators.predications import without_blacklisted
 from loomgraph.operators.records import KINDS, entry_parts
+from loomgraph.operators.rounds import stored
 
 #: Parts of one kind that are nested in one record, at most.
 MOST = 1000
@@ -31,7 +32,7 @@ def nested_entries(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> tupl
     array. A list of more than ``most`` parts is null, and its parts are rows (ui, part, other, name, preferred, scope) of the second table; a concept's list is null in the records that hold the concept. Terms
     go into concepts, and concepts into records. Entries of every kind have a row, terms and named concepts too.
     """
-    parts = entry_parts(nodes, edges)
+    parts = stored(entry_parts(nodes, edges))
     plain = F.struct(F.col("other").alias("ui"), "name")
     of = lambda part: parts.filter(F.col("part") == part)
     terms, many_terms = gathered(of("term"), ["ui"], F.struct(F.col("other").alias("ui"), "name", "preferred"), "terms", most)

@@ -34,3 +34,10 @@ def written(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder, so lineage stays short and lost executors cost nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again: for what is read more than once, by some of its columns."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

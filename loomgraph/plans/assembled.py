@@ -9,7 +9,7 @@ from loomgraph.operators import nested as N
 from loomgraph.operators import records as M
 from loomgraph.operators import search as T
 from loomgraph.operators import seeds as S
-from loomgraph.operators.rounds import new_folder
+from loomgraph.operators.rounds import new_folder, stored
 from loomgraph.plans.catalog import part_nodes, query, table
 from loomgraph.plans.records import RECORDS, _records
 from loomgraph.plans.retrieval import WORDS
@@ -100,7 +100,7 @@ NESTED = """rel as (select e.dst as concept, string_agg(e.src || ':' || e.scope,
 @query(RECORDS.rstrip() + ", " + NESTED + """select n.ui, n.kind, coalesce(case when n.kind in ('Descriptor', 'SupplementalDescriptor', 'Qualifier') then concepts end, '') as concepts, coalesce(case when n.kind = 'SupplementalDescriptor' then mapped end, '') as mapped,
     coalesce(case when n.kind = 'SupplementalDescriptor' then indexed end, '') as indexed, coalesce(actions, '') as actions, coalesce(substances, '') as substances from n left join con using (ui) left join map using (ui) left join act using (ui)""")
 def nested_entries(spark, d):
-    records, _ = N.nested_entries(*M.record_graph(*_records(spark, d)))
+    records, _ = N.nested_entries(*map(stored, M.record_graph(*_records(spark, d))))
     joined = lambda c, f, sep=",": F.array_join(F.transform(c, f), sep)
     concept = lambda c: F.concat(c["ui"], F.lit("("), joined(c["relations"], lambda r: F.concat(r["ui"], F.lit(":"), r["scope"])), F.lit("|"), joined(c["terms"], lambda t: t["ui"]), F.lit(")"))
     return records.select("ui", "kind", joined("concepts", concept, ";").alias("concepts"), *[joined(c, lambda x: x["ui"]).alias(c) for c in ("mapped", "indexed", "actions", "substances")])
@@ -112,7 +112,7 @@ def nested_entries(spark, d):
     union all select e.dst, 'action', e.src from e join n on n.ui = e.dst and n.kind in ('Descriptor', 'SupplementalDescriptor', 'Qualifier') where e.type = 'substance' and e.dst in (select dst from e where type = 'substance' group by 1 having count(*) > 2)""")
 def nested_overflow(spark, d):
     """The parts of records that have more than two of a kind, as rows."""
-    return N.nested_entries(*M.record_graph(*_records(spark, d)), most=2)[1].select("ui", "part", "other")
+    return N.nested_entries(*map(stored, M.record_graph(*_records(spark, d))), most=2)[1].select("ui", "part", "other")
 
 
 SAID = """p as (select l_orderkey as pmid, l_linenumber as predication, l_partkey::varchar as subject, l_linestatus as subtype, l_returnflag as predicate, l_suppkey::varchar as object, unnest([l_orderkey, l_suppkey]) as sentence_id from lineitem where l_returnflag != 'N'),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import expand as E
 from loomgraph.operators import records as M
-from loomgraph.operators.rounds import new_folder
+from loomgraph.operators.rounds import new_folder, stored
 from loomgraph.plans.catalog import nation_entries, part_nodes, query, supplier_nodes, table
 from loomgraph.plans.texts import both
 from loomgraph.sources import records as N
@@ -75,7 +75,7 @@ def _in_xml(spark, d):
     substance = lambda s: element("Substance", both(element("RecordUI", s["ui"]), element("RecordName", element("String", s["name"]))))
     action = both(element("DescriptorReferredTo", both(element("DescriptorUI", F.col("ui")), element("DescriptorName", element("String", F.col("name"))))), element("PharmacologicalActionSubstanceList", every("substances", substance)))
     actions.select(element("PharmacologicalAction", action).alias("value")).write.text(f"{folder}/actions")
-    return N.heading_records(spark, f"{folder}/records"), N.action_records(spark, f"{folder}/actions")
+    return stored(N.heading_records(spark, f"{folder}/records")), N.action_records(spark, f"{folder}/actions")  # the graph reads records for each kind of edge
 
 
 @query(RECORDS + "select ui, name, kind from n")
