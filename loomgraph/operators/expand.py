@@ -16,7 +16,8 @@ from loomgraph.operators.rounds import written
 from loomgraph.operators.search import first_n
 from loomgraph.operators.trials import adverse_events
 
-Expander = Callable[[DataFrame, Mapping[str, DataFrame]], tuple[DataFrame, DataFrame]]
+#: New nodes, new edges, and perhaps changes of the nodes it started from (seeds.UPDATES).
+Expander = Callable[[DataFrame, Mapping[str, DataFrame]], tuple[DataFrame, ...]]
 REGISTRY: dict[str, Expander] = {}
 
 
@@ -115,6 +116,11 @@ def expand(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame],
         # all that a round finds goes into the graph at once, the first expander's node or edge first
         new = [reduce(DataFrame.unionByName, [f[i].select(have.columns).withColumn("_turn", F.lit(t)) for t, f in enumerate(found)]) for i, have in enumerate((nodes, edges))]
         grown = upsert_nodes(nodes, first_per_key(new[0], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"), "id")
+        updates = [f[2] for f in found if len(f) > 2]
+        if updates:  # what expanders change in the nodes that they started from
+            from loomgraph.operators.seeds import update_nodes
+
+            grown = update_nodes(grown, updates)
         linked_ = upsert_edges(edges, first_per_key(new[1], ["kgraph_id", "id"], "_turn", "seq").drop("_turn"))
         if rounds == 1:  # nothing is read again
             return grown, linked_

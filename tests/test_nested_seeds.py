@@ -1,4 +1,5 @@
 from loomgraph.model import EDGES, NODES
+from loomgraph.operators import expand as E
 from loomgraph.operators import nested as N
 from loomgraph.operators import seeds as S
 
@@ -68,6 +69,8 @@ def test_drug_expanders(spark):
     ids = {r["id"]: u for u, r in rows.items()}
     assert {(ids[r["src"]], ids[r["dst"]], r["type"]) for r in e.collect()} == {
         ("u1", "molecule/CHEMBL7", "is equivalent to"), ("u1", "target/T1", "AGONIST"), ("u1", "target/T2", "INHIBITOR"), ("u1", "target/T2", "target of"), ("u2", "molecule/CHEMBL9", "is equivalent to"), ("u2", "molecule/CHEMBL3", "is equivalent to")}
+    other, _ = E.expand(nodes, edges, tables, names)  # the same by the general rounds
+    assert {r["uri"]: r["props"] for r in other.collect()} == {u: r["props"] for u, r in rows.items()}
     again = S.expand_with_updates(n, e, tables, ["drug_forms", "drug_search"])
     assert again[0].count() == n.count() and again[1].count() == e.count()
 
