@@ -28,7 +28,7 @@ BATCHED = f"select q as query, id, round(sum(w * {BM25} * {PART}), 9) as score f
 
 @query(f"""with {VIEWS}, p as (select item_id as query, {WORDS} as p from benchmark), w as (select query, sum({BM25}) as idf from (select query, unnest(p) as term from p) a join f using (term) cross join g group by query),
     h as (select query, id, len(t) as size, len(list_filter(range(1, len(t) - len(p) + 2), lambda x: t[x:x + len(p) - 1] = p)) as tf from t join p on len(p) > 0 and contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
-    {ranked(f"select query, id, round(idf * {PART}, 9) as score from h join w using (query) cross join g where tf > 0", 5)}""")
+    {ranked(f"select query, id, round(idf * {PART}, 9) as score from h join w using (query) cross join g", 5)}""")
 def phrase_search(spark, d):
     """The best five documents for each benchmark text as a quoted phrase."""
     phrases = table(spark, d, "benchmark").select("item_id", F.concat(F.lit('"'), F.translate("text", '"', " "), F.lit('"')).alias("q"))
@@ -79,8 +79,8 @@ def benchmark_concepts(spark, d):
 SPANS = f"""b as (select item_id as concept, {WORDS} as p from benchmark), names as (select concept, array_to_string(p[1:1], ' ') as phrase, 'word' as kind from b union all select concept, array_to_string(p[1:2], ' '), 'pair' from b
         union all select concept, array_to_string(p, ' '), 'text' from b),
     listed as (select phrase, concept, list_sort(list(distinct kind)) as semtypes, ['s' || concept % 3] as sources from names where phrase != '' group by phrase, concept),
-    t as (select doc_id, {WORDS} as t from documents), sizes as (select distinct len(string_split(phrase, ' ')) as l from listed), phrases as (select distinct phrase from listed),
-    starts as (select doc_id, t, unnest(range(1, len(t) + 1)) as i from t), hits as (select doc_id, i - 1 as start, max(l) as l from starts, sizes where array_to_string(t[i:i + l - 1], ' ') in (select phrase from phrases) and i + l - 1 <= len(t) group by 1, 2),
+    t as (select doc_id, {WORDS} as t from documents), ph as (select distinct string_split(phrase, ' ') as w from listed), starts as (select doc_id, unnest(range(1, len(t) + 1)) as i, unnest(t) as word from t),
+    hits as (select s.doc_id, i - 1 as start, max(len(w)) as l from starts s join ph on word = w[1] join t on t.doc_id = s.doc_id where t[i:i + len(w) - 1] = w group by 1, 2),
     kept as (select doc_id, list_reduce(list_prepend({{'start': 0::bigint, 'l': 0::bigint, 'kept': []::struct(start bigint, l bigint)[]}}, list({{'start': start, 'l': l, 'kept': []::struct(start bigint, l bigint)[]}} order by start)),
         lambda a, x: case when x.start >= a.start + a.l then {{'start': x.start, 'l': x.l, 'kept': list_append(a.kept, {{'start': x.start, 'l': x.l}})}} else a end).kept as kept from hits group by doc_id),
     each as (select doc_id, unnest(kept) as k from kept),
