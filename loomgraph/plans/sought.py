@@ -22,7 +22,8 @@ def named(result, *columns):
 
 @query("""with e as (select case p_size % 3 when 0 then 'target' when 1 then 'ligand' else 'disease' end as kind, 'e' || p_partkey as ref, p_name || ' ' || p_type as name from part where p_size % 3 != 0 or p_size % 2 = 0),
     w as (select *, list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x != '') as t from e), a as (select distinct p_type as q from part),
-    h as (select q, kind, ref, row_number() over (partition by q, kind order by len(t), ref) as place from a join w on contains(' ' || array_to_string(t, ' ') || ' ', ' ' || lower(q) || ' '))
+    m as (select kind, avg(len(t)) as m from w group by kind), f as (select q, kind, ref, len(t) as size, len(list_filter(t, lambda x: x = lower(q))) as tf from a join w on contains(' ' || array_to_string(t, ' ') || ' ', ' ' || lower(q) || ' ')),
+    h as (select q, kind, ref, row_number() over (partition by q, kind order by round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m)), 9) desc, ref) as place from f join m using (kind))
     select q, kind, ref from h where place <= 20""")
 def searched_entries(spark, d):
     """The best 20 entries of each kind for each type of part as a phrase; targets only at the clinical level."""
