@@ -1,6 +1,8 @@
 import collections
 import hashlib
 import math
+import re
+import time
 import zlib
 
 import numpy as np
@@ -252,6 +254,35 @@ def test_globs():
     assert [a.rules[i].text if i >= 0 else None for i in a.first_match(body, off)] == ["1", None, "1", None, "22", None, "333", None, None]
 
 
+def test_urls_alone_and_in_batches_are_judged_alike():
+    rng = np.random.default_rng(3)
+    globs = ["*.a?b/**", "**ba*", "*a**/b", ".a/**", "?b/*", "*", "." + "ab" * 70 + "**", "**"]
+    a = Automaton([Rule(str(i) * (9 - i), "x", g) for i, g in enumerate(globs)])
+    forms = [(r.text, re.compile("".join({"**": "(?s:.*)", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in re.findall(r"\*\*|.", r.glob)))) for r in a.rules]
+    urls = ["".join(rng.choice(list(".ab/"), int(n))) for n in rng.integers(0, 12, 400)] + ["", "." + "ab" * 70 + "/", "." + "ab" * 69]
+    want = [next((t for t, f in forms if f.fullmatch(u)), None) for u in urls]
+    for size in (1, 7, 403):
+        got = []
+        for i in range(0, len(urls), size):
+            part = urls[i : i + size]
+            found = a.first_match(np.frombuffer("".join(part).encode(), np.uint8), np.cumsum([0, *map(len, part)]))
+            got += [a.rules[k].text if k >= 0 else None for k in found]
+        assert got == want
+
+
+def test_filter_urls_empty_table_and_very_long_urls(spark):
+    rules = [site_rule("org/", "allow"), site_rule("org/b/", "block"), site_rule("com/de/", "block")]
+    n = 3_000_000
+    rows = [(1, "http://x.org/" + "y" * n), (2, "http://" + "y" * n + ".org/b/z"), (3, "http://" + "a." * (n // 2) + "com/de/"), (4, "http://" + "z" * n), (5, "http://x.org/b/" + "/b" * (n // 2))]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.monotonic()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in filter_urls(frame, rules).select("page_id", "rule", "verdict").collect()) == [
+        (1, "org/", "allow"), (2, "org/b/", "block"), (3, "com/de/", "block"), (4, None, "allow"), (5, "org/b/", "block"),
+    ]
+    assert time.monotonic() - began < 60
+    assert filter_urls(frame.limit(0), rules).collect() == []
+
+
 def test_filter_urls_edges(spark):
     rules = [site_rule("org/", "allow"), site_rule("example.org/es/", "block")]
     rows = [(1, None, "x"), (2, "", "x"), (3, "no scheme.org/", "x"), (4, "http://Www.Example.ORG/es/a?b", "x"), (5, "http://example.org", "x"), (6, "http://a.com/x.org/", "x"), (7, "HTTP://org/#f", "x"), (8, "http://xorg/\n", "x"), (None, "a://b.org/y", "x")]
