@@ -27,7 +27,7 @@ def has_tag(nodes: DataFrame, tag: str) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key; rows with a null in the key stay as they are."""
+    """The first row of each key; rows with a null in the key stay as they are. Each task keeps one row a key before the shuffle (a window group limit), so a key with very many rows is no task of its own."""
     whole = rows.filter(F.expr(" and ".join(f"{k} is not null" for k in keys)))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     first = whole.withColumn("_place", place).filter("_place = 1").drop("_place")
@@ -164,14 +164,31 @@ def entity_json(nodes: DataFrame) -> DataFrame:
     return nodes.select("kgraph_id", "id", F.to_json(fields).alias("json"))
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, full: bool = True) -> DataFrame:
-    """One JSON text a graph: compact (counts only) or full (with its nodes and edges, in the order of their ids)."""
+#: Nodes and edges of the largest graph that is one JSON text.
+MOST = 100_000
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, full: bool = True, most: int = MOST) -> DataFrame:
+    """One JSON text a graph: compact (counts only) or full (with its nodes and edges, in the order of their ids).
+
+    Graphs with more than ``most`` nodes and edges have their compact form in both; ``graph_lines`` has graphs of any size. They are left out before anything is gathered.
+    """
     counts = graph_counts(nodes, edges)
+    compact = F.to_json(F.struct("kgraph_id", "node_count", "edge_count"))
     if not full:
-        return counts.select("kgraph_id", F.to_json(F.struct("kgraph_id", "node_count", "edge_count")).alias("json"))
-    n = nodes.groupBy("kgraph_id").agg(F.sort_array(F.collect_list(F.struct("id", "type", "name"))).alias("nodes"))
-    e = edges.groupBy("kgraph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "type"))).alias("edges"))
-    return counts.join(n, "kgraph_id", "left").join(e, "kgraph_id", "left").select("kgraph_id", F.to_json(F.struct("kgraph_id", "node_count", "edge_count", "nodes", "edges")).alias("json"))
+        return counts.select("kgraph_id", compact.alias("json"))
+    small = counts.filter(F.col("node_count") + F.col("edge_count") <= most).select("kgraph_id")
+    n = nodes.join(small, "kgraph_id", "left_semi").groupBy("kgraph_id").agg(F.sort_array(F.collect_list(F.struct("id", "type", "name"))).alias("nodes"))
+    e = edges.join(small, "kgraph_id", "left_semi").groupBy("kgraph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "type"))).alias("edges"))
+    whole = F.to_json(F.struct("kgraph_id", "node_count", "edge_count", "nodes", "edges"))
+    return counts.join(n, "kgraph_id", "left").join(e, "kgraph_id", "left").select("kgraph_id", whole.alias("json"))
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kgraph_id, part, id, json): a line for each graph (its counts, id null), node and edge. Nodes and edges are not shuffled, so a graph may have any size; sort by graph, part and id to write it as JSON lines."""
+    line = lambda rows, part, key, *fields: rows.select("kgraph_id", F.lit(part).alias("part"), key.alias("id"), F.to_json(F.struct(*fields)).alias("json"))
+    head = line(graph_counts(nodes, edges), "graph", F.lit(None).cast("long"), "kgraph_id", "node_count", "edge_count")
+    return head.unionByName(line(nodes, "node", F.col("id"), "id", "type", "name")).unionByName(line(edges, "edge", F.col("id"), "src", "dst", "type"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> None:

@@ -18,8 +18,14 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, query: list[str], n_docs: int, mean_size: float, top: int, skip: int = 0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best texts for some terms: (id, score), ties by id. The index is filtered before anything is joined."""
+def corpus_size(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
+    """How many texts there are and how many terms they have in the mean, as scalar subqueries that run with the query they are used in."""
+    totals = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("mean"))
+    return totals.select("n").scalar(), totals.select("mean").scalar()
+
+
+def bm25(index: DataFrame, query: list[str], n_docs: int | Column, mean_size: float | Column, top: int, skip: int = 0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The best texts for some terms: (id, score), ties by id. The index is filtered before anything is joined. Both numbers may be scalar subqueries (``corpus_size``)."""
     held = index.filter(F.col("term").isin(*[q.lower() for q in query]))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))

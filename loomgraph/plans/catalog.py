@@ -459,8 +459,7 @@ def inverted_index(spark, d):
     select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))), 6) as score from i join f using (term) cross join g group by id order by score desc, id limit 10""")
 def bm25_topk(spark, d):
     docs = table(spark, d, "documents")
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(T.tokens(F.col("text"))))).first()
-    return T.bm25(T.inverted_index(docs, "doc_id", "text"), ["ation", "the", "loser"], n, mean, 10).select("id", F.round("score", 6).alias("score"))
+    return T.bm25(T.inverted_index(docs, "doc_id", "text"), ["ation", "the", "loser"], *T.corpus_size(docs, "text"), 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as p from benchmark), w as (select doc_id as id, {TOKENS_SQL} as t from documents)

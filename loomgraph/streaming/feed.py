@@ -12,8 +12,13 @@ from loomgraph.operators.graph import first_per_key
 
 
 def changes(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
-    """ADD, DELETE and UPDATE events between two versions of a table: (kgraph_id, kind, oper, entity_id)."""
-    old, new = (df.select("kgraph_id", "id", F.xxhash64(*[F.to_json(F.col(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]).alias(h)) for df, h in ((before, "_old"), (after, "_new")))
+    """ADD, DELETE and UPDATE events between two versions of a table: (kgraph_id, kind, oper, entity_id).
+
+    Rows are told apart by a hash of their JSON form, in which maps have their entries in the order of the keys and a null is no value: maps in another order are equal, and a
+    value that moves from one column to another is an update. Null ids meet nothing: such rows are added and deleted.
+    """
+    part = lambda c, t: (F.array_sort(F.map_entries(c)) if t.startswith("map") else F.col(c)).alias(c)
+    old, new = (df.select("kgraph_id", "id", F.xxhash64(F.to_json(F.struct(*[part(c, df.schema[c].dataType.simpleString()) for c in sorted(df.columns)]))).alias(h)) for df, h in ((before, "_old"), (after, "_new")))
     both = old.join(new, ["kgraph_id", "id"], "full").filter("_old is null or _new is null or _old != _new")
     oper = F.when(F.col("_old").isNull(), "ADD").when(F.col("_new").isNull(), "DELETE").otherwise("UPDATE")
     return both.select("kgraph_id", F.lit(kind).alias("kind"), oper.alias("oper"), F.col("id").alias("entity_id"))

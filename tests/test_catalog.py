@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import assembled, catalog, files, lookups, records, retrieval, sought, stores, texts  # noqa: F401
+from loomgraph.plans import assembled, catalog, files, forms, lookups, records, retrieval, sought, stores, texts  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 #: Queries whose nodes and edges must not depend on which keys a table has; also on a larger one.

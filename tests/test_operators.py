@@ -1,3 +1,6 @@
+import collections
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,25 @@ def test_graph_counts_and_removal(nodes, edges):
     assert '"_h"' not in G.entity_json(nodes).first()["json"] and '"edges"' in G.graph_json(nodes, edges).first()["json"]
 
 
+def test_graph_forms(spark, nodes, edges):
+    whole = json.loads(G.graph_json(nodes, edges, most=13).first()["json"])
+    assert [n["id"] for n in whole["nodes"]] == [0, 1, 2, 3, 4, 5] and len(whole["edges"]) == 7
+    two = nodes.unionByName(nodes.filter("id < 2").withColumn("kgraph_id", F.lit(2).cast("long")))
+    got = {r["kgraph_id"]: json.loads(r["json"]) for r in G.graph_json(two, edges, most=12).collect()}
+    assert got == {1: {"kgraph_id": 1, "node_count": 6, "edge_count": 7}, 2: {"kgraph_id": 2, "node_count": 2, "edge_count": 0, "nodes": [{"id": 0, "type": "concept", "name": "a"}, {"id": 1, "type": "concept", "name": "b"}]}}
+    lines = G.graph_lines(two, edges.unionByName(edges)).collect()
+    assert collections.Counter((r["kgraph_id"], r["part"]) for r in lines) == {(1, "graph"): 1, (2, "graph"): 1, (1, "node"): 6, (2, "node"): 2, (1, "edge"): 14}
+    assert json.loads(next(r["json"] for r in lines if r["part"] == "edge" and r["id"] == 2)) == {"src": 1, "dst": 1, "type": "loop"}
+    for rows in (G.graph_json(nodes.limit(0), edges.limit(0)), G.graph_lines(nodes.limit(0), edges.limit(0))):
+        assert rows.count() == 0
+
+
+def test_firsts_of_hot_keys_are_limited_before_the_shuffle(spark, nodes):
+    plan = G.first_per_key(nodes, ["kgraph_id", "type"], "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and ", Partial" in plan
+    assert [r["id"] for r in G.first_per_key(nodes.unionByName(nodes), ["kgraph_id", "type"], "seq").collect()] == [0]
+
+
 def test_edges_need_types(edges):
     assert G.valid_edges(edges).count() == 7
     with pytest.raises(Exception, match="an edge needs"):
@@ -129,6 +151,9 @@ def test_search(spark):
     index = T.inverted_index(docs, "id", "text")
     top = T.bm25(index, ["RED"], 3, 7 / 3, 5).collect()
     assert [r["id"] for r in top] == [1, 2]
+    again = T.bm25(index, ["RED"], *T.corpus_size(docs, "text"), 5).collect()
+    assert [(r["id"], r["score"]) for r in again] == [(r["id"], pytest.approx(r["score"])) for r in top]
+    assert T.bm25(T.inverted_index(docs.limit(0), "id", "text"), ["RED"], *T.corpus_size(docs.limit(0), "text"), 5).count() == 0
     phrases = spark.createDataFrame([(7, "Red Dog")], "k long, p string")
     assert [tuple(r) for r in A.mentions(docs, "id", "text", phrases, "k", "p").collect()] == [(2, 7, 1)]
     texts = spark.createDataFrame([(1, "a b c d x y"), (2, "z A b, c d e f! a b c d e f"), (3, None), (4, "f f f")], "id long, text string")
@@ -177,6 +202,11 @@ def test_feed(spark, nodes, tmp_path):
     after = nodes.filter("id != 0").withColumn("name", F.when(F.col("id") == 1, "B").otherwise(F.col("name")))
     events = feed.changes(nodes, after, "knode")
     assert {(r["oper"], r["entity_id"]) for r in events.collect()} == {("DELETE", 0), ("UPDATE", 1)}
+    assert feed.changes(nodes.limit(0), nodes.limit(0), "knode").count() == 0
+    turned = nodes.withColumn("props", F.map_from_entries(F.reverse(F.map_entries("props"))))
+    assert feed.changes(nodes, turned, "knode").count() == 0
+    moved = feed.changes(nodes.filter("id = 5").withColumn("name", F.lit("f")).withColumn("uri", F.lit(None)), nodes.filter("id = 5").withColumn("name", F.lit(None)).withColumn("uri", F.lit("f")), "knode")
+    assert [tuple(r) for r in moved.collect()] == [(1, "knode", "UPDATE", 5)]
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     feed.publish(stream, str(tmp_path / "out"), str(tmp_path / "c1"), "knode").awaitTermination()
