@@ -77,3 +77,10 @@ def test_stages_on_odd_tables(spark, odd_docs):
             assert by.keys() == {1, 3, 4, 5, 6, 8, 9, 10, 12, 13, None} and by[1] == 1
         if name == "mixing":
             assert by.keys() == {*range(1, 14), None}
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = saved(stage(spark, docs, SF), "none")
+        assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)

@@ -17,7 +17,7 @@ from loomgraph.llm.brown import brown_scores
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.packing import ChunkEncoder, pack
 from loomgraph.llm.token_counts import Counter, sentencepiece_vocabulary, token_counts
-from loomgraph.llm.toxicity import is_held_out, toxicity
+from loomgraph.llm.toxicity import RANK, Machine, is_held_out, toxicity
 from loomgraph.llm.url_filter import Automaton, Rule, filter_urls, site_rule
 
 from .conftest import words
@@ -136,6 +136,11 @@ def test_token_count_ties_and_unknowns():
     assert c.texts(pa.array(["aa", "ab", "", "zz a", None], pa.large_string()).fill_null(""))[0].tolist() == [2, 3, 0, 4, 0]
 
 
+def test_token_counts_of_an_empty_table(spark, odd_docs):
+    got = token_counts(odd_docs.limit(0), public_tokenizers.path("piece_bpe_32k.model"))
+    assert {"doc_id", "n_tokens"} <= set(got.columns) and got.collect() == []
+
+
 def test_token_counts_query(spark, odd_docs):
     assert token_counts(odd_docs, public_tokenizers.path("piece_bpe_32k.model")).filter("doc_id in (3, 4)").agg({"n_tokens": "sum"}).first()[0] == 0
 
@@ -169,6 +174,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((got["predicted"] == 1) & ~bad).sum() <= 5
 
 
+def test_margin_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    machine = Machine(np.arange(0, 60, 2), rng.normal(0, 1, (31, RANK + 1)).astype(np.float32))
+    texts = [sorted(rng.choice(60, n, replace=False).tolist()) for n in (0, 1, 2, 9, 40)]
+    i, at = machine.lookup(np.array(sum(texts, []), np.int64), np.cumsum([0, *map(len, texts)]))
+    got = machine.margin(i, at)[0]
+    w = machine.weights.astype(float)
+    for t, margin in zip(texts, got, strict=True):
+        own = [x // 2 for x in t if x % 2 == 0]  # odd terms aren't among those of the machine
+        pairs = sum(w[a, 1:] @ w[b, 1:] for n, a in enumerate(own) for b in own[:n])
+        assert margin == pytest.approx(w[-1, 0] + sum(w[a, 0] for a in own) + pairs, abs=1e-3)
+
+
+def test_machine_learns_pairs_that_weights_alone_cannot():
+    """Texts with exactly one of an insult and a group mention are toxic, so neither term tells anything alone. With both among its terms the machine learns the pair; without factors it can't."""
+    rng = np.random.default_rng(5)
+    held = rng.random((4000, 12)) < 0.5
+    label = (held[:, 0] ^ held[:, 1]).astype(float)
+    i, at = np.nonzero(held)[1], np.concatenate([[0], np.cumsum(held.sum(axis=1))])
+
+    def right(factors: bool) -> float:
+        machine = Machine(np.arange(12))
+        machine.weights[:, 1:] *= 10 * factors
+        seen = np.full(machine.weights.shape, 1e-4, np.float32)
+        for turn in range(10):
+            for some in np.array_split(np.random.default_rng(turn).permutation(3000), 47):
+                own = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+                machine.step(np.concatenate([i[at[x] : at[x + 1]] for x in some]), own, label[some], seen, 0.1, 1e-5)
+        return float(((machine.scores(i[at[3000] :], at[3000:] - at[3000]) >= 0.5) == label[3000:]).mean())
+
+    assert right(True) > 0.95 and right(False) < 0.6
+
+
 def test_toxicity_and_mixing_edges(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 1), (12, 0, 0), (None, 1, 1), (13, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity(odd_docs, labels).count() == odd_docs.count()
