@@ -331,6 +331,17 @@ def test_filter_urls_edges(spark):
     ]
 
 
+def test_op2_says_what_the_contract_says(spark, tmp_path):
+    """Each rule's word, and the longest rule where several fit."""
+    from loomgraph.llm.queries import op2_url_filters
+
+    want = {"a.org/": ("org/", "allow"), "example.org/es/x": ("example.org/es/", "block"), "www.example.org/en/12": ("example.org/en/1", "block"), "example.org/en/2": ("org/", "allow"), "b.com/fr/": ("com/fr/", "allow"), "com/de/x": ("com/de/", "block"), "b.com/": (None, "allow")}
+    rows = [(i, f"http://{url}", None) for i, url in enumerate(want)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op2_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_fingerprints_keep_one_fraction(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 5, 30, 2000)]
