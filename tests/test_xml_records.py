@@ -90,3 +90,18 @@ def test_conditions_share_sets_of_concepts(spark):
     atoms = spark.createDataFrame([("C1", "s2"), ("C1", "s1"), ("C1", "s1"), ("C9", "x")], "cui string, scui string")
     assert sorted(map(repr, R.condition_concepts(trials, links, atoms).collect())) == sorted(map(repr, [
         R_row for R_row in spark.createDataFrame([("N1", ["C1", "C2"], ["s1", "s2"]), ("N2", ["C1"], ["s1", "s2"]), (None, ["C1"], ["s1", "s2"])], "nct_id string, umls array<string>, mesh array<string>").collect()]))
+
+
+def test_sets_of_concepts_hold_their_trials(spark):
+    """Sets beside their trials, whatever the parts; entries of a set aren't shuffled with its trials."""
+    from loomgraph.operators import trials as R
+
+    trials = spark.createDataFrame([(f"N{i}", f"i{i % 3}") for i in range(300)] + [(f"N{i}", "i1") for i in range(0, 300, 9)], "nct_id string, item string")
+    links = spark.createDataFrame([("i0", "C0", "umls", None), ("i1", "C1", "umls", None), ("i2", "C9", "umls", None)], "item string, ui string, kind string, score double")
+    atoms = spark.createDataFrame([("C0", "b"), ("C0", "a"), ("C1", "b"), ("C1", None), (None, "z")], "cui string, scui string")
+    mesh = {("C0",): ["a", "b"], ("C0", "C1"): ["a", "b"], ("C1",): ["b"], ("C9",): []}
+    want = {f"N{i}": (f"C{(0, 1, 9)[i % 3]}", "C1") if i % 9 == 0 else (f"C{(0, 1, 9)[i % 3]}",) for i in range(300)}
+    for parts in (1, 3):
+        rows = R.condition_sets(trials, links, atoms, parts).collect()
+        assert {tuple(r["umls"]): r["mesh"] for r in rows} == mesh and len(rows) > 4
+        assert sorted((t, tuple(r["umls"])) for r in rows for t in r["trials"]) == sorted(want.items())
