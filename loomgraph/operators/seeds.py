@@ -39,15 +39,20 @@ def update_nodes(nodes: DataFrame, updates: list[DataFrame]) -> DataFrame:
     return joined.withColumn("props", put_all(F.col("props"), F.transform_values("_new", value))).select(nodes.columns)
 
 
-def expand_with_updates(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One round of expanders that give nodes, edges and updates: all into the graph, and the changes of the nodes they started from, in the order of ``names``."""
+def grown(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One round of expanders: the graph with their nodes and edges, and the changes that they make to the nodes they started from, which aren't applied yet."""
     from loomgraph.operators.expand import REGISTRY
 
     found = [REGISTRY[name](nodes, tables) for name in names]
     new = [reduce(DataFrame.unionByName, [f[i].select(have.columns) for f in found]) for i, have in enumerate((nodes, edges))]
-    grown = upsert_nodes(nodes, new[0].dropDuplicates(["kgraph_id", "id"]), "id")
-    changed = update_nodes(grown, [f[2] for f in found if len(f) > 2]) if any(len(f) > 2 for f in found) else grown
-    return changed, upsert_edges(edges, new[1].dropDuplicates(["kgraph_id", "id"]))
+    typed, untyped = new[1].filter("type is not null"), new[1].filter("type is null").dropDuplicates(["kgraph_id", "id"])  # equal ids are equal ends and types, so the upsert keeps one
+    return upsert_nodes(nodes, new[0].dropDuplicates(["kgraph_id", "id"]), "id"), upsert_edges(edges, typed.unionByName(untyped)), [f[2] for f in found if len(f) > 2]
+
+
+def expand_with_updates(nodes: DataFrame, edges: DataFrame, tables: Mapping[str, DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round of expanders that give nodes, edges and updates: all into the graph, and the changes of the nodes they started from, in the order of ``names``."""
+    more, joined, updates = grown(nodes, edges, tables, names)
+    return update_nodes(more, updates) if updates else more, joined
 
 
 def molecule_ids(nodes: DataFrame, prefix: str = "CHEMBL") -> DataFrame:
@@ -90,9 +95,13 @@ def drug_search(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[Data
     known = molecule_ids(nodes).select("kgraph_id", "id").distinct()
     asked = nodes.filter("name is not null").join(known, ["kgraph_id", "id"], "left_anti").select("kgraph_id", "id", F.lower("name").alias("asked"))
     named = tables["molecules"].select("molecule", "name", F.explode(F.array_distinct(F.transform(F.array_compact(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))), F.lower))).alias("asked"))
+    # a name that many nodes ask for has the same molecules for all: only edges are made for each pair
     rows = asked.join(named, "asked")
-    found, edges = facts(rows, F.lit("drug"), F.coalesce("name", "molecule"), _drug(F.col("molecule")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
-    changes = rows.groupBy("kgraph_id", "id").agg(F.min("molecule").alias("value")).select("kgraph_id", "id", F.lit("found").alias("key"), "value", F.lit("put").alias("how"), F.lit(0).cast("long").alias("seq"))
+    _, edges = facts(rows, F.lit("drug"), F.coalesce("name", "molecule"), _drug(F.col("molecule")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
+    once = named.join(asked.select("kgraph_id", "asked").distinct(), "asked").select("kgraph_id", F.lit(None).cast("long").alias("id"), "molecule", "name").distinct()
+    found, _ = facts(once, F.lit("drug"), F.coalesce("name", "molecule"), _drug(F.col("molecule")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
+    least = named.groupBy("asked").agg(F.min("molecule").alias("value"))
+    changes = asked.join(least, "asked").select("kgraph_id", "id", F.lit("found").alias("key"), "value", F.lit("put").alias("how"), F.lit(0).cast("long").alias("seq"))
     return found, edges, changes
 
 

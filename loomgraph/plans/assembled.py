@@ -57,7 +57,7 @@ def load_runs(spark, d):
 MOLECULES = "s as (select 'CHEMBL9' || s_suppkey as molecule, s_name as name, lower(p_name) as other from supplier left join part on p_partkey = s_suppkey)"
 
 
-def _drugs(spark, d):
+def _drugs(spark, d, make=S.expand_with_updates):
     part, supplier, items = (table(spark, d, t) for t in ("part", "supplier", "lineitem"))
     key = lambda prefix, c: both(prefix, F.col(c).cast("string"))
     nodes = part_nodes(spark, d).withColumn("synonyms", F.when(F.col("props")["_size"].cast("int") > 10, F.array(key("ns:CHEMBL", "id"), F.col("name"))).otherwise(F.array("name")))
@@ -70,7 +70,7 @@ def _drugs(spark, d):
     }
     from loomgraph.plans.catalog import item_edges
 
-    return S.expand_with_updates(nodes, item_edges(spark, d).limit(0), tables, ["drug_forms", "drug_actions", "drug_targets_of", "drug_search"])
+    return make(nodes, item_edges(spark, d).limit(0), tables, ["drug_forms", "drug_actions", "drug_targets_of", "drug_search"])
 
 
 @query(f"""with {MOLECULES}, m as (select id, string_agg(word, ',' order by seq, word) as mechanism from (select distinct l_partkey as id, l_orderkey * 10 + l_linenumber as seq, l_returnflag || ' ' || l_linestatus || ' agent' as word from lineitem join part on p_partkey = l_partkey where p_size > 10) a group by 1),
@@ -86,7 +86,7 @@ def seed_properties(spark, d):
     union all select distinct l_partkey, 'target/T' || l_suppkey, unnest([l_returnflag, 'target of']) from lineitem join part on p_partkey = l_partkey where p_size > 10
     union all select distinct p_partkey, 'molecule/' || molecule, 'is equivalent to' from part join s on other = lower(p_name) or lower(name) = lower(p_name) where p_size <= 10""")
 def seed_links(spark, d):
-    nodes, edges = _drugs(spark, d)
+    nodes, edges, _ = _drugs(spark, d, S.grown)  # links need no properties
     return edges.join(nodes.select(F.col("id").alias("dst"), "uri"), "dst").select(F.col("src").alias("id"), "uri", "type")
 
 

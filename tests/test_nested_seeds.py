@@ -89,3 +89,12 @@ def test_predications_in_a_graph(spark):
     assert sorted((uri[r["src"]], r["type"]) for r in e.collect() if not r["directed"]) == [("u1", "C1"), ("u1", "C2"), ("u2", "C2")]
     again = S.add_predications(n, e, articles, rows, concepts, ["no"], ["C7"])
     assert again[0].count() == n.count() and again[1].count() == e.count()
+
+
+def test_molecules_that_many_nodes_ask_for_are_made_once(spark):
+    nodes = spark.createDataFrame([node(i, "Asp") for i in range(20)] + [node(30, "none"), node(31, None)], NODES)
+    molecules = spark.createDataFrame([(f"CHEMBL{i}", "asp", ["ASP"]) for i in range(5)], "molecule string, name string, synonyms array<string>")
+    found, edges, changes = S.drug_search(nodes, {"molecules": molecules})
+    assert found.count() == 5 and edges.count() == 100 and {(r["id"], r["value"]) for r in changes.collect()} == {(i, "CHEMBL0") for i in range(20)}
+    more, joined, updates = S.grown(nodes, spark.createDataFrame([], EDGES), {"molecules": molecules}, ["drug_search"])
+    assert more.count() == 27 and joined.count() == 100 and len(updates) == 1
