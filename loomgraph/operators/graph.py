@@ -107,12 +107,35 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(count, "id", "left").select("id", zero(F.col("i")).alias("in_degree"), zero(F.col("o")).alias("out_degree"), zero(F.col("i") + F.col("o")).alias("degree"))
 
 
+#: Rows of a key that meet another one together, and how many tasks a key's rows are dealt to.
+BLOCK, SPREAD = 256, 8
+
+
+def pairs_of(rows: DataFrame, keys: list[str], order: list[str], held: list[str], parts: int | None = None) -> DataFrame:
+    """(keys, a, b) of all pairs of rows that share the keys, a being the later one by ``order`` (unique within a key, numbers from 0 if it is ``place``): structs of the columns ``held``.
+
+    m rows of a key have m * (m - 1) / 2 pairs by definition; what is shuffled and held is linear. Earlier rows come in blocks of at most BLOCK, later ones are dealt to SPREAD tasks a key, and the number of tasks is fixed:
+    pairs are many where rows are few, which the sizes of shuffles don't tell.
+    """
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    whole = rows.filter(F.expr(" and ".join(f"{k} is not null" for k in keys)))
+    if order != ["place"]:
+        whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    each = whole.select(*keys, "place", F.floor(F.col("place") / BLOCK).alias("_block"), F.struct(*held).alias("a"))
+    blocks = each.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("place", "a"))).alias("_all"))
+    blocks = blocks.select(*keys, F.col("_block").alias("_from"), F.transform("_all", lambda x: x["a"]).alias("_all"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_deal"))
+    on = [*keys, "_deal"]
+    dealt = each.withColumn("_deal", F.pmod(F.col("place"), F.lit(SPREAD)).cast("int"))
+    met = dealt.repartition(parts, *on).join(blocks.repartition(parts, *on).hint("shuffle_hash"), on).filter("_from <= _block")
+    earlier = F.when(F.col("_from") < F.col("_block"), F.col("_all")).otherwise(F.slice("_all", F.lit(1), (F.col("place") - F.col("_from") * BLOCK).cast("int")))
+    return met.select(*keys, "a", F.explode(earlier).alias("b"))
+
+
 def stitch(nodes: DataFrame) -> DataFrame:
-    """A ``resolve`` edge from each node to each earlier one of its graph that shares a synonym, for each such synonym: m nodes with one synonym have m * (m - 1) / 2 edges, by definition."""
-    each = nodes.select("kgraph_id", "id", "seq", F.explode(F.array_distinct("synonyms")).alias("value"))
-    a, b = each.alias("a"), each.alias("b")
-    on = (F.col("a.kgraph_id") == F.col("b.kgraph_id")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.seq") > F.col("b.seq"))
-    return a.join(b, on).select("a.kgraph_id", F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.lit("resolve").alias("type"), "a.value")
+    """A ``resolve`` edge from each node to each earlier one of its graph that shares a synonym, for each such synonym: m nodes with one synonym have m * (m - 1) / 2 edges, by definition. Nodes of the same ``seq`` have none."""
+    each = nodes.select("kgraph_id", "id", "seq", F.explode(F.array_distinct("synonyms")).alias("value")).filter("seq is not null")
+    met = pairs_of(each, ["kgraph_id", "value"], ["seq", "id"], ["id", "seq"]).filter("a.seq > b.seq")
+    return met.select("kgraph_id", F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.lit("resolve").alias("type"), "value")
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame, undirected_pattern: bool = False) -> DataFrame:

@@ -90,3 +90,16 @@ def test_a_graph_is_replaced_and_removed_alone(spark, stored):
     left = spark.table("loom_test_ends")
     assert {r["kgraph_id"] for r in left.select("kgraph_id").distinct().collect()} == {2, 3} and left.filter("kgraph_id = 3").count() == 2 * edges.filter("kgraph_id = 3").count()
     assert exchanges(B.stored_degrees(spark, "loom_test").hint("merge")) >= 0 and B.stored_degrees(spark, "loom_test").count() == 13
+
+
+def test_pairs_in_blocks_equal_all_pairs(spark):
+    """Keys with more rows than a block holds, nulls, equal orders."""
+    import itertools
+
+    rows = [(1, i, f"s{i % 2}", i // 2 if i < 500 else i) for i in range(1200)] + [(2, 5000, "s0", 1), (2, 5001, None, 2), (1, 5002, "s0", None)]
+    nodes = node_table(spark, [(g, i, f"u{i}", [s], seq) for g, i, s, seq in rows])
+    want = {(a[1], b[1], a[2]) for a, b in itertools.permutations(rows, 2) if a[0] == b[0] and a[2] is not None and a[2] == b[2] and a[3] is not None and b[3] is not None and a[3] > b[3]}
+    got = [(r["src"], r["dst"], r["value"]) for r in G.stitch(nodes).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # few bytes, many pairs: the tasks aren't put together
+    assert G.pairs_of(nodes.select("kgraph_id", "id", "seq").filter("seq is not null"), ["kgraph_id"], ["seq", "id"], ["id"], 6).rdd.getNumPartitions() == 6
