@@ -61,15 +61,12 @@ def _created(spark, d):
 
 @query(f"with {PARTS} select 'part/' || a.id as src, 'part/' || b.id as dst, value from n a join n b using (value) where a.id > b.id")
 def created_links(spark, d):
-    graph = _created(spark, d)
-    nodes = graph.read("nodes")
-    at = lambda end: nodes.select(F.col("id").alias(end), F.col("uri").alias(f"{end}_uri"))
-    return graph.read("edges").join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_uri").alias("src"), F.col("dst_uri").alias("dst"), "value")
+    return _created(spark, d).edges("uri").select(F.col("src_uri").alias("src"), F.col("dst_uri").alias("dst"), "value")
 
 
 @query(f"with {PARTS} select cast(1 as bigint) as kgraph_id, 'knode' as kind, 'ADD' as oper, count(*) as n from part union all select 1, 'kedge', 'ADD', count(*) from n a join n b using (value) where a.id > b.id")
 def created_events(spark, d):
-    return _created(spark, d).read("events").groupBy("kgraph_id", "kind", "oper").agg(F.countDistinct("seq").alias("n"))
+    return _created(spark, d).event_counts()
 
 
 def _by_nation(spark, d, keep=None):

@@ -103,3 +103,14 @@ def test_pairs_in_blocks_equal_all_pairs(spark):
     assert len(got) == len(want) and set(got) == want
     # few bytes, many pairs: the tasks aren't put together
     assert G.pairs_of(nodes.select("kgraph_id", "id", "seq").filter("seq is not null"), ["kgraph_id"], ["seq", "id"], ["id"], 6).rdd.getNumPartitions() == 6
+
+
+def test_links_are_not_stored_but_counted(spark, tmp_path):
+    graph = GrowingGraph(spark, str(tmp_path / "g"))
+    for batch in range(3):
+        graph.create_nodes(node_table(spark, [(1 + i % 2, i, f"u{i}", ["a", f"b{i % 3}"], 200 - i) for i in range(batch * 40, batch * 40 + 40)]), batch)
+    events = graph.read("events")
+    assert sorted(map(tuple, graph.event_counts().collect())) == sorted(map(tuple, events.groupBy("kgraph_id", "kind", "oper").count().collect()))
+    assert events.select("seq").distinct().count() == events.count() > 4000 and not (tmp_path / "g" / "edges").exists()
+    ends = {(r["src"], r["src_uri"]) for r in graph.edges("uri").collect()}
+    assert len(ends) > 100 and all(uri == f"u{i}" for i, uri in ends)
