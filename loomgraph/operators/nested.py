@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import strip_pipe
 from loomgraph.operators.predications import without_blacklisted
 from loomgraph.operators.records import KINDS, entry_parts
-from loomgraph.operators.rounds import stored
+from loomgraph.operators.rounds import parts_for, stored
 
 #: Parts of one kind that are nested in one record, at most.
 MOST = 1000
@@ -17,12 +17,14 @@ MOST = 1000
 def gathered(rows: DataFrame, keys: list[str], value: Column, name: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(keys, name: sorted array, ``n``) of each group of rows with at most ``most`` of them, and the rows of the others.
 
-    Groups are counted first, with sums before the shuffle, so a large group is never gathered; it has its count, a null array, and all its rows in the second table.
+    A group's rows are counted while they are gathered, and no more than ``most`` of them are held: a larger one has its count, a null array, and all its rows in the second table. Rows that are dealt by the keys already
+    are not shuffled again.
     """
-    count = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    marked = rows.join(count.filter(F.col("n") > most).select(*keys, F.lit(True).alias("_large")), keys, "left")
-    small = marked.filter("_large is null").groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
-    return count.join(small, keys, "left").select(*keys, name, "n"), marked.filter("_large").drop("_large")
+    group = Window.partitionBy(*keys)
+    held = F.when(F.row_number().over(group.orderBy(keys[0])) <= most, value)  # any of them: the array of a larger group is null
+    lists = rows.withColumn("_held", held).groupBy(*keys).agg(F.sort_array(F.collect_list("_held")).alias(name), F.count("*").alias("n"))
+    many = rows.withColumn("_n", F.count("*").over(group)).filter(F.col("_n") > most).drop("_n")
+    return lists.select(*keys, F.when(F.col("n") <= most, F.col(name)).alias(name), "n"), many
 
 
 def nested_entries(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +75,10 @@ def nested_predications(rows: DataFrame, sentences: DataFrame, pmids: DataFrame,
     ``rows`` are (pmid, predication, subject, subtype, predicate, object, objtype, sentence_id), ``sentences`` (sentence_id, number, sentence). Piped concepts count by their first part; predications with a type or concept of a black list
     are left out, as are rows without a sentence; a sentence is evidence once for a predication, in the order of its number.
     """
-    own = rows.join(pmids.select("pmid").distinct(), "pmid", "left_semi").withColumns({c: strip_pipe(F.col(c).cast("string")) for c in ("subject", "object")})
-    said = without_blacklisted(own, semtypes, concepts).join(sentences, "sentence_id")
+    parts = parts_for(rows)  # each step deals its rows to so many, the joins' other sides with them
+    own = rows.repartition(parts, "pmid").join(pmids.select("pmid").distinct(), "pmid", "left_semi").withColumns({c: strip_pipe(F.col(c).cast("string")) for c in ("subject", "object")})
+    said = without_blacklisted(own, semtypes, concepts).repartition(parts, "sentence_id").join(sentences, "sentence_id")
     keys = ["pmid", "predication", "subject", "subtype", "predicate", "object", "objtype"]
-    found, many = gathered(said.select(*keys, "number", "sentence_id", "sentence").distinct().fillna("", ["subtype", "objtype"]), keys, F.struct("number", "sentence_id", "sentence"), "evidence", most)
+    said = said.select(*keys, "number", "sentence_id", "sentence").fillna("", ["subtype", "objtype"]).repartition(parts, *keys)  # distinct, counted and gathered where they are
+    found, many = gathered(said.distinct(), keys, F.struct("number", "sentence_id", "sentence"), "evidence", most)
     return found.drop("n"), many

@@ -30,6 +30,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that one task sorts or groups at a time, about.
+TASK_ROWS = 500_000
+
+
+def parts_for(rows: DataFrame, copies: int = 1) -> int:
+    """How many parts the rows (``copies`` of each) are dealt to, so that what one task holds doesn't grow with them; at least the session's number. Rows are counted, which a scan does without reading columns."""
+    least = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return max(least, -(-rows.count() * copies // TASK_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder, so lineage stays short and lost executors cost nothing."""
     shared_dir(df.sparkSession)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomgraph.model import EDGES, NODES
 from loomgraph.operators import expand as E
 from loomgraph.operators import nested as N
@@ -98,3 +100,14 @@ def test_molecules_that_many_nodes_ask_for_are_made_once(spark):
     assert found.count() == 5 and edges.count() == 100 and {(r["id"], r["value"]) for r in changes.collect()} == {(i, "CHEMBL0") for i in range(20)}
     more, joined, updates = S.grown(nodes, spark.createDataFrame([], EDGES), {"molecules": molecules}, ["drug_search"])
     assert more.count() == 27 and joined.count() == 100 and len(updates) == 1
+
+
+def test_gathered_counts_and_holds_in_one_pass(spark):
+    """Groups are neither counted apart nor joined with their counts, a null key is a group, and dealt rows are not shuffled again."""
+    rows = spark.createDataFrame([(k, v) for k in (1, 2, None) for v in range(k or 2)] + [(3, v) for v in range(50)], "k long, v long").repartition(7, "k")
+    lists, many = N.gathered(rows, ["k"], F.struct("v"), "vs", most=2)
+    got = {r["k"]: (r["n"], r["vs"] and [x["v"] for x in r["vs"]]) for r in lists.collect()}
+    assert got == {1: (1, [0]), 2: (2, [0, 1]), None: (2, [0, 1]), 3: (50, None)}
+    assert sorted(map(tuple, many.collect())) == [(3, v) for v in range(50)]
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in (lists, many)]
+    assert all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans)
