@@ -12,6 +12,7 @@ from loomgraph.operators import ontology as O
 from loomgraph.operators import predications as P
 from loomgraph.operators import search as T
 from loomgraph.operators import trials as R
+from loomgraph.operators.rounds import parts_for
 from loomgraph.plans.catalog import item_edges, part_nodes, predication_rows, query, supplier_nodes, table
 
 
@@ -192,7 +193,8 @@ def trial_headings(spark, d):
     trial = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("nct_id"), F.col("l_partkey").alias("unii"))
     near = table(spark, d, "supplier").select(both("Brand#", F.col("s_suppkey").cast("string")).alias("cui"), both("Brand#", F.col("s_nationkey").cast("string")).alias("other"))
     mesh = part.filter("p_size > 40").select(F.col("p_type").alias("ui"), F.col("p_brand").alias("cui"), F.array(F.col("p_partkey")).alias("regno"))
-    return R.intervention_concepts(trial.distinct(), part.select(F.col("p_partkey").alias("unii"), F.col("p_brand").alias("cui")), near, mesh)
+    parts = parts_for(trial)
+    return R.intervention_concepts(trial.repartition(parts, "nct_id", "unii").distinct(), part.select(F.col("p_partkey").alias("unii"), F.col("p_brand").alias("cui")), near, mesh, parts)
 
 
 @query("select n_nationkey as child, n_regionkey + 100 as parent from nation")
