@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import strip_pipe
+from loomgraph.operators.rounds import parts_for
 
 TRIPLE = ["subject", "predicate", "object"]
 
@@ -66,13 +67,25 @@ def summary(rows: DataFrame, concept=None) -> DataFrame:
     sides = lambda df, *more: df.select(F.explode(F.array("subject", "object")).alias("concept"), *more)
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("subject", "object")})
     each = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"))
-    values = F.array(each("predicate", "predicate"), each("concept", "object"), each("semtype", "subtype"), each("semtype", "objtype"))
-    triples = sides(predication_count(rows), F.col("object"), "predicate", "subtype", "objtype")
+    kinds = F.array(each("predicate", "predicate"), each("semtype", "subtype"), each("semtype", "objtype"))
+    # nearly every key is new to a task, so rows are dealt by their keys before they are grouped: a task holds its part, not what it has read
+    parts = parts_for(rows)
+    whole = predication_count(rows.repartition(parts, "subject", "object"))  # a subject's objects are counted there, too
+    triples = sides(whole, "predicate", "subtype", "objtype")
     pmids = sides(rows, F.col("pmid").try_cast("long").alias("pmid"))
+    named = whole.filter("object like 'C%'")
+    others, own = named.filter("not (subject <=> object)"), named
     if concept is not None:
         triples, pmids = triples.filter(F.col("concept") == concept), pmids.filter(F.col("concept") == concept)
-    counts = triples.select("concept", F.explode(values).alias("v")).filter("v.kind != 'concept' or v.value like 'C%'").groupBy("concept", "v.kind", "v.value").agg(F.count("*").alias("n"))
-    return counts.unionByName(pmids.groupBy("concept").agg(F.countDistinct("pmid").alias("n")).select("concept", F.lit("pmids").alias("kind"), F.lit("distinct").alias("value"), "n"))
+        others, own = others.filter(F.col("subject") == concept), own.filter(F.col("object") == concept)
+    said = triples.repartition(2 * parts, "concept", "predicate").groupBy("concept", "predicate", "subtype", "objtype").agg(F.count("*").alias("n"))
+    counts = said.select("concept", "n", F.explode(kinds).alias("v")).select("concept", "v.kind", "v.value", "n").repartition(parts, "concept", "kind", "value").groupBy("concept", "kind", "value").agg(F.sum("n").alias("n"))
+    others = others.groupBy("subject", "object").agg(F.count("*").alias("n")).select(F.col("subject").alias("concept"), F.col("object").alias("value"), "n")
+    own = own.groupBy("object").agg(F.sum(F.when(F.expr("subject <=> object"), 2).otherwise(1)).alias("n"))  # at its own side an object is a value, too
+    objects = others.unionByName(own.select(F.col("object").alias("concept"), F.col("object").alias("value"), "n"))
+    articles = pmids.repartition(2 * parts, "concept", "pmid").distinct().groupBy("concept").agg(F.count("pmid").alias("n"))
+    told = lambda df, kind, value: df.select("concept", F.lit(kind).alias("kind"), value.alias("value"), "n")
+    return counts.unionByName(told(objects, "concept", F.col("value"))).unionByName(told(articles, "pmids", F.lit("distinct")))
 
 
 def related(rows: DataFrame, names: DataFrame, key: str, name: str, top: int, by_key: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import ontology as O
 from loomgraph.operators import predications as P
 from loomgraph.operators import search as T
+from loomgraph.operators import rounds
 from loomgraph.operators import trials as R
 from loomgraph.streaming import feed
 
@@ -228,3 +229,16 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     once.processAllAvailable()
     once.stop()
     assert spark.table("once").count() <= rows.count()
+
+
+def test_tasks_hold_no_more_for_more_rows(spark, monkeypatch):
+    """Summaries and trials deal their rows by number: more rows are more parts, with the same result."""
+    rows = spark.createDataFrame([(str(i % 5), "t", "p" + str(i % 2), f"C{i % 3}", "u", str(i % 7)) for i in range(200)], "subject string, subtype string, predicate string, object string, objtype string, pmid string")
+    trial, one = rows.select("pmid", "subject").toDF("nct_id", "unii"), lambda a, b, c: spark.createDataFrame(b, f"{a} string, {c} string")
+    umls, near, mesh = one("unii", [("1", "c1"), ("2", "c2")], "cui"), one("cui", [("c1", "c3")], "other"), spark.createDataFrame([("M1", "c3", ["4"])], "ui string, cui string, regno array<string>")
+    ask = lambda: (P.summary(rows), R.intervention_concepts(trial, umls, near, mesh))
+    want = [sorted(map(tuple, df.collect())) for df in ask()]
+    monkeypatch.setattr(rounds, "TASK_ROWS", 5)
+    found = ask()
+    assert [sorted(map(tuple, df.collect())) for df in found] == want and all(want)
+    assert ", 40)" in found[1]._jdf.queryExecution().executedPlan().toString() and ", 80)" in found[0]._jdf.queryExecution().executedPlan().toString()
