@@ -30,21 +30,32 @@ def record_graph(records: DataFrame, actions: DataFrame) -> tuple[DataFrame, Dat
     is known and from the others to their concept, ``mapped`` and ``indexed`` from supplements to descriptors, ``substance`` from actions. One edge for each pair and type, but for relations
     of several scopes. A ui without a name of its own (only referred to) has the name that the reference gives, or null. Null arrays count as empty.
     """
-    concepts = records.select(F.col("ui").alias("record"), F.explode("concepts").alias("c"))
-    terms = concepts.select(F.col("c.ui").alias("concept"), F.explode("c.terms").alias("t"))
-    joined = terms.groupBy("concept", F.col("t.ui").alias("term")).agg(F.max("t.preferred").alias("preferred"))
-    relations = concepts.select(F.col("c.ui").alias("concept"), F.explode("c.relations").alias("r"))
-    substances = actions.select("ui", F.explode("substances").alias("s"))
-    refers = {type_: records.select("ui", F.explode(type_).alias("d")) for type_ in ("mapped", "indexed")}
+    return record_nodes(records, actions), record_edges(records, actions)
 
+
+def record_nodes(records: DataFrame, actions: DataFrame) -> DataFrame:
+    """The nodes of ``record_graph``; whether terms and concepts are preferred, names of relations and qualifiers may be missing."""
+    concepts = records.select(F.explode("concepts").alias("c"))
+    terms, relations = concepts.select(F.explode("c.terms").alias("t")), concepts.select(F.explode("c.relations").alias("r"))
+    none, refers = F.lit(None).cast("string"), [records.select(F.explode(type_).alias("d")) for type_ in ("mapped", "indexed")]
     nodes = [
-        records.select("ui", "name", "kind"), concepts.select("c.ui", "c.name", F.lit("Concept").alias("kind")), terms.select("t.ui", "t.name", F.lit("Term").alias("kind")),
-        relations.select("r.ui", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind")), actions.select("ui", "name", F.lit(None).cast("string").alias("kind")),
-        substances.select("s.ui", "s.name", F.lit(None).cast("string").alias("kind")), *[d.select("d.ui", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind")) for d in refers.values()],
+        records.select("ui", "name", "kind"), concepts.select("c.ui", "c.name", F.lit("Concept").alias("kind")), terms.select("t.ui", "t.name", F.lit("Term").alias("kind")), relations.select("r.ui", none.alias("name"), none.alias("kind")),
+        actions.select("ui", "name", none.alias("kind")), actions.select(F.explode("substances").alias("s")).select("s.ui", "s.name", none.alias("kind")), *[d.select("d.ui", none.alias("name"), none.alias("kind")) for d in refers],
     ]
     place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")), F.lit(0))
     rank = F.when(place > 0, place).otherwise(F.lit(len(KINDS) + 1))
     best = reduce(DataFrame.unionByName, nodes).filter("ui is not null").groupBy("ui").agg(F.min(F.struct(rank.alias("rank"), F.col("name").isNull().alias("unnamed"), "name", "kind")).alias("b"), F.min("name").alias("any"))
+    return best.select("ui", F.coalesce("b.name", "any").alias("name"), "b.kind")
+
+
+def record_edges(records: DataFrame, actions: DataFrame) -> DataFrame:
+    """The edges of ``record_graph``; names and kinds may be missing, but for the names of relations."""
+    concepts = records.select(F.col("ui").alias("record"), F.explode("concepts").alias("c"))
+    terms = concepts.select(F.col("c.ui").alias("concept"), F.explode("c.terms").alias("t"))
+    joined = terms.groupBy("concept", F.col("t.ui").alias("term")).agg(F.max("t.preferred").alias("preferred"))
+    relations = concepts.select(F.col("c.ui").alias("concept"), F.explode("c.relations").alias("r"))
+    substances = actions.select("ui", F.explode("substances").alias("s"))
+    refers = {type_: records.select("ui", F.explode(type_).alias("d")) for type_ in ("mapped", "indexed")}
     known = F.col("preferred").isNotNull()
     edges = [
         concepts.select(*_edge(F.col("record"), F.col("c.ui"), "concept", F.col("c.preferred"))),
@@ -55,7 +66,7 @@ def record_graph(records: DataFrame, actions: DataFrame) -> tuple[DataFrame, Dat
     ]
     each = reduce(DataFrame.unionByName, edges).filter("src is not null and dst is not null")
     one = each.groupBy("src", "dst", "type", "scope").agg(F.max("preferred").alias("preferred"), F.max("qualifiers").alias("qualifiers"))
-    return best.select("ui", F.coalesce("b.name", "any").alias("name"), "b.kind"), one.select("src", "dst", "type", "preferred", "scope", "qualifiers")
+    return one.select("src", "dst", "type", "preferred", "scope", "qualifiers")
 
 
 def entry_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def record_edges(spark, d):
     return M.record_graph(*_records(spark, d))[1].withColumn("qualifiers", F.array_join("qualifiers", ","))
 
 
-def _in_xml(spark, d):
-    """The records as files of all kinds in one folder, and those of actions, read again."""
+def _in_xml(spark, d, columns):
+    """The records as files of all kinds in one folder, and those of actions, read again; of the records some columns."""
     element = lambda tag, c: both(f"<{tag}>", c, f"</{tag}>")
     yes = lambda name, c: F.when(c, f' {name}="Y"').when(~c, f' {name}="N"').otherwise("")
     every = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ""), F.lit(""))
@@ -75,17 +75,17 @@ def _in_xml(spark, d):
     substance = lambda s: element("Substance", both(element("RecordUI", s["ui"]), element("RecordName", element("String", s["name"]))))
     action = both(element("DescriptorReferredTo", both(element("DescriptorUI", F.col("ui")), element("DescriptorName", element("String", F.col("name"))))), element("PharmacologicalActionSubstanceList", every("substances", substance)))
     actions.select(element("PharmacologicalAction", action).alias("value")).write.text(f"{folder}/actions")
-    return stored(N.heading_records(spark, f"{folder}/records")), N.action_records(spark, f"{folder}/actions")  # the graph reads records for each kind of edge
+    return stored(N.heading_records(spark, f"{folder}/records", columns)), N.action_records(spark, f"{folder}/actions")  # the graph reads records for each kind of edge
 
 
 @query(RECORDS + "select ui, name, kind from n")
 def xml_record_nodes(spark, d):
-    return M.record_graph(*_in_xml(spark, d))[0]
+    return M.record_nodes(*_in_xml(spark, d, N.NODES))
 
 
 @query(RECORDS + "select * from e")
 def xml_record_edges(spark, d):
-    return M.record_graph(*_in_xml(spark, d))[1].withColumn("qualifiers", F.array_join("qualifiers", ","))
+    return M.record_edges(*_in_xml(spark, d, N.EDGES)).withColumn("qualifiers", F.array_join("qualifiers", ","))
 
 
 @query("""select o_orderkey as pmid, o_orderpriority as title,

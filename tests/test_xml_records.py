@@ -105,3 +105,17 @@ def test_sets_of_concepts_hold_their_trials(spark):
         rows = R.condition_sets(trials, links, atoms, parts).collect()
         assert {tuple(r["umls"]): r["mesh"] for r in rows} == mesh and len(rows) > 4
         assert sorted((t, tuple(r["umls"])) for r in rows for t in r["trials"]) == sorted(want.items())
+
+
+def test_only_the_columns_that_are_asked_for_are_parsed(spark, tmp_path):
+    """Nodes and edges from the columns that they are made of are those from whole records; each text is searched once."""
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.xml").write_text(MIXED)
+    (tmp_path / "a.xml").write_text(ACTIONS)
+    path, actions = str(tmp_path / "r"), N.action_records(spark, str(tmp_path / "a.xml"))
+    whole, some, rows = N.heading_records(spark, path), {c: N.heading_records(spark, path, c) for c in (N.NODES, N.EDGES)}, lambda df: sorted(map(repr, df.collect()))
+    assert rows(M.record_nodes(some[N.NODES], actions)) == rows(M.record_graph(whole, actions)[0]) and rows(M.record_edges(some[N.EDGES], actions)) == rows(M.record_graph(whole, actions)[1])
+    assert rows(N.heading_records(spark, path, ("kind", "ui", "bad"))) == rows(whole.select("ui", "kind", "bad")) and some[N.EDGES].count() == 4
+    for df in some.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == 1 and "ScopeNote" not in df._jdf.queryExecution().analyzed().toString() and plan.count("from_xml") == 1
