@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import put_all, visible
+from loomgraph.operators.rounds import parts_for
 
 
 def nodes_where(nodes: DataFrame, kgraph_id: int | None = None, where: Column | None = None) -> DataFrame:
@@ -53,23 +54,28 @@ def merge_edges(edges: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Keyed upsert: new edges put their properties, in the order of ``seq``, on top of those of an edge that is there, and make one where there is none.
 
     That edge is the one of the same ends, direction and type with the same value of ``key``; without one, or for a new edge without the key, the first edge (by seq) that joins the ends
-    by the type in either direction. New edges that meet none become one for each type and ends, with the direction of the first. Properties are grouped one by one, so an
-    edge with very many updates is not gathered.
+    by the type in either direction. New edges that meet none become one for each type and ends, with the direction of the first. Old and new edges are dealt by type and ends, by
+    their number, in one shuffle in which all of that is found; properties are grouped one by one, so an edge with very many updates is not gathered.
     """
     ends = [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
     on = ["kgraph_id", "_a", "_b", "type"]
-    own = edges.select("*", *ends)
-    by_key = own.select("kgraph_id", "src", "dst", "type", F.col("props")[key].alias("_key"), "id", "seq").filter("_key is not null")
-    by_key = by_key.groupBy("kgraph_id", "src", "dst", "type", "_key").agg(F.min_by("id", F.struct("seq", "id")).alias("_same"))
-    by_ends = own.groupBy(*on).agg(F.min_by("id", F.struct("seq", "id")).alias("_first"))
-    rows = new.select("*", *ends, F.col("props")[key].alias("_key")).join(by_key, ["kgraph_id", "src", "dst", "type", "_key"], "left").join(by_ends, on, "left")
-    made = first_per_key(rows.filter("_first is null"), on, "seq", "id").select(*on, F.col("id").alias("_made"), *[F.col(c).alias(f"_{c}") for c in ("src", "dst", "directed", "seq")])
-    each = rows.join(made.select(*on, "_made"), on, "left").select("kgraph_id", F.coalesce("_same", "_first", "_made").alias("id"), F.explode("props").alias("_k", "_v"), "seq", F.col("id").alias("_id"))
-    last = each.groupBy("kgraph_id", "id", "_k").agg(F.max_by(F.struct("_v"), F.struct("seq", "_id")).alias("_v"))
-    props = last.groupBy("kgraph_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v._v"))).alias("_props"))
-    fresh = made.select("kgraph_id", F.col("_made").alias("id"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), "type", F.col("_directed").alias("directed"), F.lit(None).cast(edges.schema["props"].dataType).alias("props"), F.col("_seq").alias("seq"))
-    both = edges.unionByName(fresh.select(edges.columns)).join(props, ["kgraph_id", "id"], "left")
-    return both.withColumn("props", put_all(F.col("props"), F.col("_props"))).select(edges.columns)
+    whole = F.expr(" and ".join(f"{c} is not null" for c in on))
+    held = lambda rows, old, props: rows.select("*", *ends).select(*on, "id", "src", "dst", "directed", "seq", F.col("props")[key].alias("_key"), props.alias("props"), F.lit(old).alias("_old"))
+    none = F.lit(None).cast(new.schema["props"].dataType)
+    rows = held(edges, True, none).unionByName(held(new, False, F.col("props")))
+    rows = rows.filter(whole).repartition(parts_for(rows), *on)
+    first = F.min(F.when(F.col("_old"), F.struct("seq", "id")))
+    same = F.when(F.expr("_key is not null and src is not null and dst is not null"), first.over(Window.partitionBy(*on, "src", "dst", "_key"))["id"])
+    made = F.min(F.when(F.col("_first").isNull(), F.struct("seq", "id", "src", "dst", "directed"))).over(Window.partitionBy(*on))
+    met = rows.withColumn("_same", same).withColumn("_first", first.over(Window.partitionBy(*on))).withColumn("_made", made).filter("not _old")
+    each = met.select(*on, F.coalesce("_same", "_first.id", "_made.id").alias("_to"), "_made", F.explode_outer("props").alias("_k", "_v"), "seq", F.col("id").alias("_id"))  # an edge without properties is made, too
+    last = each.groupBy(*on, "_to", "_k").agg(F.max_by(F.struct("_v"), F.struct("seq", "_id")).alias("_v"), F.first("_made").alias("_made"))
+    props = last.groupBy(*on, "_to").agg(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v._v"))).alias("_props"), F.first("_made").alias("_made")).withColumnRenamed("_to", "id")
+    both = edges.select("*", *ends).join(props, [*on, "id"], "full")
+    out = {c: F.coalesce(F.col(c), F.col(f"_made.{c}")).alias(c) for c in ("src", "dst", "directed", "seq")}
+    out["props"] = put_all(F.col("props"), F.when(F.size("_props") > 0, F.map_from_entries("_props"))).alias("props")
+    apart = new.select("*", *ends).filter(~whole).withColumn("props", F.create_map().cast(edges.schema["props"].dataType))  # meets none, not even its like
+    return both.select(*[out.get(c, F.col(c)) for c in edges.columns]).unionByName(apart.select(edges.columns))
 
 
 def incident(edges: DataFrame) -> DataFrame:

@@ -58,6 +58,25 @@ def test_merge_edges(spark):
     assert G.merge_edges(have.limit(0), new.limit(0), "key").count() == 0
 
 
+def test_merged_edges_are_shuffled_once(spark):
+    """Old and new edges meet in one exchange, the result in two; edges with null ends meet none."""
+    schema = "kgraph_id long, id long, src long, dst long, type string, directed boolean, props map<string,string>, seq long"
+    have = spark.createDataFrame([(1, 1, 10, 20, "t", False, {"key": "q"}, 1), (1, 2, None, None, "t", False, {"key": "q"}, 2), (2, 1, 10, 20, "t", False, None, 1)], schema)
+    rows = [(1, 100 + i, 10 + i % 2 * 10, 20 - i % 2 * 10, "t", False, {"key": "q" if i % 3 else f"k{i % 2}", f"p{i % 5}": str(i)}, 500 - i) for i in range(200)]
+    new = spark.createDataFrame([*rows, (1, 11, None, None, "t", False, {"key": "q"}, 1), (1, 12, None, None, "t", False, {"a": "b"}, 1), (2, 13, 20, 10, "t", None, None, 9), (3, 14, 1, 2, "t", None, None, 9)], schema)
+    found = G.merge_edges(have, new, "key")
+    got = {(r["kgraph_id"], r["id"]): (r["src"], r["dst"], r["directed"], r["props"]) for r in found.collect()}
+    last = sorted(rows, key=lambda r: (r[-1], r[1]))
+    want = {"key": last[-1][6]["key"], **{k: v for r in last for k, v in r[6].items() if k != "key"}}
+    assert got == {(1, 1): (10, 20, False, want), (1, 2): (None, None, False, {"key": "q"}), (2, 1): (10, 20, False, {}), (1, 11): (None, None, False, {}), (1, 12): (None, None, False, {}), (3, 14): (1, 2, None, {})}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert G.merge_edges(have, new, "key")._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_neighbours_and_stitching(nodes, edges):
     assert sorted(r["other"] for r in G.neighbors(edges, nodes, of=nodes.filter("id = 1")).collect()) == [0, 0, 0, 1, 2]
     assert {r["id"] for r in G.has_neighbors(nodes, edges).collect()} == {0, 1, 2, 3}
