@@ -18,6 +18,17 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
 
 
+#: Bytes of text whose terms one task counts at a time, about.
+TASK_BYTES = 8 << 20
+
+
+def dealt_texts(docs: DataFrame, id_col: str, text_col: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The ids and texts, dealt by id to as many parts as their bytes need, so that what one task holds doesn't grow with them. What is grouped by id and more is grouped within the parts: texts are shuffled, their terms are not."""
+    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return docs.select(id_col, text_col).repartition(max(least, -(-size // task_bytes)), id_col)
+
+
 def corpus_size(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
     """How many texts there are and how many terms they have in the mean, as scalar subqueries that run with the query they are used in."""
     totals = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("mean"))

@@ -452,7 +452,8 @@ TOKENS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')
 
 @query(f"select term, id, count(*) as tf, size from (select doc_id as id, len(t) as size, unnest(t) as term from (select doc_id, {TOKENS_SQL} as t from documents) a) b group by term, id, size")
 def inverted_index(spark, d):
-    return T.inverted_index(table(spark, d, "documents"), "doc_id", "text").select("term", "id", "tf", F.col("size").cast("long").alias("size"))
+    docs = T.dealt_texts(table(spark, d, "documents"), "doc_id", "text")
+    return T.inverted_index(docs, "doc_id", "text").select("term", "id", "tf", F.col("size").cast("long").alias("size"))
 
 
 @query(f"""with t as (select doc_id as id, {TOKENS_SQL} as t from documents), i as (select term, id, size, count(*) as tf from (select id, len(t) as size, unnest(t) as term from t) a where term in ('ation', 'the', 'loser') group by 1, 2, 3),

@@ -77,6 +77,14 @@ def test_merged_edges_are_shuffled_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_terms_of_dealt_texts_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i % 50 or None, f"a{i % 7} b a{i % 7} {'' if i % 3 else 'long words'}") for i in range(300)] + [(1, None), (2, "")], "id int, text string")  # ids occur again
+    dealt = T.dealt_texts(docs, "id", "text", 200)
+    index = T.inverted_index(dealt, "id", "text")
+    assert dealt.rdd.getNumPartitions() > 10 and index._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(repr, index.collect())) == sorted(map(repr, T.inverted_index(docs, "id", "text").collect())) and T.dealt_texts(docs.limit(0), "id", "text").count() == 0
+
+
 def test_neighbours_and_stitching(nodes, edges):
     assert sorted(r["other"] for r in G.neighbors(edges, nodes, of=nodes.filter("id = 1")).collect()) == [0, 0, 0, 1, 2]
     assert {r["id"] for r in G.has_neighbors(nodes, edges).collect()} == {0, 1, 2, 3}
