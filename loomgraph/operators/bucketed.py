@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 #: The parts of a stored graph and the column whose hash is their bucket.
 PARTS = {"nodes": "id", "ends": "node"}
+#: Columns whose values hardly repeat within a file, so a dictionary of them would be built and thrown away.
+PLAIN = {"nodes": ("id", "uri", "seq"), "ends": ("id", "node", "other")}
+#: Edge ends of a bucket, about: a task sorts them in some 220 MB; the nodes of parts and suppliers that go with them took 400.
+BUCKET_ROWS = 2_000_000
+
+
+def buckets_for(edges: DataFrame) -> int:
+    """How many buckets the tables of these edges get: by their ends, at least one a core. The session's number of shuffle partitions doesn't count, as every bucket is a file in every graph. The edges are counted."""
+    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-2 * edges.count() // BUCKET_ROWS))
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
@@ -20,9 +29,10 @@ def _parts(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
 
 
 def create(nodes: DataFrame, edges: DataFrame, name: str, buckets: int) -> None:
-    """Writes the tables ``<name>_nodes`` and ``<name>_ends``. Rows are dealt to their buckets before they are written, so a graph has one file a bucket."""
+    """Writes the tables ``<name>_nodes`` and ``<name>_ends``. Rows are dealt to their buckets before they are written, so a graph has one file a bucket. Files aren't sorted by id: a bucket is a file for each graph, so no join could use it."""
     for part, rows in _parts(nodes, edges).items():
-        rows.repartition(buckets, PARTS[part]).write.partitionBy("kgraph_id").bucketBy(buckets, PARTS[part]).sortBy(PARTS[part]).format("parquet").saveAsTable(f"{name}_{part}")
+        plain = {f"parquet.enable.dictionary#{c}": "false" for c in PLAIN[part]}
+        rows.repartition(buckets, PARTS[part]).write.options(**plain).partitionBy("kgraph_id").bucketBy(buckets, PARTS[part]).format("parquet").saveAsTable(f"{name}_{part}")
 
 
 def replace_graphs(nodes: DataFrame, edges: DataFrame, name: str, buckets: int) -> None:

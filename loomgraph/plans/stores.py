@@ -69,13 +69,15 @@ def created_events(spark, d):
     return _created(spark, d).event_counts()
 
 
-def _by_nation(spark, d, keep=None):
-    """Suppliers and the parts they supply in a graph for each nation, stored in buckets. Returns the tables' name."""
-    name, suppliers = f"loom_{uuid.uuid4().hex}", table(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("dst"), F.col("s_nationkey").alias("nation"))
-    edges = item_edges(spark, d).join(suppliers, "dst").withColumn("kgraph_id", F.col("nation")).select(item_edges(spark, d).columns)
-    parts = part_nodes(spark, d).drop("kgraph_id").join(edges.select(F.col("src").alias("id"), "kgraph_id").distinct(), "id").withColumn("tags", F.array("type"))
-    nodes = supplier_nodes(spark, d).drop("kgraph_id").join(suppliers.withColumnsRenamed({"dst": "id", "nation": "kgraph_id"}), "id").unionByName(parts)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _by_nation(spark, d):
+    """Suppliers and the parts they supply in a graph for each nation, stored in buckets. Returns the tables' name.
+
+    Which nodes are in which graphs is dealt by node, in as many parts as buckets, and meets the nodes there: their rows, one for each graph that they are in, are written where they are made."""
+    name, suppliers, items = f"loom_{uuid.uuid4().hex}", table(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("dst"), F.col("s_nationkey").alias("nation")), item_edges(spark, d)
+    edges, buckets = items.join(suppliers, "dst").withColumn("kgraph_id", F.col("nation")).select(items.columns), B.buckets_for(items)
+    ids = edges.select(F.col("src").alias("id"), "kgraph_id").unionByName(suppliers.withColumnsRenamed({"dst": "id", "nation": "kgraph_id"})).repartition(buckets, "id").distinct()
+    known = supplier_nodes(spark, d).unionByName(part_nodes(spark, d).withColumn("tags", F.array("type"))).drop("kgraph_id")
+    nodes = known.join(ids, "id")
     B.create(nodes, edges, name, buckets)
     return name, nodes, edges, buckets
 

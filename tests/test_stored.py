@@ -114,3 +114,29 @@ def test_links_are_not_stored_but_counted(spark, tmp_path):
     assert events.select("seq").distinct().count() == events.count() > 4000 and not (tmp_path / "g" / "edges").exists()
     ends = {(r["src"], r["src_uri"]) for r in graph.edges("uri").collect()}
     assert len(ends) > 100 and all(uri == f"u{i}" for i, uri in ends)
+
+
+def test_buckets_follow_the_rows_and_nodes_are_dealt_before_they_are_made(spark, monkeypatch):
+    """Files don't grow with the session's shuffle partitions, and the wide rows of nodes in many graphs meet no exchange."""
+    from loomgraph.plans import stores
+
+    made, create = [], B.create
+    monkeypatch.setattr(B, "create", lambda *a: made.append(a) or create(*a))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        name, nodes, edges, buckets = stores._by_nation(spark, "/root/testdata/sf0.001")
+        files = {part: len(spark.table(f"{name}_{part}").inputFiles()) for part in B.PARTS}
+        graphs = edges.select("kgraph_id").distinct().count()
+        assert made[0][3] == buckets == spark.sparkContext.defaultParallelism < 64 and all(n <= graphs * buckets for n in files.values())
+        for limit in ("-1", "10485760"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            plan = nodes.repartition(buckets, "id")._jdf.queryExecution().executedPlan().toString()
+            assert plan.index("Join") < plan.index("Exchange")  # dealt below the join, and not again above it
+        B.drop(spark, name)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    monkeypatch.setattr(B, "BUCKET_ROWS", 100)
+    rows = spark.range(1001)
+    assert B.buckets_for(rows) == 21 and B.buckets_for(rows.limit(1)) == spark.sparkContext.defaultParallelism
