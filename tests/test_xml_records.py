@@ -107,6 +107,19 @@ def test_sets_of_concepts_hold_their_trials(spark):
         assert sorted((t, tuple(r["umls"])) for r in rows for t in r["trials"]) == sorted(want.items())
 
 
+def test_entries_of_sets_do_not_pass_the_driver(spark):
+    """A set's entries are the same for many parts, so they are shuffled to these, not broadcast, though few rows hold them."""
+    from loomgraph.operators import trials as R
+
+    trials = spark.createDataFrame([(f"N{i}", f"i{i % 3}") for i in range(60)], "nct_id string, item string")
+    links = spark.createDataFrame([(f"i{i}", f"C{i}", "umls", None) for i in range(3)], "item string, ui string, kind string, score double")
+    atoms = spark.createDataFrame([(f"C{i % 2}", f"s{i:03}") for i in range(40)], "cui string, scui string")
+    found = R.condition_sets(trials, links, atoms, 5)
+    rows = found.collect()
+    assert {tuple(r["umls"]): r["mesh"] for r in rows} == {("C0",): [f"s{i:03}" for i in range(0, 40, 2)], ("C1",): [f"s{i:03}" for i in range(1, 40, 2)], ("C2",): []}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_the_columns_that_are_asked_for_are_parsed(spark, tmp_path):
     """Nodes and edges from the columns that they are made of are those from whole records; each text is searched once."""
     (tmp_path / "r").mkdir()
