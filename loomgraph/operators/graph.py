@@ -39,7 +39,7 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Nodes with the new ones that no node of their graph has the key of. The first of a batch wins; a null key always makes a node."""
     keys = ["kgraph_id", key]
     fresh = first_per_key(new, keys, "seq")
-    return nodes.unionByName(fresh.join(nodes.select(*keys).distinct(), keys, "left_anti").select(nodes.columns))
+    return nodes.unionByName(fresh.join(nodes.select(*keys).distinct().hint("merge"), keys, "left_anti").select(nodes.columns))
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     ends = [F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")]
     fresh = first_per_key(new.select("*", *ends), ["kgraph_id", "_a", "_b", "type"], "seq")
     have = edges.select("kgraph_id", *ends, "type").distinct()
-    return edges.unionByName(fresh.join(have, ["kgraph_id", "_a", "_b", "type"], "left_anti").select(edges.columns))
+    return edges.unionByName(fresh.join(have.hint("merge"), ["kgraph_id", "_a", "_b", "type"], "left_anti").select(edges.columns))
 
 
 def merge_edges(edges: DataFrame, new: DataFrame, key: str) -> DataFrame:

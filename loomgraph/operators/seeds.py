@@ -1,4 +1,7 @@
-"""Expanders that change the nodes they start from, and predications as a part of a graph."""
+"""Expanders that change the nodes they start from, and predications as a part of a graph.
+
+Nodes and the tables that they meet grow alike, and a few of their columns soon look small enough to broadcast: such joins are by merge, or by hash beside rows that are far more, so no table passes the driver.
+"""
 
 from __future__ import annotations
 
@@ -28,12 +31,12 @@ def update_nodes(nodes: DataFrame, updates: list[DataFrame]) -> DataFrame:
     key = ["kgraph_id", "id", "key"]
     at = F.struct("turn", "seq", "value")
     last = each.filter("how = 'put'").groupBy(*key).agg(F.max(at).alias("_put"))
-    live = each.join(last, key, "left").filter("_put is null or (how = 'put' and struct(turn, seq, value) = _put) or (how != 'put' and struct(turn, seq, value) > _put)")
+    live = each.join(last.hint("merge"), key, "left").filter("_put is null or (how = 'put' and struct(turn, seq, value) = _put) or (how != 'put' and struct(turn, seq, value) > _put)")
     put = F.max(F.when(F.col("how") == "put", F.col("value")))
     added = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("how") != "put", at))), lambda x: x["value"]), ",")
     merged = live.dropDuplicates([*key, "how", "turn", "seq", "value"]).groupBy(*key).agg(put.alias("put"), added.alias("added"))
     per_node = merged.groupBy("kgraph_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("put", "added")))).alias("_new"))
-    joined = nodes.join(per_node, ["kgraph_id", "id"], "left")
+    joined = nodes.join(per_node.hint("merge"), ["kgraph_id", "id"], "left")
     base = lambda k, v: F.coalesce(v["put"], F.col("props")[k])
     value = lambda k, v: F.when(v["added"] == "", base(k, v)).otherwise(F.concat_ws(",", base(k, v), v["added"]))
     return joined.withColumn("props", put_all(F.col("props"), F.transform_values("_new", value))).select(nodes.columns)
@@ -60,6 +63,12 @@ def molecule_ids(nodes: DataFrame, prefix: str = "CHEMBL") -> DataFrame:
     return nodes.select("kgraph_id", "id", F.explode(bridge_ids(F.col("synonyms"), F.array().cast("array<string>"), prefix)).alias("molecule"))
 
 
+def _facts_once(rows: DataFrame, columns: list[str], *told: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from rows as `facts` tells them, the nodes once for each graph and values of the columns that they are made of, not for each seed."""
+    once = rows.select("kgraph_id", *columns).distinct().withColumn("id", F.lit(None).cast("long"))
+    return facts(once, *told)[0], facts(rows, *told)[1]
+
+
 def _drug(uri: Column) -> Column:
     return F.concat(F.lit("molecule/"), uri)
 
@@ -67,16 +76,21 @@ def _drug(uri: Column) -> Column:
 @expander("drug_forms")
 def drug_forms(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The named forms of molecules, by the tables ``forms`` (molecule, form) and ``molecules`` (molecule, name, synonyms): drugs that the node is equivalent to."""
-    rows = molecule_ids(nodes).join(tables["forms"], "molecule").join(tables["molecules"].select(F.col("molecule").alias("form"), "name").filter("name is not null"), "form")
-    found, edges = facts(rows, F.lit("drug"), F.col("name"), _drug(F.col("form")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
+    named = tables["molecules"].select(F.col("molecule").alias("form"), "name").filter("name is not null")
+    rows = molecule_ids(nodes).join(tables["forms"].hint("merge"), "molecule").join(named.hint("merge"), "form")
+    told = F.lit("drug"), F.col("name"), _drug(F.col("form")), F.lit("is equivalent to"), F.array(F.lit("molecules"))
+    found, edges = _facts_once(rows, ["form", "name"], *told)
     return found.withColumn("synonyms", F.array(F.substring_index("uri", "/", -1))), edges
 
 
 @expander("drug_actions")
 def drug_actions(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The proteins that molecules act on, by the table ``actions`` (molecule, seq, mechanism, target, action); the mechanisms are added to the node's property ``mechanism``, with commas, in the order of seq."""
-    rows = molecule_ids(nodes).join(tables["actions"], "molecule").withColumns({c: unquote(F.col(c)) for c in ("mechanism", "target", "action")})
-    found, edges = facts(rows, F.lit("protein"), before_last_space(F.col("mechanism")), F.concat(F.lit("target/"), "target"), F.col("action"), F.array(F.lit("molecules")))
+    said = molecule_ids(nodes).hint("shuffle_hash").join(tables["actions"], "molecule")
+    plain = {c: unquote(F.col(c)) for c in ("mechanism", "target", "action")}
+    rows, once = said.withColumns(plain), said.select("kgraph_id", F.lit(None).cast("long").alias("id"), *plain).distinct().withColumns(plain)
+    told = F.lit("protein"), before_last_space(F.col("mechanism")), F.concat(F.lit("target/"), "target"), F.col("action"), F.array(F.lit("molecules"))
+    found, edges = facts(once, *told)[0], facts(rows, *told)[1]
     changes = rows.select("kgraph_id", "id", F.lit("mechanism").alias("key"), F.col("mechanism").alias("value"), F.lit("add").alias("how"), "seq")
     return found.withColumn("synonyms", F.array(F.substring_index("uri", "/", -1))), edges, changes
 
@@ -84,8 +98,8 @@ def drug_actions(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[Dat
 @expander("drug_targets_of")
 def drug_targets_of(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The targets tested with molecules, by the table ``targets`` (molecule, target, name)."""
-    rows = molecule_ids(nodes).join(tables["targets"].filter("name is not null"), "molecule")
-    return facts(rows, F.lit("protein"), F.col("name"), F.concat(F.lit("target/"), "target"), F.lit("target of"), F.array(F.lit("molecules")))
+    rows = molecule_ids(nodes).hint("shuffle_hash").join(tables["targets"].filter("name is not null"), "molecule")
+    return _facts_once(rows, ["target", "name"], F.lit("protein"), F.col("name"), F.concat(F.lit("target/"), "target"), F.lit("target of"), F.array(F.lit("molecules")))
 
 
 @expander("drug_search")
@@ -93,15 +107,15 @@ def drug_search(nodes: DataFrame, tables: Mapping[str, DataFrame]) -> tuple[Data
     """For nodes without a molecule id: the molecules whose name or synonym is the node's name in any case, by the table ``molecules``; drugs that the node is equivalent to. A molecule without a name has its id as one. The node's property ``found``
     tells the smallest id."""
     known = molecule_ids(nodes).select("kgraph_id", "id").distinct()
-    asked = nodes.filter("name is not null").join(known, ["kgraph_id", "id"], "left_anti").select("kgraph_id", "id", F.lower("name").alias("asked"))
+    asked = nodes.filter("name is not null").join(known.hint("merge"), ["kgraph_id", "id"], "left_anti").select("kgraph_id", "id", F.lower("name").alias("asked"))
     named = tables["molecules"].select("molecule", "name", F.explode(F.array_distinct(F.transform(F.array_compact(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))), F.lower))).alias("asked"))
     # a name that many nodes ask for has the same molecules for all: only edges are made for each pair
-    rows = asked.join(named, "asked")
+    rows = asked.join(named.hint("merge"), "asked")
     _, edges = facts(rows, F.lit("drug"), F.coalesce("name", "molecule"), _drug(F.col("molecule")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
-    once = named.join(asked.select("kgraph_id", "asked").distinct(), "asked").select("kgraph_id", F.lit(None).cast("long").alias("id"), "molecule", "name").distinct()
+    once = named.join(asked.select("kgraph_id", "asked").distinct().hint("merge"), "asked").select("kgraph_id", F.lit(None).cast("long").alias("id"), "molecule", "name").distinct()
     found, _ = facts(once, F.lit("drug"), F.coalesce("name", "molecule"), _drug(F.col("molecule")), F.lit("is equivalent to"), F.array(F.lit("molecules")))
     least = named.groupBy("asked").agg(F.min("molecule").alias("value"))
-    changes = asked.join(least, "asked").select("kgraph_id", "id", F.lit("found").alias("key"), "value", F.lit("put").alias("how"), F.lit(0).cast("long").alias("seq"))
+    changes = asked.join(least.hint("merge"), "asked").select("kgraph_id", "id", F.lit("found").alias("key"), "value", F.lit("put").alias("how"), F.lit(0).cast("long").alias("seq"))
     return found, edges, changes
 
 

@@ -61,7 +61,7 @@ def _drugs(spark, d, make=S.expand_with_updates):
     part, supplier, items = (table(spark, d, t) for t in ("part", "supplier", "lineitem"))
     key = lambda prefix, c: both(prefix, F.col(c).cast("string"))
     nodes = part_nodes(spark, d).withColumn("synonyms", F.when(F.col("props")["_size"].cast("int") > 10, F.array(key("ns:CHEMBL", "id"), F.col("name"))).otherwise(F.array("name")))
-    named = supplier.join(part.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey", "left")
+    named = supplier.join(part.select(F.col("p_partkey").alias("s_suppkey"), "p_name").hint("merge"), "s_suppkey", "left")
     tables = {
         "molecules": named.select(key("CHEMBL9", "s_suppkey").alias("molecule"), F.col("s_name").alias("name"), F.array("p_name").alias("synonyms")),
         "forms": part.select(key("CHEMBL", "p_partkey").alias("molecule"), key("CHEMBL9", "p_size").alias("form")),

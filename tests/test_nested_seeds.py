@@ -111,3 +111,17 @@ def test_gathered_counts_and_holds_in_one_pass(spark):
     assert sorted(map(tuple, many.collect())) == [(3, v) for v in range(50)]
     plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in (lists, many)]
     assert all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans)
+
+
+def test_drug_expanders_broadcast_nothing(spark):
+    """Few columns of large tables look small: neither nodes nor what they meet go through the driver, and a target of many rows is one new node."""
+    nodes = spark.createDataFrame([node(i, f"n{i}", [f"CHEMBL{i % 5}"] if i % 2 else []) for i in range(40)], NODES)
+    tables = {
+        "forms": spark.createDataFrame([(f"CHEMBL{i}", "CHEMBL7") for i in range(5)], "molecule string, form string"),
+        "molecules": spark.createDataFrame([("CHEMBL7", "salt", None), ("CHEMBL9", "n8", ["N8"])], "molecule string, name string, synonyms array<string>"),
+        "actions": spark.createDataFrame([(f"CHEMBL{i % 5}", i, '"COX inhibitor"', '"T2"', "INHIBITOR") for i in range(20)], "molecule string, seq long, mechanism string, target string, action string"),
+        "targets": spark.createDataFrame([(f"CHEMBL{i}", "T3", "PGE") for i in range(5)], "molecule string, target string, name string"),
+    }
+    assert S.drug_actions(nodes, tables)[0].count() == 1 and S.drug_targets_of(nodes, tables)[0].count() == 1 and S.drug_forms(nodes, tables)[0].count() == 1
+    for df, n in zip(S.expand_with_updates(nodes, spark.createDataFrame([], EDGES), tables, ["drug_forms", "drug_actions", "drug_targets_of", "drug_search"]), (44, 61), strict=True):
+        assert len(df.collect()) == n and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
