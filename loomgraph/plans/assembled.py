@@ -86,8 +86,7 @@ def seed_properties(spark, d):
     union all select distinct l_partkey, 'target/T' || l_suppkey, unnest([l_returnflag, 'target of']) from lineitem join part on p_partkey = l_partkey where p_size > 10
     union all select distinct p_partkey, 'molecule/' || molecule, 'is equivalent to' from part join s on other = lower(p_name) or lower(name) = lower(p_name) where p_size <= 10""")
 def seed_links(spark, d):
-    nodes, edges, _ = _drugs(spark, d, S.grown)  # links need no properties
-    return edges.join(nodes.select(F.col("id").alias("dst"), "uri"), "dst").select(F.col("src").alias("id"), "uri", "type")
+    return _drugs(spark, d, S.grown_links).select(F.col("src").alias("id"), "uri", "type")  # links need no properties
 
 
 NESTED = """rel as (select e.dst as concept, string_agg(e.src || ':' || e.scope, ',' order by e.src, e.scope) as rels from e join n on n.ui = e.src and n.kind = 'Concept' where e.type = 'concept' and e.scope is not null group by 1),

@@ -125,3 +125,34 @@ def test_drug_expanders_broadcast_nothing(spark):
     assert S.drug_actions(nodes, tables)[0].count() == 1 and S.drug_targets_of(nodes, tables)[0].count() == 1 and S.drug_forms(nodes, tables)[0].count() == 1
     for df, n in zip(S.expand_with_updates(nodes, spark.createDataFrame([], EDGES), tables, ["drug_forms", "drug_actions", "drug_targets_of", "drug_search"]), (44, 61), strict=True):
         assert len(df.collect()) == n and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_pairs_are_made_last(spark, monkeypatch):
+    """Edges of the search by name that no other edge can equal are made of blocks of seeds and molecules, and no shuffle follows; the graph is the one that the upsert of all edges gives: with edges that are there, seeds that are molecules, seeds twice, and seeds without a graph."""
+    from loomgraph.model import entity_id
+    from loomgraph.operators.graph import upsert_edges
+
+    monkeypatch.setattr(S, "SEEDS", 3)
+    monkeypatch.setattr(S, "OFFERS", 2)
+    ids = {i: spark.range(1).select(entity_id(F.lit(1).cast("long"), F.lit(f"molecule/CHEMBL{i}"))).first()[0] for i in (1, 2, 3)}
+    nodes = spark.createDataFrame([node(i, "Asp") for i in range(10)] + [node(3, "ibu"), node(4, "Asp"), node(20, "ibu", ["CHEMBL1"]), node(ids[1], "asp"), node(ids[2], "ASP"), node(ids[3], "ibu"), node(None, "asp"), (None, *node(31, "asp")[1:])], NODES)
+    tables = {
+        "molecules": spark.createDataFrame([(f"CHEMBL{i}", "asp", ["ASP", "ibu"] if i % 2 else None) for i in range(5)] * 2, "molecule string, name string, synonyms array<string>"),
+        "forms": spark.createDataFrame([("CHEMBL1", "CHEMBL3")], "molecule string, form string"),
+    }
+    names = ["drug_forms", "drug_search"]
+    none = spark.createDataFrame([], EDGES)
+    made = [E.REGISTRY[n](nodes, tables)[1].select(none.columns) for n in names]
+    have = made[1].filter("src in (1, 2)").limit(3)
+    have = spark.createDataFrame([(r["kgraph_id"], 99, r["dst"], r["src"], r["type"], False, {}, 0) for r in have.collect()] + [(1, 98, 7, 8, S.EQUIVALENT, False, {}, 0)], EDGES)
+    want = upsert_edges(have, made[0].unionByName(made[1]))
+    rows = lambda df: sorted(map(repr, df.select("kgraph_id", "id", "src", "dst", "type", "directed", "props").collect()))
+    more, joined, _ = S.grown(nodes, have, tables, names)
+    assert rows(joined) == rows(want) and len(rows(want)) > 60
+    links = S.grown_links(nodes, have, tables, names)
+    uris = more.select("kgraph_id", F.col("id").alias("dst"), "uri")
+    assert sorted(map(repr, links.collect())) == sorted(map(repr, want.join(uris, ["kgraph_id", "dst"]).select("kgraph_id", "src", "dst", "uri", "type").collect()))
+    seeds, offers = (spark.createDataFrame(r, t) for r, t in (([(1, "a", i, [1, 3] if i == 5 else None) for i in range(20)], "kgraph_id long, asked string, id long, without array<long>"), ([(1, "a", i) for i in range(6)], "kgraph_id long, asked string, dst long")))
+    pairs = S._met(seeds, offers)
+    assert sorted((r["id"], r["dst"]) for r in pairs.collect()) == [(i, j) for i in range(20) for j in range(6) if i != j and (i, j) not in ((5, 1), (5, 3))]
+    assert pairs._jdf.queryExecution().executedPlan().toString().split("Exchange")[0].count("Generate explode") == 2  # above the last shuffle
