@@ -393,3 +393,46 @@ def test_edited_fingerprints_of_many_ranges(spark):
         want.append((d, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
     have = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got if r["doc_id"] is not None)
     assert sum((have - collections.Counter(want)).values()) == 1 and len(last) > 1  # the lowest id is followed by a row without one
+
+
+def test_single_tokens_move_where_they_are_likeliest():
+    """Each token's class is the likeliest one for its places by the counts of all others, by a loop over classes and neighbours."""
+    from loomgraph.llm import brown
+
+    rng = np.random.default_rng(3)
+    n = 60
+    classes = rng.integers(0, brown.CLASSES, n)
+    pairs = rng.integers(0, 5, (n, n)) * (rng.random((n, n)) < 0.2)
+    np.fill_diagonal(pairs, 0)
+    to = np.eye(brown.CLASSES)[classes]
+    after, before, between = pairs @ to, pairs.T @ to, to.T @ pairs @ to
+    share = (between.sum(axis=0) + 0.5) / (between.sum(axis=0) + 0.5).sum()
+    row, inside, want = between.sum(axis=1), between.sum(axis=0), []
+    for i, own in enumerate(classes):
+        size, score = after[i].sum(), []
+        for c in range(brown.CLASSES):
+            mine = c == own
+            x = -size * math.log(max(inside[c] + (0 if mine else size), size, 1))
+            for k in range(brown.CLASSES):
+                x += after[i, k] * math.log((max(between[c, k] - mine * after[i, k], 0) + brown.PRIOR * share[k]) / (max(row[c] - mine * size, 0) + brown.PRIOR))
+                x += before[i, k] * math.log((max(between[k, c] - mine * before[i, k], 0) + brown.PRIOR * share[c]) / (row[k] + brown.PRIOR))
+            score.append(x)
+        want.append(int(np.argmax(score)))
+    got = brown.best_classes(classes, before, after, between)
+    assert got.tolist() == want and want != classes.tolist()
+
+
+def test_rare_tokens_have_classes_of_their_own(spark, monkeypatch):
+    """Rare words with the same last two bytes, one half always after ``u``, the other always after ``v``, as frequent words are: as one group they have one class, by themselves they have two, and their texts are likelier."""
+    from loomgraph.llm import brown
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'uv'[x % 2]} " + (f"word{x:05}zz" if x >= 20 else f"often{x:02}") for x in np.where(rng.random(40) < 0.2, rng.integers(0, 20, 40), rng.integers(20, 5000, 40))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for singles in (0, 7):
+        monkeypatch.setattr(brown, "SINGLES", singles)
+        rows = brown_scores(docs, is_held_out("doc_id", 1)).collect()
+        got[singles] = [sum(r["score"] for r in rows if r["held_out"] == h) for h in (True, False)]
+        assert all(np.isfinite(r["score"]) for r in rows) and len(rows) == 600
+    assert got[7][0] > got[0][0] + 100 and got[7][1] > got[0][1] + 1000, got
